@@ -45,27 +45,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+def _ordered(doc: np.ndarray, minor: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The order by doc, minor (below 256) and runs: by one packed key where that decides it, else by all three."""
+    packed = (doc.astype(np.uint64) << np.uint64(44)) | (minor.astype(np.uint64) << np.uint64(36)) | (runs >> np.uint64(28))
+    order = np.argsort(packed)
+    p, r = packed[order], runs[order]
+    if len(doc) and (doc[-1] >= 1 << 20 or np.any((p[1:] == p[:-1]) & (r[1:] != r[:-1]))):
+        return np.lexsort((runs, minor, doc))
+    return order
+
+
 class _Runs:
     """The distinct runs of a batch of texts: hashes sorted within each text, and where each text's begin."""
 
     def __init__(self, width: int):
-        self.width, self.memo = width, {}
+        self.width, self.memo = width, _WordHashes()
 
     def of(self, kinds: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        import xxhash
-
-        memo, flat, sizes, seeds = self.memo, [], [], []
-        if len(memo) > 1_000_000:
-            memo.clear()
-        for kind, text in zip(kinds, texts):
+        flat, sizes = [], []
+        if len(self.memo) > 1_000_000:
+            self.memo.clear()
+        hashed = self.memo.__getitem__
+        for text in texts:
             found = _word.findall((text or "").lower())
-            for w in found:
-                h = memo.get(w)
-                if h is None:
-                    h = memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-                flat.append(h)
+            flat.extend(map(hashed, found))
             sizes.append(len(found))
-            seeds.append(xxhash.xxh64_intdigest(kind.encode()))
+        seeds = [hashed(kind) for kind in kinds]
         words, sizes = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         n = max(0, len(words) - self.width + 1)
@@ -74,7 +87,7 @@ class _Runs:
             runs = _mixed(runs + words[k : n + k] * np.uint64(2 * k + 3))
         same = doc[:n] == doc[self.width - 1 : n + self.width - 1]
         runs, doc = runs[same], doc[:n][same]
-        order = np.lexsort((runs, doc))
+        order = _ordered(doc, np.zeros(1, dtype=np.uint64), runs)
         runs, doc = runs[order], doc[order]
         first = np.ones(len(runs), dtype=bool)
         first[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
@@ -82,12 +95,12 @@ class _Runs:
         return runs, doc, np.searchsorted(doc, np.arange(len(sizes) + 1))
 
 
-def _parity(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """PARITY words for each text: bit i tells whether an odd number of its runs fall on i."""
+def _parity(runs: np.ndarray, starts: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """The first of PARITY words for each text: bit i tells whether an odd number of its runs fall on i."""
     bit = _mixed(runs + np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * PARITY)
-    out = np.zeros((PARITY, len(starts) - 1), dtype=np.uint64)
+    out = np.zeros((words, len(starts) - 1), dtype=np.uint64)
     some = starts[1:] > starts[:-1]
-    for w in range(PARITY):
+    for w in range(words):
         values = np.where(bit // np.uint64(64) == w, np.uint64(1) << (bit % np.uint64(64)), np.uint64(0))
         if len(values):
             out[w, some] = np.bitwise_xor.reduceat(values, starts[:-1][some])
@@ -103,24 +116,36 @@ def _places(documents: int) -> int:
     return min(MOST_PLACES, max(SEGMENT, math.ceil(math.log2(max(1, documents) * 8))))
 
 
-def run_levels(texts: DataFrame, width: int, places: int) -> bytes:
-    """For each of 2**places places, 8 * log2(1 + runs of all texts that fall on it), as a byte. Each task counts its own
-    rows and hands on compressed segments, which are added up segment by segment; the driver gets 2**places bytes."""
+def survey(texts: DataFrame, width: int, places: int) -> DataFrame:
+    """One pass over the texts. Rows with an id: kind, id, sum, b1, n, the key and the size of each record's set. Rows with
+    a blob: segment, salt, blob, how many runs of a task's texts fall on the places of the segment, compressed."""
     segment = 1 << min(SEGMENT, places)
+    schema = pa.schema([("kind", pa.string()), ("id", pa.string()), ("sum", pa.int64()), ("b1", pa.int64()), ("n", pa.int64()), ("segment", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs_of, table, seen = _Runs(width), np.zeros(1 << places, dtype=np.uint32), False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        runs_of, counted, seen = _Runs(width), np.zeros(1 << places, dtype=np.uint32), False
         for batch in batches:
-            runs, _, _ = runs_of.of(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            table += np.bincount((runs >> np.uint64(64 - places)).astype(np.int64), minlength=1 << places).astype(np.uint32)
+            runs, _, starts = runs_of.of(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            counted += np.bincount((runs >> np.uint64(64 - places)).astype(np.int64), minlength=1 << places).astype(np.uint32)
+            keys = [pa.array(k, pa.int64()) for k in (_sums(runs, starts), _parity(runs, starts, 1)[0], np.diff(starts))]
+            none = [pa.nulls(len(starts) - 1, f.type) for f in schema][5:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *keys, *none], schema=schema)
             seen = True
         if seen:
-            from pyspark import TaskContext
+            blobs = [zlib.compress(part.tobytes(), 1) for part in counted.reshape(-1, segment)]
+            n, salt = len(blobs), TaskContext.get().partitionId() % 64
+            none = [pa.nulls(n, f.type) for f in schema][:5]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-            blobs = [zlib.compress(part.tobytes(), 1) for part in table.reshape(-1, segment)]
-            n = len(blobs)
-            salt = TaskContext.get().partitionId() % 64
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["segment", "salt", "blob"])
+    return texts.select("kind", "id", "text").mapInArrow(run, "kind string, id string, sum bigint, b1 bigint, n bigint, segment int, salt int, blob binary")
+
+
+def run_levels(parts: DataFrame, places: int) -> bytes:
+    """For each of 2**places places, 8 * log2(1 + runs of all texts that fall on it), as a byte. Tasks' counts (segment,
+    salt, blob) are added up segment by segment; the driver gets 2**places bytes."""
+    segment = 1 << min(SEGMENT, places)
 
     def total(blobs: pd.Series) -> np.ndarray:
         return sum((np.frombuffer(zlib.decompress(b), dtype=np.uint32).astype(np.uint64) for b in blobs), np.zeros(segment, dtype=np.uint64))
@@ -130,9 +155,8 @@ def run_levels(texts: DataFrame, width: int, places: int) -> bytes:
         return pd.DataFrame({"segment": pdf["segment"][:1], "blob": [zlib.compress(summed.tobytes(), 1)]})
 
     schema = "segment int, blob binary"
-    parts = texts.select("kind", "text").mapInArrow(count, "segment int, salt int, blob binary")
     sums = parts.groupBy("segment", "salt").applyInPandas(add, schema).groupBy("segment").applyInPandas(add, schema)
-    table = np.zeros((1 << places) // segment * segment, dtype=np.uint32)
+    table = np.zeros(1 << places, dtype=np.uint32)
     for no, blob in sums.toLocalIterator():
         table[no * segment : (no + 1) * segment] = np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint32)
     return np.minimum(np.floor(8 * np.log2(1.0 + table)), 255).astype(np.uint8).tobytes()
@@ -159,7 +183,7 @@ def postings(texts: DataFrame, levels, places: int, width: int, similarity: Frac
             keep = np.zeros(len(sizes), dtype=bool)
             keep[once] = True
             level = table[(runs >> np.uint64(64 - places)).astype(np.int64)]
-            order = np.lexsort((runs, level, doc))
+            order = _ordered(doc, level, runs)
             runs, level = runs[order], level[order]
             pos = np.arange(len(runs)) - starts[doc]
             use = keep[doc] & (pos < _prefix(sizes, similarity)[doc])
@@ -181,20 +205,6 @@ def postings(texts: DataFrame, levels, places: int, width: int, similarity: Frac
     return texts.select("kind", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("token", "meta", "sum", *_WORDS)))
 
 
-def record_keys(texts: DataFrame, width: int) -> DataFrame:
-    """kind, id, sum, b1, n: the key and the size of each record's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs_of = _Runs(width)
-        for batch in batches:
-            runs, _, starts = runs_of.of(batch.column(0).to_pylist(), batch.column(2).to_pylist())
-            keys = (_sums(runs, starts), _parity(runs, starts)[0], np.diff(starts))
-            cols = [batch.column(0), batch.column(1), *(pa.array(k, pa.int64()) for k in keys)]
-            yield pa.RecordBatch.from_arrays(cols, names=["kind", "id", *_KEYS, "n"])
-
-    return texts.select("kind", "id", "text").mapInArrow(run, "kind string, id string, " + ", ".join(f"{c} bigint" for c in (*_KEYS, "n")))
-
-
 def _before(a: list[Column], b: list[Column]) -> Column:
     """Whether the tuple a comes before b."""
     out = a[-1] < b[-1]
@@ -253,8 +263,9 @@ def similar_classes(texts: DataFrame, width: int = WORDS, similarity: Fraction =
     text, and one of fewer than `width` words, has no runs, is a class of its own and is linked to nothing."""
     places = _places(texts.count())
     rows = texts.where(F.col("id").isNotNull())
-    levels = texts.sparkSession.sparkContext.broadcast(run_levels(rows, width, places))
-    keyed = cut(record_keys(rows, width).distinct())
+    surveyed = cut(survey(rows, width, places))
+    levels = texts.sparkSession.sparkContext.broadcast(run_levels(surveyed.where("blob is not null").select("segment", "salt", "blob"), places))
+    keyed = surveyed.where("id is not null").select("kind", "id", *_KEYS, "n").distinct()
     heads = keyed.where("n > 0").groupBy("kind", *_KEYS).agg(F.min("id").alias("class_id"))
     pairs = candidates(postings(rows, levels, places, width, similarity), similarity)
     a = heads.select(F.col("kind").alias("kind_a"), F.col("class_id").alias("class_a"), *(F.col(k).alias(f"{k}_a") for k in _KEYS))
