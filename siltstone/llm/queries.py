@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import conversations, cooccurrence, near_duplicates, packing, splitting, tokenizing
+from siltstone.llm import conversations, cooccurrence, near_duplicates, packing, splitting, tokenizing, truncation
 from siltstone.sources.tables import table
 
 MIN_COUNT, MIN_LIFT = 4, 3
@@ -71,6 +71,14 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokenizing.token_counts(table(spark, sf_dir, "documents")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_off(table(spark, sf_dir, "documents"))
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.source_shares(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_classes, p3_found, p3_pieces, p5_found, p5_update, p6_ids, p7_containers)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_classes, p3_found, p3_pieces, p5_found, p5_update, p6_ids, p7_containers, p8_found, p8_sources)
 }
