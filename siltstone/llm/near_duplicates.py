@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.bits import bit_table, bits_for, may_be_in
 from siltstone.plans.lineage import cut
 
 WORDS, SIMILARITY = 3, Fraction(3, 5)
@@ -270,6 +271,11 @@ def similar_classes(texts: DataFrame, width: int = WORDS, similarity: Fraction =
     pairs = candidates(postings(rows, levels, places, width, similarity), similarity)
     a = heads.select(F.col("kind").alias("kind_a"), F.col("class_id").alias("class_a"), *(F.col(k).alias(f"{k}_a") for k in _KEYS))
     named = pairs.join(a, [f"{k}_a" for k in _KEYS]).join(heads, _KEYS).where("kind = kind_a").select("kind", F.least("class_a", "class_id").alias("class_a"), F.greatest("class_a", "class_id").alias("class_b"))
+    named = cut(named)
+    # Only texts of some pair are shuffled.
+    asked = named.select(F.explode(F.array(F.xxhash64("kind", "class_a"), F.xxhash64("kind", "class_b"))).alias("key")).distinct()
+    bits = bits_for(named.count() * 2)
+    rows = rows.where(may_be_in(rows.sparkSession, bit_table(asked, bits), bits, F.xxhash64("kind", "id")))
     whole = rows.select("kind", "id", "text").repartition("kind", "id").groupBy("kind", "id").agg(F.first("text").alias("text"))
     with_a = named.join(whole.select("kind", F.col("id").alias("class_a"), F.col("text").alias("text_a")), ["kind", "class_a"])
     with_b = with_a.join(whole.select("kind", F.col("id").alias("class_b"), F.col("text").alias("text_b")), ["kind", "class_b"])
