@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import conversations, cooccurrence, near_duplicates, packing, splitting, tokenizing, truncation
+from siltstone.llm import conversations, cooccurrence, near_duplicates, packing, personal_data, splitting, tokenizing, truncation
 from siltstone.sources.tables import table
 
 MIN_COUNT, MIN_LIFT = 4, 3
@@ -48,6 +48,18 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.record_texts(table(spark, sf_dir, "learning_queue"), table(spark, sf_dir, "session_messages"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found_types(_texts(spark, sf_dir), table(spark, sf_dir, "name_roster"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.redacted(_texts(spark, sf_dir), table(spark, sf_dir, "name_roster"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     baskets = cooccurrence.commit_baskets(table(spark, sf_dir, "git_activity"))
     return _pairs(cooccurrence.associations(cooccurrence.update(cooccurrence.empty(spark, MIN_COUNT, MIN_LIFT), baskets)))
@@ -80,5 +92,5 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_classes, p3_found, p3_pieces, p5_found, p5_update, p6_ids, p7_containers, p8_found, p8_sources)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_redacted, p5_found, p5_update, p6_ids, p7_containers, p8_found, p8_sources)
 }
