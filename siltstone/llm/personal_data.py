@@ -73,7 +73,15 @@ _ADDRESSES = [
     re.compile(rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrer|CALLE|AVENIDA|calle|Via|Viale|Rua)\s+(?:(?:de|del|de\sla)\s+)?{_NAME_WORD}(?:\s{_NAME_WORD})?,?\s+(?:n[º°o]?\.?\s*)?\d{{1,4}}", re.I),
     re.compile(rf"(?<!\w){_L}+(?:\s{_L}+)?\s+(?:Sokak|Sokağı|Sok\.|Sk\.|Caddesi|Cad\.|Cd\.|Bulvarı|SOKAK|CADDESİ|CADDESI|sokak|caddesi)\s*,?\s*(?:No\s?[:.]?\s*|NO\s?[:.]?\s*|no\s?[:.]?\s*)?\d{{1,4}}"),
 ]
-_ADDRESS_SIGNS = ("stra", "str.", "weg", "gasse", "platz", "allee", " rue ", "avenue", "boulevard", " bd ", " av.", "chemin", "allée", "impasse", "calle", "c/ ", "avenida", "avda", "plaza", "paseo", "carrer", "sok", "sk.", "cad", "cd.", "bulvar", "street", " st", "road", " rd", " ave", "lane", " ln", "drive", " dr", "court", " ct", " way", "blvd", "place", "square", "terrace", "close", "crescent", " row", "walk", "parkway", "quai", "route", "via", "rua")
+# Strings that a match of the patterns above holds one of; the first list as written, others in lower case.
+_STREET_SIGNS = (" Street", " St", " Road", " Rd", " Avenue", " Ave", " Lane", " Ln", " Drive", " Dr", " Court", " Ct", " Way", " Boulevard", " Blvd", " Place", " Pl", " Square", " Sq", " Terrace", " Close", " Crescent", " Row", " Walk", " Parkway", " ROAD", " AVE", " LANE", " LN", " DR", " COURT", " CT", " WAY", " BOULEVARD", " BLVD", " PLACE", " SQUARE", " TERRACE", " CLOSE", " CRESCENT", " STREET", " ST ", " ST.", " ST,", " RD", "\nSt", "\nRoad")
+_OTHER_SIGNS = (
+    (("street", "road", "avenue", "lane", "court", "boulevard"), _ADDRESSES[1:2]),
+    (("straße", "strasse", "str.", "weg", "gasse", "platz", "allee"), _ADDRESSES[2:4]),
+    ((" rue ", "avenue ", " av. ", "boulevard ", " bd ", "place d", "chemin ", "allée ", "impasse ", " quai ", "route d"), _ADDRESSES[4:5]),
+    (("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "carrer ", "via ", "viale ", "rua "), _ADDRESSES[5:6]),
+    (("sok", "sk.", "cad", "cd.", "bulvar"), _ADDRESSES[6:]),
+)
 
 _WORDS = re.compile(rf"{_L}+")
 _CAPITALS = re.compile(rf"(?<![\w.@\-])(?:[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}}(?:,? |\s[A-Z]\.?\s)[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}}|[A-ZÀ-Ý]\.\s?[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}})(?![\w@])")
@@ -105,10 +113,11 @@ def _overlaps(spans: list[tuple], first: int, end: int) -> bool:
     return any(first < s[2] and s[1] < end for s in spans)
 
 
-def spans_of(text: str, parts: dict[str, str]) -> list[tuple]:
-    """Candidates of a text: (type, first, end, sure, instance, given, family). parts: known name parts in lower case."""
+def spans_of(text: str, parts: dict[str, str], words: list[str] | None = None) -> list[tuple]:
+    """Candidates of a text: (type, first, end, sure, instance, given, family). parts: known name parts in lower case.
+    words: the text's words in lower case, if they are there already."""
     out: list[tuple] = []
-    text = text.translate(_PLAIN)
+    text = text if text.isascii() else text.translate(_PLAIN)
     low = text.lower()
     if "@" in text or "%40" in text or "＠" in text or "&#64;" in text or "\\u0040" in text:
         for m in _EMAIL.finditer(text):
@@ -120,13 +129,14 @@ def spans_of(text: str, parts: dict[str, str]) -> list[tuple]:
             spelt = re.search(r"[\[({<_]\s?at\s?[\])}>_]|dot", m.group(), re.I)
             if spelt and not _overlaps(out, m.start(), m.end()):
                 out.append(("email", m.start(), m.end(), True, m.group().lower(), None, None))
-    for sign in _ADDRESS_SIGNS:
-        if sign in low:
-            for pattern in _ADDRESSES:
-                for m in pattern.finditer(text):
-                    if not _overlaps(out, m.start(), m.end()) and not text[max(0, m.start() - 1) : m.start()] in ("`", "/"):
-                        out.append(("address", m.start(), m.end(), True, m.group().lower(), None, None))
-            break
+    streets = [_ADDRESSES[0]] if any(sign in text for sign in _STREET_SIGNS) else []
+    for signs, patterns in _OTHER_SIGNS:
+        if any(sign in low for sign in signs):
+            streets += patterns
+    for pattern in streets:
+        for m in pattern.finditer(text):
+            if not _overlaps(out, m.start(), m.end()) and text[max(0, m.start() - 1) : m.start()] not in ("`", "/"):
+                out.append(("address", m.start(), m.end(), True, m.group().lower(), None, None))
     for m in _LETTERED.finditer(text):
         cued = bool(_CUE.search(text[max(0, m.start() - 48) : m.start()]))
         shaped = bool(_ID_SHAPE.fullmatch(m.group()))
@@ -158,12 +168,12 @@ def spans_of(text: str, parts: dict[str, str]) -> list[tuple]:
             out.append(("id_number", first, end, False, span, None, None))
             if shape[0] in "+(0":
                 out.append(("phone", first, end, False, span, None, None))
-    _names(text, low, parts, out)
+    _names(text, _WORDS.findall(low) if words is None else words, parts, out)
     return out
 
 
-def _names(text: str, low: str, parts: dict[str, str], out: list[tuple]) -> None:
-    known = not parts.keys().isdisjoint(_WORDS.findall(low))
+def _names(text: str, words: list[str], parts: dict[str, str], out: list[tuple]) -> None:
+    known = not parts.keys().isdisjoint(words)
     seen: set[tuple[int, int]] = set()
 
     def add(a: int, b: int, x: str, y: str, sure: bool, reverse: bool = False) -> None:
@@ -237,8 +247,9 @@ def candidates(texts: DataFrame, roster: DataFrame) -> DataFrame:
             for kind, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text:
                     continue
-                words.update(_WORDS.findall(text.lower()))
-                for pii, first, end, sure, instance, given, family in spans_of(text, shared.value):
+                own = _WORDS.findall(text.lower())
+                words.update(own)
+                for pii, first, end, sure, instance, given, family in spans_of(text, shared.value, own):
                     caps = given is not None and text[first].isupper() and instance.rsplit(" ", 1)[-1][:1] != text[end - len(instance.rsplit(" ", 1)[-1]) : end][:1]
                     if pii == "email":
                         words.subtract(_WORDS.findall(instance))
