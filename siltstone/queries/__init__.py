@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from siltstone.queries import analytics
+
+MODULES = (analytics,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.Q.items()}
+SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}
