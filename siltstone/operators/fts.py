@@ -47,7 +47,8 @@ def parse(query: str) -> WebQuery:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+    """Words in lower case; the dotted capital I is read as i, whose lower case else depends on the engine."""
+    return F.filter(F.split(F.lower(F.translate(text, "İ", "i")), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
 
 
 def _holds(words: Column, phrase: tuple[str, ...]) -> Column:

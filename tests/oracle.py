@@ -43,7 +43,8 @@ def compare(spark, sf_dir: str, query, sql: str) -> str:
     at = [names.index(c) for c in cols]
     want = sorted((tuple(_plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
     if len(got) != len(want):
-        return f"{len(got)} rows against {len(want)}; only here {[r for r in got if r not in set(want)][:2]}; only there {[r for r in want if r not in set(got)][:2]}"
+        here, there = set(map(repr, got)), set(map(repr, want))
+        return f"{len(got)} rows against {len(want)}; only here {sorted(here - there)[:2]}; only there {sorted(there - here)[:2]}"
     for g, w in zip(got, want):
         if g != w:
             return f"{g} against {w}"
