@@ -295,7 +295,7 @@ def similar_pairs(texts: DataFrame, width: int = WORDS, similarity: Fraction = S
     a = classed.select("kind", F.col("class_id").alias("class_a"), F.col("id").alias("x"))
     b = classed.select("kind", F.col("class_id").alias("class_b"), F.col("id").alias("y"))
     across = links.join(a, ["kind", "class_a"]).join(b, ["kind", "class_b"]).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return within.unionByName(across)
+    return within.unionByName(across.where("id_a < id_b")).distinct()
 
 
 def record_texts(knowledge_items: DataFrame, procedures: DataFrame) -> DataFrame:
