@@ -94,7 +94,6 @@ def estimate_tokens(text: Column) -> Column:
 
 def truncate_bytes(text: Column, limit: int) -> Column:
     """The longest prefix of at most `limit` bytes that ends with a whole character: three bytes back at most hold a start byte."""
-    head = lambda n: F.expr(f"substring(encode({{}}, 'UTF-8'), 1, {n})")  # noqa: E731,F841
     raw = F.encode(text, "UTF-8")
     cut_ok = F.lit(None).cast("string")
     for back in range(3, -1, -1):
@@ -249,4 +248,4 @@ def headline(text: Column, terms: list[str], words: int = 20) -> Column:
 def strip_fences(text: Column) -> Column:
     """JSON in a model's answer, without the code fence around it."""
     inner = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(text), "^\\s+|\\s+$", "")
