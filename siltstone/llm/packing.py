@@ -57,14 +57,15 @@ def harmonic_fill(sizes: Iterable[int], capacity: int = CAPACITY) -> list[list[i
     return out
 
 
-def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, share_items: int = SHARE_ITEMS) -> DataFrame:
+def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, share_items: int = SHARE_ITEMS, items_known: int | None = None) -> DataFrame:
     """container_id, key, part_no, first, n_tokens: every item with its container. Items larger than the capacity are cut
     into parts of the capacity and a rest; others stay whole. Items of size 0, null or below take no room and are left out.
-    Each worker's share is a hash of the key: it holds about share_items items of all classes, however common a class is."""
+    Each worker's share is a hash of the key: it holds about share_items items of all classes, however common a class is. items_known saves counting the items, where
+    their sizes are dear; it sets the number of shares and nothing else."""
     rows = sized.select(key, F.col(size).cast("bigint").alias("__size")).where("__size > 0")
     cut = rows.withColumn("part_no", F.explode(F.sequence(F.lit(0), ((F.col("__size") - 1) / capacity).cast("int"))))
     items = cut.select(key, "part_no", (F.col("part_no") * F.lit(capacity)).cast("bigint").alias("first"), F.least(F.lit(capacity), F.col("__size") - F.col("part_no") * capacity).cast("bigint").alias("n_tokens"))
-    shares = max(1, math.ceil(sized.count() / share_items))
+    shares = max(1, math.ceil((sized.count() if items_known is None else items_known) / share_items))
     items = items.withColumn("share", F.pmod(F.xxhash64(key, "part_no"), F.lit(shares)))
     schema = T.StructType([T.StructField("container_id", T.LongType()), *items.drop("share").schema])
 

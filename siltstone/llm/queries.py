@@ -80,7 +80,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tokenizing.token_counts(table(spark, sf_dir, "documents")))
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack(tokenizing.token_counts(documents), items_known=documents.count())
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.plans.lineage import cut
+
 LIMIT, OVERLAP = 4000, 200
 
 TURN, PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER = 5, 4, 3, 2, 1, 0
@@ -144,8 +146,8 @@ def oversized_and_miscounted(queue: DataFrame, runs: DataFrame, limit: int = LIM
     """record_type, record_id: `queue` items that had to be cut, and `run` records that claim fewer pieces than the
     transcript of their session's completed item can have. Runs without session or count and sessions without a completed
     transcript are not judged; repeated rows count once."""
-    cut = piece_counts(queue, "transcript", ["id", "session_id", "status"], limit, overlap).where((F.col("n_pieces") > 1) | (F.lower(F.trim("status")) == "completed"))
-    sizes = cut.groupBy("id", "session_id").agg(F.max("n_chars").alias("n_chars"), F.max("n_pieces").alias("n_pieces"), F.max(F.lower(F.trim("status")) == "completed").alias("done"))
+    counts = piece_counts(queue, "transcript", ["id", "session_id", "status"], limit, overlap).where((F.col("n_pieces") > 1) | (F.lower(F.trim("status")) == "completed"))
+    sizes = cut(counts.groupBy("id", "session_id").agg(F.max("n_chars").alias("n_chars"), F.max("n_pieces").alias("n_pieces"), F.max(F.lower(F.trim("status")) == "completed").alias("done")))
     large = sizes.where("n_pieces > 1").select(F.lit("queue").alias("record_type"), F.col("id").alias("record_id")).distinct()
     done = sizes.where("done").groupBy("session_id").agg(F.max("n_chars").alias("n_chars"))
     judged = runs.select("id", "session_id", "chunks_processed").where("chunks_processed is not null").join(done, "session_id")

@@ -147,9 +147,8 @@ class _Tail:
 TAIL_SCHEMA = "doc_id bigint, source string, chars bigint, bytes bigint, whole bigint, marked boolean, open boolean, stop boolean, dotted boolean, kind string, w1 string, keys array<bigint>, node bigint, dot bigint"
 
 
-def tails(documents: DataFrame) -> DataFrame:
+def tails(documents: DataFrame, closings) -> DataFrame:
     """One row for each text that isn't blank, with what its end shows and the keys of the counts that judge it."""
-    closings = documents.sparkSession.sparkContext.broadcast(_by_source(closing_lines(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda h: h - (1 << 64) if h >> 63 else h
@@ -185,7 +184,8 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8))
         known: dict[str, int] = {}
-        below: dict[str, tuple[int, list[int]]] = {}
+        below: dict[str, tuple[int, list[int], int]] = {}
+        units: dict[tuple[str, str], tuple[str, int, int]] = {}
         counts: list[Counter] = [Counter(), Counter(), Counter()]
 
         def key_of(key: str) -> int:
@@ -197,14 +197,20 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
                 h = known[key] = h if table[h >> (64 - bits)] else 0
             return h
 
-        def nodes_of(word: str) -> tuple[int, list[int]]:
-            nodes = below.get(word)
-            if nodes is None:
-                if len(below) > HELD:
-                    below.clear()
-                nodes = below[word] = (key_of("n\t" + word), [h for n in range(1, min(len(word), 64)) if (h := key_of("n\t" + word[:n]))])
+        def nodes_of(word: str) -> tuple[int, list[int], int]:
+            if len(below) > HELD:
+                below.clear()
+            nodes = below[word] = (key_of("n\t" + word), [h for n in range(1, min(len(word), 64)) if (h := key_of("n\t" + word[:n]))], key_of("d\t" + word))
             return nodes
 
+        def unit_of(kind: str, token: str) -> tuple[str, int, int]:
+            """The word with its digits levelled, and its keys: if the word ends no text, no longer key of it does."""
+            if len(units) > HELD:
+                units.clear()
+            w1 = _word(token)
+            unit = units[kind, token] = (w1, key_of(_keys(kind, "", "", w1)[2]), key_of(_keys(kind, "", "", w1)[3]))
+            return unit
+
         def flush() -> Iterator[pa.RecordBatch]:
             keys = list(set().union(*counts))
             cols = [pa.array(np.array(keys, dtype=np.uint64).view(np.int64))] + [pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counts]
@@ -218,33 +224,40 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
                     continue
                 tail = _Tail(text, closings.value.get(source, ()), entity_type)
                 body = text.replace("\r\n", "\n")[: len(tail.body)] if text.startswith(tail.body[:1]) else tail.body
-                inside, w3, w2 = False, "", ""
+                inside, w3, w2, fresh = False, "", "", True
                 ms = list(_token.finditer(body))
-                line_start, kind, last = -1, "prose", len(ms) - 1
+                line_start, kind, last = 0, "prose", len(ms) - 1
                 for i, m in enumerate(ms):
-                    start = body.rfind("\n", 0, m.start()) + 1 if i == 0 or "\n" in body[ms[i - 1].end() : m.start()] else line_start
-                    if start != line_start:
-                        if body[line_start + 1 if line_start < 0 else line_start : start].count("```") % 2:
+                    token, end = m.group(), m.end()
+                    if fresh:
+                        start = body.rfind("\n", 0, m.start()) + 1
+                        if body.count("```", line_start, start) % 2:
                             inside = not inside
-                        line_start = start
-                        end = body.find("\n", start)
-                        kind = _line_kind(body[start : end if end >= 0 else len(body)], entity_type, inside)
-                    token = m.group()
-                    w1 = _word(token)
-                    gap = body[m.end() : ms[i + 1].start() if i < last else len(body)]
-                    follows = STOP if i == last and tail.stop else BARE if i == last and tail.marked else _follows(gap, i == last)
+                        line_start, stop = start, body.find("\n", start)
+                        kind = _line_kind(body[start : stop if stop >= 0 else len(body)], entity_type, inside)
+                    gap = body[end : ms[i + 1].start() if i < last else len(body)]
+                    fresh = "\n" in gap
+                    if gap == " ":
+                        follows = MIDDLE
+                    else:
+                        follows = STOP if i == last and tail.stop else BARE if i == last and tail.marked else _follows(gap, i == last)
                     into = counts[follows]
-                    for key in _keys(kind, w3, w2, w1):
-                        if h := key_of(key):
-                            into[h] += 1
+                    w1, u, shape = units.get((kind, token)) or unit_of(kind, token)
+                    if shape:
+                        into[shape] += 1
+                    if u:
+                        into[u] += 1
+                        for key in _keys(kind, w3, w2, w1)[:2]:
+                            if h := key_of(key):
+                                into[h] += 1
                     if i < last:
-                        own, longer = nodes_of(token)
+                        own, longer, dot = below.get(token) or nodes_of(token)
                         if own:
                             counts[STOP][own] += 1
                         for h in longer:
                             counts[MIDDLE][h] += 1
-                        if gap[:1] == "." and (h := key_of("d\t" + token)):
-                            counts[STOP if follows == STOP else MIDDLE][h] += 1
+                        if dot and gap[:1] == ".":
+                            counts[STOP if follows == STOP else MIDDLE][dot] += 1
                     w3, w2 = w2, w1
                 if sum(map(len, counts)) > HELD:
                     yield from flush()
@@ -268,12 +281,13 @@ def length_piles(ends: DataFrame) -> DataFrame:
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source, cut_off for each text that isn't null, empty or blank; others are no cases and get no row. Texts are
     read whole. Ties (as many endings as continuations) count as complete. Null sources are one source."""
-    ends = cut(tails(documents))
+    sc = documents.sparkSession.sparkContext
+    closings = sc.broadcast(_by_source(closing_lines(documents)))
+    ends = cut(tails(documents, closings))
     keys = ends.select(F.explode(F.concat("keys", F.when(~F.col("stop"), F.array("node")).otherwise(F.slice("keys", 1, 0)), F.when(F.col("dot").isNotNull(), F.array("dot")).otherwise(F.slice("keys", 1, 0)))).alias("key")).distinct()
     keys = cut(keys)
     bits = bits_for(keys.count())
-    sc = documents.sparkSession.sparkContext
-    wanted, closings = sc.broadcast(bit_table(keys, bits)), sc.broadcast(_by_source(closing_lines(documents)))
+    wanted = sc.broadcast(bit_table(keys, bits))
     counts = cut(corpus_counts(documents, wanted, bits, closings))
     bare = ends.where(~F.col("stop"))
     evidence = bare.select("doc_id", F.posexplode("keys").alias("level", "key")).join(counts, "key")
