@@ -63,11 +63,11 @@ _PHONE = re.compile(
 _PHONE_CUE = re.compile(r"(?:\b(?:tel(?:efon|efono|éfono|ephone)?|phone|call(?:ed)?|mobile|mob|cell|fax|handy|whatsapp|pager|gsm|ara|sms)\b[\s.:=#]*(?:(?:is|at|on|no|number)\b[\s.:]*)?)$", re.I)
 
 # Words that make a street.
-_NAME_WORD = rf"(?:[A-ZÄÖÜÇĞİŞÉÈÀÑ]{_L}*[.'’\-]?{_L}*)"
+_NAME_WORD = rf"(?:[A-ZÄÖÜÇĞİŞÉÈÀÑ]{_L}*(?:['’\-]{_L}+)*|St\.|Mt\.|Dr\.)"
 _ADDRESSES = [
     re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]?,?\s+(?:[NSEW]{{1,2}}\.?\s+)?(?:{_NAME_WORD}\s+){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Close|Crescent|Row|Walk|Parkway|STREET|ST|ROAD|RD|AVENUE|AVE|LANE|LN|DRIVE|DR|COURT|CT|WAY|BOULEVARD|BLVD|PLACE|SQUARE|TERRACE|CLOSE|CRESCENT)\b\.?"),
     re.compile(rf"(?<![\w.\-/])\d{{1,5}}[a-z]?,?\s+(?:{_L}+\s+){{1,2}}(?:street|road|avenue|lane|court|boulevard)\b,?\s+{_L}+,?\s+\d{{4,5}}"),
-    re.compile(rf"(?<!\w){_L}[\w\-]*?(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|STRASSE|STRAßE|STR\.)\s*(?:Nr\.?\s*)?\d{{1,4}}\s?[A-Za-z]?(?![\w])"),
+    re.compile(rf"(?<![\w+/=]){_L}(?:{_L}|-)*?(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|STRASSE|STRAßE|STR\.)\s*(?:Nr\.?\s*)?\d{{1,4}}\s?[A-Za-z]?(?![\w])"),
     re.compile(rf"(?<!\w)(?:[A-ZÄÖÜ]{_L}+(?:er|es)?\s)(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee)\s*(?:Nr\.?\s*)?\d{{1,4}}\s?[a-z]?(?!\w)"),
     re.compile(rf"(?<![\w.\-/])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|RUE|AVENUE|BOULEVARD|Rue|Avenue|Boulevard)\s+(?:(?:du|de\sla|des|de|DU|DE\sLA|DES|DE)\s+|d['’]|l['’])?{_NAME_WORD}"),
     re.compile(rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrer|CALLE|AVENIDA|calle|Via|Viale|Rua)\s+(?:(?:de|del|de\sla)\s+)?{_NAME_WORD}(?:\s{_NAME_WORD})?,?\s+(?:n[º°o]?\.?\s*)?\d{{1,4}}", re.I),
