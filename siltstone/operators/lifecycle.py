@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import scores
 from siltstone.operators.analytics import since
+from siltstone.plans.folding import ordered_fold
 
 
 def memory_decay(items: DataFrame, as_of: str) -> DataFrame:
@@ -115,29 +117,24 @@ def alerts(logs: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
 
 
 def token_bucket(requests: DataFrame, by: str, time: str, capacity: float = 60, window: float = 60.0) -> DataFrame:
-    """by, time, allowed: requests of each key in order against a bucket that refills evenly. A key is folded as a whole,
-    in one pass over its times and in constant memory besides its rows."""
-    import pandas as pd
+    """by, time, allowed: requests of each key in order against a bucket that refills evenly. A key's requests pass as a
+    stream; only its bucket is held."""
 
-    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    def step(state: tuple, t) -> tuple:
+        tokens, last = state
+        if last is not None:
+            tokens = min(capacity, tokens + (t - last).total_seconds() * capacity / window)
+        ok = tokens >= 1
+        return (tokens - ok, t), (ok,)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        tokens, last, out = capacity, None, []
-        for t in pdf[time]:
-            if last is not None:
-                tokens = min(capacity, tokens + (t - last).total_seconds() * capacity / window)
-            last = t
-            ok = tokens >= 1
-            tokens -= ok
-            out.append(ok)
-        return pdf.assign(allowed=out)[[by, time, "allowed"]]
-
-    return requests.select(by, time).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {time} {kinds[time]}, allowed boolean")
+    return ordered_fold(requests, by, time, {"allowed": T.BooleanType()}, lambda: (capacity, None), step)
 
 
 def cooled_down(rows: DataFrame, by: str, time: str, seconds: float = 30.0) -> DataFrame:
-    """rows that come at least `seconds` after the last one of their key that was let through."""
-    held = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_set(scores.seconds(F.col(time)))).alias("ts"))
-    kept = F.aggregate("ts", F.expr("cast(array() as array<double>)"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= seconds), F.concat(a, F.array(t))).otherwise(a))
-    return held.select(by, F.explode(kept).alias("second"))
+    """by, time of the rows that come at least `seconds` after the last one of their key that was let through."""
+
+    def step(last, t) -> tuple:
+        ok = last == 0 or (t - last).total_seconds() >= seconds
+        return (t, ()) if ok else (last, None)
+
+    return ordered_fold(rows, by, time, {}, lambda: 0, step)

@@ -7,9 +7,9 @@ blocks against all rows; vectors are compared in blocks with NumPy, and each tas
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,31 +31,33 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector
     QUERY_BLOCK; of each block and batch of rows only the k best go on, so a query costs k rows a task in the shuffle. Ties
     go to the smaller id. Rows with a null vector, or one of another length than the query's, have no score."""
     spark = rows.sparkSession
-    pairs = [(r[0], r[1]) for r in queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator()]
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator()
     kind = rows.schema[key].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
     out = None
-    for at in range(0, len(pairs), QUERY_BLOCK):
-        block = pairs[at : at + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast(([p[0] for p in block], np.array([p[1] for p in block], dtype=np.float64)))
+    while block := list(islice(asked, QUERY_BLOCK)):
+        by_length: dict[int, tuple[list, list]] = {}
+        for query_id, v in block:
+            if None not in v:
+                ids, vectors = by_length.setdefault(len(v), ([], []))
+                ids.append(query_id)
+                vectors.append(v)
+        shared = spark.sparkContext.broadcast({n: (ids, _unit(np.array(vs, dtype=np.float64))) for n, (ids, vs) in by_length.items()})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            q = _unit(q)
             for batch in batches:
-                keys = batch.column(0).to_pylist()
-                vectors = batch.column(1).to_pylist()
-                fit = [i for i, v in enumerate(vectors) if v is not None and len(v) == q.shape[1] and None not in v]
-                if not fit:
-                    continue
-                sims = q @ _unit(np.array([vectors[i] for i in fit], dtype=np.float64)).T
-                fit_keys = np.array([keys[i] for i in fit], dtype=object)
-                rows_out = []
-                for j, qid in enumerate(ids):
-                    best = np.lexsort((fit_keys, -np.round(sims[j], 12)))[: k + 1]
-                    rows_out += [(qid, fit_keys[i], float(sims[j, i])) for i in best if include_self or fit_keys[i] != qid][:k]
-                cols = list(zip(*rows_out)) if rows_out else [[], [], []]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(dict(zip(("query_id", "id", "score"), cols))), preserve_index=False)
+                keys, vectors, rows_out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+                for n, (ids, q) in shared.value.items():
+                    fit = [i for i, v in enumerate(vectors) if v is not None and len(v) == n and None not in v]
+                    if not fit or not n:
+                        continue
+                    fit_keys = np.array([keys[i] for i in fit])
+                    sims = q @ _unit(np.array([vectors[i] for i in fit], dtype=np.float64)).T
+                    for j, qid in enumerate(ids):
+                        best = np.lexsort((fit_keys, -np.round(sims[j], 12)))[: k + 1]
+                        rows_out += [(qid, keys[fit[i]], float(sims[j, i])) for i in best if include_self or keys[fit[i]] != qid][:k]
+                cols = list(zip(*rows_out)) if rows_out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], batch.column(0).type), pa.array(cols[2], pa.float64())], names=schema.names)
 
         near = rows.select(key, vector).mapInArrow(run, schema)
         out = near if out is None else out.unionByName(near)

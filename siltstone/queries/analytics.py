@@ -48,13 +48,11 @@ def ctr_feedback(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH" + SEARCHES + """, shown AS (SELECT unnest(result_ids) AS entity, count(*) AS shown FROM searches GROUP BY 1), clicked AS (SELECT unnest(clicked_ids) AS entity, count(*) AS clicked FROM searches GROUP BY 1),
-items AS (SELECT id, 'e' || (row_number() OVER (ORDER BY id) % 97) AS entity, feedback_boost FROM (SELECT id, max(feedback_boost) AS feedback_boost FROM knowledge_items GROUP BY 1))
+items AS (SELECT id, 'e' || (('0x' || left(md5(id), 8))::BIGINT % 97) AS entity, feedback_boost FROM (SELECT id, max(feedback_boost) AS feedback_boost FROM knowledge_items GROUP BY 1))
 SELECT id, round(coalesce(least(coalesce(clicked, 0)::DOUBLE / shown, 1.0::DOUBLE), feedback_boost::DOUBLE), 5) AS boost FROM items LEFT JOIN shown USING (entity) LEFT JOIN clicked USING (entity)""")
 def feedback_update(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     items = table(s, d, "knowledge_items").groupBy("id").agg(F.max("feedback_boost").alias("feedback_boost"))
-    items = items.withColumn("entity", F.concat(F.lit("e"), (F.row_number().over(Window.orderBy("id")) % 97).cast("string")))
+    items = items.withColumn("entity", F.concat(F.lit("e"), (F.conv(F.left(F.md5("id"), F.lit(8)), 16, 10).cast("bigint") % 97).cast("string")))
     out = A.apply_feedback(items, A.ctr_feedback(searches(s, d)), "entity")
     return out.select("id", F.round(F.col("feedback_boost").cast("double"), 5).alias("boost"))
 
