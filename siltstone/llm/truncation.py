@@ -24,13 +24,21 @@ from pyspark.sql import functions as F
 from siltstone.llm.bits import bit_table, bits_for
 from siltstone.plans.lineage import cut
 
+#: A final word is the beginning of a longer one if longer words go on from it so many times as often as it stands alone.
+#: In prose, where bare ends are rare, fewer suffice.
+PREFIX_RATIO, PROSE_PREFIX_RATIO = 20, 2
+
+#: Places that are added to those seen of a word.
+USUAL_PLACES = 6
+
 #: Counters that a task holds before it hands them on.
 HELD = 400_000
 
 #: A source's closing lines: those of this share of its texts, and of at least so many.
-CLOSING_SHARE, CLOSING_TEXTS = 0.12, 4
+CLOSING_SHARE, CLOSING_TEXTS, MOST_CLOSING = 0.12, 4, 200
 
-_token = re.compile(r"\w+")
+_token = re.compile(r"\d+(?:\.\d+)+(?!\w)|\w+")
+_letter = re.compile(r"\w")
 _digits = re.compile(r"\d+")
 _marker = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|…|\.\.\.)$")
 _sentence_end = re.compile(r"[.?!。！？।؟…]")
@@ -96,9 +104,10 @@ def _follows(gap: str, at_end: bool) -> int:
 
 
 def closing_lines(documents: DataFrame) -> DataFrame:
-    """source, closing: the last one or two lines that many texts of a source share; sources sign what they hand on."""
-    lines = F.split(F.rtrim(F.regexp_replace(F.regexp_replace("text", "(?U)\\s+$", ""), "\r\n?", "\n")), "\n")
-    last = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.array_join(F.slice(lines, -F.least(k, F.size(lines)), k), "\n")), lambda s: (s != "") & (F.length(s) <= 200))
+    """source, closing: the last one or two lines that many texts of a source share; sources sign what they hand on. A closing has at most MOST_CLOSING characters, so the ends of texts suffice."""
+    end = F.right(F.rtrim("text", F.lit(" \t\r\n\u000b\f\u00a0\u2003\u3000")), F.lit(2 * MOST_CLOSING + 4))
+    lines = F.split(F.regexp_replace(end, "\r\n", "\n"), "\n")
+    last = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.array_join(F.slice(lines, -F.least(k, F.size(lines)), k), "\n")), lambda s: (s != "") & (F.length(s) <= MOST_CLOSING))
     rows = documents.where("text is not null and source is not null").select("source", F.array_distinct(last).alias("lasts"))
     totals = rows.groupBy("source").agg(F.count("*").alias("texts"))
     counts = rows.select("source", F.explode("lasts").alias("closing")).groupBy("source", "closing").agg(F.count("*").alias("k")).where(F.col("k") >= CLOSING_TEXTS)
@@ -124,7 +133,7 @@ class _Tail:
         line = body[start:]
         self.kind = _line_kind(line, entity_type, inside)
         tokens = [m.group() for m in _token.finditer(body, max(0, len(body) - 400))]
-        found = _token.search(body[::-1])
+        found = _letter.search(body[::-1])
         self.trail = body[len(body) - found.start() :] if found else body[-20:]
         self.w1 = tokens[-1] if tokens else ""
         self.words = [_word(t) for t in ["", "", *tokens][-3:]]
@@ -269,13 +278,13 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
 
 def length_piles(ends: DataFrame) -> DataFrame:
     """source, unit, length: lengths (characters or bytes of the text without closing lines, or characters with them) at
-    which texts of a source pile up: four at least, and eight times what lengths around it have on average."""
+    which texts of a source pile up: six at least, and three more than eight times what lengths around it have on average."""
     units = F.explode(F.map_from_arrays(F.array(*map(F.lit, ("chars", "bytes", "whole"))), F.array("chars", "bytes", "whole"))).alias("unit", "length")
     counts = ends.select(F.coalesce("source", F.lit("")).alias("source"), units).groupBy("source", "unit", "length").agg(F.count("*").alias("k"))
     around = counts.select("source", "unit", F.floor(F.col("length") / 64).alias("part"), "length", "k")
     parts = around.groupBy("source", "unit", "part").agg(F.sum("k").alias("part_k"))
     beside = parts.select("source", "unit", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"), "part_k").groupBy("source", "unit", "part").agg(F.sum("part_k").alias("near"))
-    return around.where("k >= 4").join(beside, ["source", "unit", "part"]).where((F.col("k") * 191 >= 8 * (F.col("near") - F.col("k"))) & (F.col("length") >= 64)).select("source", "unit", "length")
+    return around.where("k >= 6").join(beside, ["source", "unit", "part"]).where(((F.col("k") - 3) * 191 >= 8 * (F.col("near") - F.col("k"))) & (F.col("length") >= 64)).select("source", "unit", "length")
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -294,7 +303,8 @@ def judged(documents: DataFrame) -> DataFrame:
     # The text's own end is among the bare ends.
     others = (F.col("bare") - 1).alias("bare")
     support = evidence.select("doc_id", "level", "middle", "stop", others).where(F.col("middle") + F.col("stop") + F.col("bare") >= 3)
-    best = support.groupBy("doc_id").agg(F.min_by(F.struct("middle", "stop", "bare", "level"), "level").alias("e"))
+    seen = F.struct("middle", "stop", "bare", "level")
+    best = support.groupBy("doc_id").agg(F.min_by(seen, "level").alias("e"), F.max(F.when(F.col("level") == 3, seen)).alias("shape"))
     node = counts.select(F.col("key").alias("node"), F.col("middle").alias("longer"), F.col("stop").alias("same"))
     dot = counts.select(F.col("key").alias("dot"), F.col("middle").alias("inner_dots"), F.col("stop").alias("final_dots"))
     piles = length_piles(ends)
@@ -303,13 +313,16 @@ def judged(documents: DataFrame) -> DataFrame:
     rows = ends.join(best, "doc_id", "left").join(node, "node", "left").join(dot, "dot", "left").join(at_pile, "doc_id", "left")
     rows = rows.withColumn("piled", F.coalesce("piled", F.lit(False)))
     nothing = lambda c: F.coalesce(c, F.lit(0))
-    in_word = (nothing("same") == 0) & (nothing("longer") > 0)
-    share = F.col("e.bare") / (F.col("e.middle") + F.col("e.stop") + F.col("e.bare"))
+    # A word that hardly ever stands alone where longer words go on is the beginning of one of these; numbers tell nothing.
+    in_word = (nothing("longer") > 0) & (nothing("same") * F.when(F.col("kind") == "prose", PROSE_PREFIX_RATIO).otherwise(PREFIX_RATIO) <= nothing("longer")) & ~F.col("w1").rlike("^[0-9.]+$")
+    of = lambda e: F.col(f"{e}.middle") + F.col(f"{e}.stop") + F.col(f"{e}.bare")
+    # Few places say little about a word: outside of prose USUAL_PLACES more are added that are like those of words of its shape.
+    usual = F.when(F.col("kind") == "prose", 0.0).otherwise(F.coalesce(F.col("shape.bare") / of("shape"), F.lit(0.0)))
+    share = (F.col("e.bare") + USUAL_PLACES * usual) / (of("e") + F.when(F.col("kind") == "prose", 0).otherwise(USUAL_PLACES))
     # Prose hardly ever ends bare, other lines often do: there a few bare ends outweigh the places where the text goes on.
-    least = F.when(F.col("piled"), 0.9).when(F.col("kind") == "prose", 0.5).otherwise(0.08)
-    goes_on = F.when(F.col("e").isNull(), F.col("piled") | (F.col("kind") == "prose")).otherwise((share < least) | (F.col("piled") & (F.col("e.level") == 3)))
+    goes_on = F.when(F.col("e").isNull(), F.col("kind") == "prose").otherwise(share < F.when(F.col("kind") == "prose", 0.5).otherwise(0.08))
     inside_path = F.col("dotted") & (nothing("inner_dots") >= 3) & (nothing("final_dots") == 0)
-    verdict = F.col("open") | F.when(F.col("stop"), inside_path).otherwise(in_word | goes_on)
+    verdict = F.col("open") | F.when(F.col("stop"), inside_path).otherwise(F.col("piled") | in_word | goes_on)
     return rows.select("doc_id", "source", F.coalesce(verdict, F.lit(False)).alias("cut_off"), "kind", "piled", in_word.alias("in_word"), "open", "e", "w1", "marked", inside_path.alias("inside_path"), "same", "longer")
 
 

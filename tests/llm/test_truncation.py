@@ -9,10 +9,11 @@ SENTENCES = ["The nightly job failed again because of a stale lease.", "We rebui
 
 def corpus():
     rnd = random.Random(4)
-    rows = [(i, " ".join(rnd.choice(SENTENCES) for _ in range(6)), "s1") for i in range(200)]
-    rows += [(1000 + i, " ".join(rnd.choice(SENTENCES) for _ in range(3)) + "\n- pin the parser in lease.py", "s2") for i in range(40)]
-    rows += [(2000 + i, " ".join(rnd.choice(SENTENCES) for _ in range(3)) + f"\nFixes #{i}", "s2") for i in range(30)]
-    rows += [(3000 + i, " ".join(rnd.choice(SENTENCES) for _ in range(3)) + "\n-- \nsent by the relay", "s3") for i in range(30)]
+    sentence = lambda: rnd.choice(SENTENCES).replace(".", "") + "".join(" abcdefghij"[: rnd.randint(4, 10)] for _ in range(rnd.randint(0, 9))) + "."
+    rows = [(i, " ".join(sentence() for _ in range(6)), "s1") for i in range(200)]
+    rows += [(1000 + i, " ".join(sentence() for _ in range(3)) + "\n- pin the parser in lease.py", "s2") for i in range(40)]
+    rows += [(2000 + i, " ".join(sentence() for _ in range(3)) + f"\nFixes #{i}", "s2") for i in range(30)]
+    rows += [(3000 + i, " ".join(sentence() for _ in range(3)) + "\n-- \nsent by the relay", "s3") for i in range(30)]
     return rows
 
 
