@@ -22,10 +22,12 @@ from siltstone.plans.lineage import cut
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
-#: Rounds of scoring. A new name part needs this share of its occurrences beside known parts, of so many different ones; a
-#: pattern needs this share of accepted instances, and so many different ones.
+#: Rounds of scoring. A new name part needs one of these shares of its occurrences beside known parts, of so many different
+#: ones: machines and branches are called after people, so a small share will do with more partners. A pattern needs this
+#: share of accepted instances, and so many different ones.
 ROUNDS = 3
 PART_SHARE, PART_PARTNERS = 0.3, 2
+LOW_PART_SHARE, LOW_PART_PARTNERS = 0.08, 3
 PATTERN_SHARE, PATTERN_INSTANCES = 0.6, 4
 
 #: Two credible patterns make an instance credible, or a single one with so many accepted instances and this share of them.
@@ -85,7 +87,6 @@ _OTHER_SIGNS = (
 
 _WORDS = re.compile(rf"{_L}+")
 _CAPITALS = re.compile(rf"(?<![\w.@\-])(?:[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}}(?:,? |\s[A-Z]\.?\s)[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}}|[A-ZÀ-Ý]\.\s?[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}})(?![\w@])")
-_GAP = re.compile(r"[ \t ]?\s|,\s?|\s[A-Za-z]\.?\s|\.\s?")
 _TOKENS = re.compile(r"\w+|[^\w\s]")
 
 SPAN_SCHEMA = T.StructType(
@@ -177,7 +178,7 @@ def _names(text: str, words: list[str], parts: dict[str, str], out: list[tuple])
     seen: set[tuple[int, int]] = set()
 
     def add(a: int, b: int, x: str, y: str, sure: bool, reverse: bool = False) -> None:
-        if (a, b) not in seen and not _overlaps([s for s in out if s[0] == "email"], a, b):
+        if (a, b) not in seen and not _overlaps([s for s in out if s[0] in ("email", "address")], a, b):
             seen.add((a, b))
             given, family = (y, x) if reverse else (x, y)
             out.append(("name", a, b, sure, f"{x} {y}", given, family))
@@ -216,10 +217,11 @@ def _names(text: str, words: list[str], parts: dict[str, str], out: list[tuple])
                 if len(x) == 1:
                     sure = kinds[1] in ("family", "both")
                 add(a.start(), b.end(), x, y, sure, comma or kinds[0] == "family" or kinds[1] == "given")
-    for m in _CAPITALS.finditer(text):
+    at = 0
+    while m := _CAPITALS.search(text, at):
         ws = _WORDS.findall(m.group().lower())
-        x, y = ws[0], ws[-1]
-        add(m.start(), m.end(), x, y, False, "," in m.group())
+        add(m.start(), m.end(), ws[0], ws[-1], False, "," in m.group())
+        at = m.end() - len(ws[-1])  # the second word may begin the next pair
 
 
 def candidates(texts: DataFrame, roster: DataFrame) -> DataFrame:
@@ -277,7 +279,9 @@ def _name_parts(names: DataFrame, words: DataFrame, roster: DataFrame) -> DataFr
                 pairs.select(other).where(F.length(other) == 1).distinct() if kind == "family" else known.select(F.col("part").alias(other)).limit(0)
             )
             near = pairs.join(partner, other).where(F.length(kind) > 2).groupBy(F.col(kind).alias("part")).agg(F.sum("n").alias("near"), F.sum("caps").alias("caps"), F.count("*").alias("partners"))
-            scored = near.join(words.withColumnRenamed("word", "part"), "part").where((F.col("partners") >= PART_PARTNERS) & (F.col("near") >= PART_SHARE * F.col("count")) & (2 * F.col("caps") >= F.col("near")))
+            reach = lambda share, partners: (F.col("partners") >= partners) & (F.col("near") >= share * F.col("count"))
+            enough = reach(PART_SHARE, PART_PARTNERS) | reach(LOW_PART_SHARE, LOW_PART_PARTNERS)
+            scored = near.join(words.withColumnRenamed("word", "part"), "part").where(enough & (2 * F.col("caps") >= F.col("near")))
             found.append(scored.select("part", F.lit(kind).alias("kind")))
         known = cut(known.unionByName(found[0]).unionByName(found[1]).distinct())
     return known
@@ -299,7 +303,7 @@ def findings(texts: DataFrame, roster: DataFrame) -> DataFrame:
     state = spans.join(good, ["record_type", "record_id", "pii_type", "first", "end"], "left")
     state = state.withColumn("ok", F.col("good").isNotNull() | (F.col("sure") & (F.col("pii_type") != "name"))).drop("good")
     # Words that are common outside of names can't be parts of one, whatever stands around them.
-    common = words.join(names.select(F.explode(F.array("given", "family")).alias("word")).groupBy("word").agg(F.count("*").alias("k")), "word").where(F.col("k") < PART_SHARE * F.col("count")).select("word")
+    common = words.join(names.select(F.explode(F.array("given", "family")).alias("word")).groupBy("word").agg(F.count("*").alias("k")), "word").where(F.col("k") < LOW_PART_SHARE * F.col("count")).select("word")
     plain = names.join(common.withColumnRenamed("word", "given"), "given", "left_semi").select("record_type", "record_id", "pii_type", "first", "end")
     plain = plain.unionByName(names.join(common.withColumnRenamed("word", "family"), "family", "left_semi").select("record_type", "record_id", "pii_type", "first", "end")).distinct()
     state = cut(state.join(plain.withColumn("plain", F.lit(True)), ["record_type", "record_id", "pii_type", "first", "end"], "left").withColumn("plain", F.coalesce("plain", F.lit(False))))
