@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,19 +135,29 @@ def signal_weight(query_type: Column, signal: str) -> Column:
     return out
 
 
-def domain_score(text: Column, domain: str) -> Column:
-    low = F.lower(text)
-    return sum((low.contains(w).cast("int") for w in DOMAIN_WORDS[domain]), F.lit(0))
+def domain_of(text: str | None, automaton) -> str:
+    found = {w for _, w in automaton.iter((text or "").lower())}
+    scores = [(sum(w in found for w in words), i, d) for i, (d, words) in enumerate(DOMAIN_WORDS.items())]
+    best, _, domain = max(scores)
+    return domain if best >= 3 else "general"
 
 
 def detect_domain(text: Column) -> Column:
-    """The domain with most words in the text, the last of equals; general below three."""
-    scores = {d: domain_score(text, d) for d in DOMAIN_WORDS}
-    best = F.greatest(*scores.values())
-    out = F.lit("general")
-    for d, s in scores.items():
-        out = F.when((s == best) & (best >= 3), d).otherwise(out)
-    return out
+    """The domain with most words in the text, the last of equals; general below three and for null. One automaton finds all
+    two hundred words in one pass, which is several times as fast as as many searches inside the JVM."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for words in DOMAIN_WORDS.values():
+            for w in words:
+                automaton.add_word(w, w)
+        automaton.make_automaton()
+        return pd.Series([domain_of(t, automaton) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def classify_severity(subject: Column) -> Column:
