@@ -38,6 +38,7 @@ HELD = 400_000
 CLOSING_SHARE, CLOSING_TEXTS, MOST_CLOSING = 0.12, 4, 200
 
 _token = re.compile(r"\d+(?:\.\d+)+(?!\w)|\w+")
+_token_and_gap = re.compile(r"(\d+(?:\.\d+)+(?!\w)|\w+)(\W*)")
 _letter = re.compile(r"\w")
 _digits = re.compile(r"\d+")
 _marker = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|…|\.\.\.)$")
@@ -193,9 +194,12 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8))
         known: dict[str, int] = {}
-        below: dict[str, tuple[int, list[int], int]] = {}
-        units: dict[tuple[str, str], tuple[str, int, int]] = {}
+        below: dict[str, tuple[int, list[int]]] = {}
         counts: list[Counter] = [Counter(), Counter(), Counter()]
+        # Words are counted as they are, by kind of line and by what follows; their keys are drawn once a batch.
+        seen: dict[str, list[Counter]] = {}
+        ends: Counter = Counter()
+        wanted_words: dict[str, dict[str, str | bool]] = {}
 
         def key_of(key: str) -> int:
             h = known.get(key)
@@ -206,19 +210,41 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
                 h = known[key] = h if table[h >> (64 - bits)] else 0
             return h
 
-        def nodes_of(word: str) -> tuple[int, list[int], int]:
+        def nodes_of(word: str) -> tuple[int, list[int]]:
             if len(below) > HELD:
                 below.clear()
-            nodes = below[word] = (key_of("n\t" + word), [h for n in range(1, min(len(word), 64)) if (h := key_of("n\t" + word[:n]))], key_of("d\t" + word))
+            nodes = below[word] = (key_of("n\t" + word), [h for n in range(1, min(len(word), 64)) if (h := key_of("n\t" + word[:n]))])
             return nodes
 
-        def unit_of(kind: str, token: str) -> tuple[str, int, int]:
-            """The word with its digits levelled, and its keys: if the word ends no text, no longer key of it does."""
-            if len(units) > HELD:
-                units.clear()
+        def ends_a_text(kind: str, token: str) -> str | bool:
+            """The word with its digits levelled if some text ends with it, else False: then no longer key of it is asked for."""
+            held = wanted_words[kind]
+            if len(held) > HELD:
+                held.clear()
             w1 = _word(token)
-            unit = units[kind, token] = (w1, key_of(_keys(kind, "", "", w1)[2]), key_of(_keys(kind, "", "", w1)[3]))
-            return unit
+            held[token] = w1 if key_of(_keys(kind, "", "", w1)[2]) else False
+            return held[token]
+
+        def settle() -> None:
+            words: Counter = Counter()
+            for kind, by in seen.items():
+                for follows, tokens in enumerate(by):
+                    into = counts[follows]
+                    for token, n in tokens.items():
+                        for key in _keys(kind, "", "", _word(token))[2:]:
+                            if h := key_of(key):
+                                into[h] += n
+                    words.update(tokens)
+                    tokens.clear()
+            words.subtract(ends)
+            ends.clear()
+            for word, n in words.items():
+                if n:
+                    own, longer = below.get(word) or nodes_of(word)
+                    if own:
+                        counts[STOP][own] += n
+                    for h in longer:
+                        counts[MIDDLE][h] += n
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = list(set().union(*counts))
@@ -232,44 +258,49 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
                 if text is None or not text.strip():
                     continue
                 tail = _Tail(text, closings.value.get(source, ()), entity_type)
-                body = text.replace("\r\n", "\n")[: len(tail.body)] if text.startswith(tail.body[:1]) else tail.body
-                inside, w3, w2, fresh = False, "", "", True
-                ms = list(_token.finditer(body))
-                line_start, kind, last = 0, "prose", len(ms) - 1
-                for i, m in enumerate(ms):
-                    token, end = m.group(), m.end()
+                body = tail.body
+                start = _letter.search(body)
+                if not start:
+                    continue
+                at, inside, w3, w2, fresh, line_start = start.start(), False, "", "", True, 0
+                pairs = _token_and_gap.findall(body, at)
+                last = len(pairs) - 1
+                for i, (token, gap) in enumerate(pairs):
                     if fresh:
-                        start = body.rfind("\n", 0, m.start()) + 1
-                        if body.count("```", line_start, start) % 2:
+                        line = body.rfind("\n", 0, at) + 1
+                        if body.count("```", line_start, line) % 2:
                             inside = not inside
-                        line_start, stop = start, body.find("\n", start)
-                        kind = _line_kind(body[start : stop if stop >= 0 else len(body)], entity_type, inside)
-                    gap = body[end : ms[i + 1].start() if i < last else len(body)]
-                    fresh = "\n" in gap
+                        line_start, stop = line, body.find("\n", line)
+                        kind = _line_kind(body[line : stop if stop >= 0 else len(body)], entity_type, inside)
+                        by = seen.get(kind)
+                        if by is None:
+                            by, wanted_words[kind] = seen.setdefault(kind, [Counter(), Counter(), Counter()]), {}
+                        of_kind = wanted_words[kind]
+                        fresh = False
                     if gap == " ":
                         follows = MIDDLE
                     else:
+                        fresh = "\n" in gap
                         follows = STOP if i == last and tail.stop else BARE if i == last and tail.marked else _follows(gap, i == last)
-                    into = counts[follows]
-                    w1, u, shape = units.get((kind, token)) or unit_of(kind, token)
-                    if shape:
-                        into[shape] += 1
-                    if u:
-                        into[u] += 1
-                        for key in _keys(kind, w3, w2, w1)[:2]:
+                        if gap[:1] == "." and i < last and (h := key_of("d\t" + token)):
+                            counts[STOP if follows == STOP else MIDDLE][h] += 1
+                    by[follows][token] += 1
+                    w1 = of_kind.get(token)
+                    if w1 is None:
+                        w1 = ends_a_text(kind, token)
+                    if w1:
+                        into = counts[follows]
+                        for key in _keys(kind, _word(w3), _word(w2), w1)[:2]:
                             if h := key_of(key):
                                 into[h] += 1
-                    if i < last:
-                        own, longer, dot = below.get(token) or nodes_of(token)
-                        if own:
-                            counts[STOP][own] += 1
-                        for h in longer:
-                            counts[MIDDLE][h] += 1
-                        if dot and gap[:1] == ".":
-                            counts[STOP if follows == STOP else MIDDLE][dot] += 1
-                    w3, w2 = w2, w1
+                    at += len(token) + len(gap)
+                    w3, w2 = w2, token
+                ends[pairs[last][0]] += 1
                 if sum(map(len, counts)) > HELD:
+                    settle()
                     yield from flush()
+            settle()
+        settle()
         yield from flush()
 
     parts = documents.select("text", "source", "entity_type").mapInArrow(run, "key bigint, middle bigint, stop bigint, bare bigint")
