@@ -70,7 +70,7 @@ def _line_kind(line: str, entity_type: str | None, inside_code: bool) -> str:
 
 
 def _word(token: str) -> str:
-    return _digits.sub("0", token)
+    return token if token.isalpha() else _digits.sub("0", token)
 
 
 def _shape(token: str) -> str:
@@ -290,8 +290,11 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
                         w1 = ends_a_text(kind, token)
                     if w1:
                         into = counts[follows]
-                        for key in _keys(kind, _word(w3), _word(w2), w1)[:2]:
-                            if h := key_of(key):
+                        for key in (f"b\t{kind}\t{_word(w2)}\t{w1}", f"s\t{kind}\t{_word(w3)}\t{w1}"):
+                            h = known.get(key)
+                            if h is None:
+                                h = key_of(key)
+                            if h:
                                 into[h] += 1
                     at += len(token) + len(gap)
                     w3, w2 = w2, token
