@@ -79,15 +79,16 @@ def upsert_edges(state: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.groupBy("source", "target", "relation").agg(F.max("weight").alias("weight"), F.sum("usage_count").alias("usage_count"))
 
 
-def upsert_latest(state: DataFrame, incoming: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The latest row of each key; keys that hold a null never meet, so all their rows stay."""
+def upsert_latest(state: DataFrame, incoming: DataFrame, keys: list[str], seq: str, *ties: str) -> DataFrame:
+    """The latest row of each key, of equal ones that with the largest ties; keys that hold a null never meet, so all their
+    rows stay."""
     from siltstone.operators.analytics import latest_per_key
 
     rows = state.unionByName(incoming)
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    return latest_per_key(rows.where(whole), keys, [F.desc(seq)]).unionByName(rows.where(~whole))
+    return latest_per_key(rows.where(whole), keys, [F.desc(seq), *map(F.desc, ties)]).unionByName(rows.where(~whole))
 
 
 def get_or_create(state: DataFrame, incoming: DataFrame, key: str = "name", fill: str = "path") -> DataFrame:

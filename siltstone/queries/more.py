@@ -61,6 +61,14 @@ def upsert_latest(s: SparkSession, d: str) -> DataFrame:
     return E.upsert_latest(first, rows.where("created_at >= timestamp '2025-04-01'"), ["project_id", "file_path"], "created_at").select("file_path", "id")
 
 
+@query("SELECT project_id, file_path, id FROM git_activity WHERE file_path IS NOT NULL AND project_id IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id, file_path ORDER BY created_at DESC, id DESC) = 1")
+def upsert_latest_all(s: SparkSession, d: str) -> DataFrame:
+    """All keys, those with rows of equal times too: of these the largest id is the latest."""
+    g = table(s, d, "git_activity").where("file_path is not null and project_id is not null and created_at is not null").select("id", "project_id", "file_path", "created_at")
+    old = F.col("created_at") < F.lit("2025-04-01").cast("timestamp")
+    return E.upsert_latest(g.where(old), g.where(~old), ["project_id", "file_path"], "created_at", "id").select("project_id", "file_path", "id")
+
+
 @query("SELECT m.session_id, m.id FROM session_messages m WHERE created_at IS NOT NULL AND session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) = 1")
 def latest_checkpoint(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "session_messages").where("created_at is not null and session_id is not null")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, clustering, context, entities, fts, graph, lifecycle, retrieval
+from siltstone.queries import QUERIES
 from siltstone.sources import adhoc, html, parsers
 
 EDGE = "source string, target string, relation string, weight double, usage_count bigint"
@@ -46,6 +47,19 @@ def test_edges_are_merged_and_moved(spark):
     assert rows(moved, "source", "target", "weight", "usage_count") == [("c", "b", 1.0, 3)]
 
 
+def test_latest_rows_of_equal_times(spark):
+    df = spark.createDataFrame([("p", "f", 1, "a"), ("p", "f", 2, "b"), ("p", "f", 2, "d"), ("p", "f", 2, "c"), ("p", "g", 1, "e")], "project_id string, file_path string, t int, id string")
+    for old in ("id < 'c'", "id > 'c'"):
+        got = entities.upsert_latest(df.where(old), df.where(f"not {old}"), ["project_id", "file_path"], "t", "id")
+        assert rows(got, "file_path", "id") == [("f", "d"), ("g", "e")]
+
+
+def test_latest_rows_of_all_keys(spark):
+    keyed = spark.read.parquet("/root/testdata/sf0.01/git_activity.parquet").where("file_path is not null and project_id is not null and created_at is not null")
+    got = QUERIES["upsert_latest_all"](spark, "/root/testdata/sf0.01")
+    assert got.count() == keyed.select("project_id", "file_path").distinct().count()
+
+
 def test_memories(spark):
     state = spark.createDataFrame([("c", "k", None, "old", 1)], "category string, key string, project_id string, value string, confirmations bigint")
     new = spark.createDataFrame([("c", "k", None, "new", 1), ("c", "k", "p", "other", 2)], "category string, key string, project_id string, value string, seq bigint")
