@@ -81,6 +81,12 @@ def postings(s: SparkSession, d: str) -> DataFrame:
     return fts.postings(table(s, d, "documents").where("lang = 'en'"), "doc_id", "text").select("term", "doc_id", "tf")
 
 
+@query(f"WITH d AS (SELECT doc_id, replace(text, 'İ', 'i') AS text FROM documents), w AS (SELECT doc_id, unnest({_words('text')}) AS term FROM d) SELECT term, doc_id, count(*) AS tf FROM w GROUP BY 1, 2")
+def postings_all(s: SparkSession, d: str) -> DataFrame:
+    """The index over documents of all languages."""
+    return fts.postings(table(s, d, "documents"), "doc_id", "text").select("term", "doc_id", "tf")
+
+
 _KNN = """
 WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id),

@@ -81,6 +81,13 @@ def test_web_queries(spark):
     assert fts.search(df, "id", {"A": "t"}, "").count() == 0
 
 
+def test_postings_of_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id for r in QUERIES["postings_all"](spark, "/root/testdata/sf0.001").select("doc_id").distinct().collect()}
+    assert got == {r.doc_id for r in docs.where("text rlike '[\\\\p{L}\\\\p{N}_]'").collect()}
+    assert got & {r.doc_id for r in docs.where("lang = 'tr'").collect()} and got & {r.doc_id for r in docs.where("lang is null").collect()}
+
+
 def test_fusion(spark):
     sig = lambda *ids: spark.createDataFrame([("k", i, n) for n, i in enumerate(ids)], "entity_type string, entity_id string, rank int")
     got = {r.entity_id: r.score for r in retrieval.fuse({"x": sig("a", "b"), "y": sig("b"), "z": sig("c")}, {"x": 1.0, "z": 0.0}).collect()}
