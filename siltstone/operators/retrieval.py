@@ -19,6 +19,8 @@ from siltstone.functions import scores
 
 #: Query vectors that are broadcast at a time: 4096 * 4096 floats are 64 MB.
 QUERY_BLOCK = 4096
+#: Documents that are compared vector by vector at a time.
+DOCUMENT_BLOCK = 16
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -151,18 +153,89 @@ def rag_fusion(rankings: list[DataFrame], limit: int) -> DataFrame:
     return top(fuse({f"q{i}": r for i, r in enumerate(rankings)}, {}), limit)
 
 
-def late_interaction(queries: DataFrame, documents: DataFrame, candidates: int, k: int) -> DataFrame:
-    """query_id, id, score: candidates by the cosine of mean vectors, then the sum over the query's vectors of the best cosine
-    among the document's. queries and documents: id, vectors (array of arrays). Two stages, so that only a few documents of
-    each query are compared vector by vector."""
-    from siltstone.functions.vectors import max_sim, mean_vector
+def _flat(groups: list[list[list[float] | None]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vectors: unit vectors of all groups, in order, and the group of each. Vectors that are null or empty, or
+    that hold a null, are left out."""
+    held: dict[int, tuple[list, list]] = {}
+    for g, vectors in enumerate(groups):
+        for v in vectors:
+            if v and None not in v:
+                own, of = held.setdefault(len(v), ([], []))
+                own.append(v)
+                of.append(g)
+    return {n: (_unit(np.array(own, dtype=np.float64)), np.array(of)) for n, (own, of) in held.items()}
+
+
+def _max_sims(asked: list[list], of_query: dict[int, tuple[np.ndarray, np.ndarray]], docs: list[list]) -> np.ndarray:
+    """MaxSim of queries and documents; vectors that don't go together have a cosine of 0, as in functions.vectors.max_sim."""
+    out, of_doc = np.zeros((len(asked), len(docs))), _flat(docs)
+    for n, (q, qs) in of_query.items():
+        if n not in of_doc:
+            continue
+        d, ds = of_doc[n]
+        sims = q @ d.T
+        best = np.zeros((len(q), len(docs)))
+        starts = np.flatnonzero(np.r_[True, ds[1:] != ds[:-1]])
+        best[:, ds[starts]] = np.maximum.reduceat(sims, starts, axis=1)
+        mixed = np.bincount(ds, minlength=len(docs)) < [len(x) for x in docs]
+        best[:, mixed] = np.maximum(best[:, mixed], 0)
+        np.add.at(out, qs, best)
+    return out
+
+
+def _blocks(asked: Iterator) -> Iterator[list]:
+    """Rows (id, vectors) in lists of QUERY_BLOCK vectors at most, or of a single row."""
+    block, size = [], 0
+    for query_id, vectors in asked:
+        if block and size + len(vectors) > QUERY_BLOCK:
+            yield block
+            block, size = [], 0
+        block.append((query_id, vectors))
+        size += len(vectors)
+    if block:
+        yield block
+
+
+def late_interaction(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: the k documents with the largest sum over the query's vectors of the best cosine among the
+    document's, exactly. queries and documents: id, vectors (array of arrays); one without vectors takes no part. Queries come
+    in blocks of QUERY_BLOCK vectors and are compared with all documents; a task keeps only the k best of each query. Ties go to
+    the smaller id."""
+    spark = documents.sparkSession
+    usable = F.col("id").isNotNull() & (F.size("vectors") > 0)
+    asked = queries.where(usable).select("id", "vectors").toLocalIterator()
+    kind = documents.schema["id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
+    out = None
+    for block in _blocks(asked):
+        shared = spark.sparkContext.broadcast(block)
 
-    mean = lambda df: df.select("id", "vectors", mean_vector(F.col("vectors")).alias("embedding"))
-    near = knn(mean(queries), mean(documents), candidates, "id", "embedding", include_self=True).select("query_id", "id")
-    rows = near.join(queries.select(F.col("id").alias("query_id"), F.col("vectors").alias("q")), "query_id").join(documents.select("id", F.col("vectors").alias("d")), "id")
-    scored = rows.select("query_id", "id", max_sim(F.col("q"), F.col("d")).alias("score"))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = zip(*shared.value)
+            of_query = _flat(list(vectors))
+            best: list[list] = [[] for _ in ids]
+            types = None
+            for batch in batches:
+                types = batch.schema.types
+                for part in (batch.slice(i, DOCUMENT_BLOCK) for i in range(0, batch.num_rows, DOCUMENT_BLOCK)):
+                    keys = part.column(0).to_pylist()
+                    sims = _max_sims(list(vectors), of_query, part.column(1).to_pylist())
+                    for j, held in enumerate(best):
+                        near = np.lexsort((np.array(keys), -np.round(sims[j], 9)))[:k]
+                        held += [(-round(float(sims[j, i]), 9), keys[i], float(sims[j, i])) for i in near]
+                        held.sort()
+                        del held[k:]
+            if types:
+                rows = [(qid, key, score) for qid, held in zip(ids, best) for _, key, score in held]
+                cols = list(zip(*rows)) if rows else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], types[0]), pa.array(cols[1], types[0]), pa.array(cols[2], pa.float64())], names=schema.names)
+
+        near = documents.where(usable).select("id", "vectors").mapInArrow(run, schema)
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
 def agentic(search: Callable[[str], DataFrame], refine: Callable[[str, DataFrame], str | None], query: str, hops: int = 3) -> DataFrame:

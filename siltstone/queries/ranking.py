@@ -112,7 +112,7 @@ def maxsim(s: SparkSession, d: str) -> DataFrame:
     """Documents are the groups of ten vectors by id, queries every fifth of them."""
     e = table(s, d, "embeddings")
     docs = e.groupBy(F.floor(F.col("vec_id") / 10).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
-    return R.late_interaction(docs.where("id % 50 = 0"), docs, 20, 5).withColumn("score", F.round("score", 5))
+    return R.late_interaction(docs.where("id % 50 = 0"), docs, 5).withColumn("score", F.round("score", 5))
 
 
 def _signals(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -108,6 +108,24 @@ def test_neighbours_are_those_of_brute_force(spark):
         assert [got[q][k] for k in range(5)] == want
 
 
+def test_late_interaction_is_that_of_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(120, 4, 8))
+    extra = [(900, None), (901, []), (902, [[1.0, 2.0]]), (903, [m[0, 0].tolist(), [1.0], None])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + extra, "id bigint, vectors array<array<double>>").repartition(5)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    got = {}
+    for r in retrieval.late_interaction(df.where("id < 900 and id % 10 = 0"), df, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, round(r.score, 6))
+    u = m / np.linalg.norm(m, axis=2, keepdims=True)
+    cos = {i: v for i, v in enumerate(u)} | {903: u[:1, 0]}
+    for q in range(0, 120, 10):
+        sims = {i: (u[q] @ v.T).max(axis=1) for i, v in cos.items()}
+        scores = {i: float((x.clip(0) if i == 903 else x).sum()) for i, x in sims.items()} | {902: 0.0}
+        want = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:5]
+        assert [got[q][n] for n in range(5)] == [(i, round(scores[i], 6)) for i in want]
+
+
 def test_rerank_of_equal_results_is_flat(spark):
     df = spark.createDataFrame([("a", 1.0, "x y"), ("b", 1.0, "x y")], "entity_id string, score double, content string")
     assert [r.final for r in retrieval.rerank(df, "content", retrieval.token_overlap("x")).collect()] == [0.0, 0.0]
