@@ -73,16 +73,36 @@ def learn(transcripts: DataFrame, key: str = "session_id", text: str = "transcri
     return records, produced.unionByName(steps), runs.withColumn("duplicates_skipped", F.col("__all") - total).drop("__all")
 
 
+def alike_titles(new: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of all titles of new and known (column t) whose trigrams have a Jaccard similarity above the threshold.
+    Titles meet on their rare trigrams only: two such sets share one of the rarest n - ceil(threshold * n) + 1 of each. A pair
+    counts at the first of these that it shares, so it is verified once, on whole sets, and pairs aren't shuffled."""
+    titles = new.select("t", F.lit(True).alias("fresh")).unionByName(known.select("t", F.lit(False).alias("fresh"))).distinct()
+    grams = cut(titles.select("t", "fresh", F.explode(X.trigrams(F.col("t"))).alias("gram")))
+    freq = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = grams.join(freq, "gram").groupBy("t", "fresh").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ordered = ordered.select("t", "fresh", F.transform("o", lambda s: s["gram"]).alias("g"))
+    first = F.slice("g", F.lit(1), (F.size("g") - F.ceil(F.size("g") * threshold) + 1).cast("int"))
+    prefix = cut(ordered.withColumn("p", first).select("t", "fresh", "g", "p", F.explode("p").alias("gram")))
+    a = prefix.where("fresh").select(F.col("t").alias("a"), F.col("g").alias("ga"), F.col("p").alias("pa"), "gram")
+    b = prefix.where("not fresh").select(F.col("t").alias("b"), F.col("g").alias("gb"), F.col("p").alias("pb"), "gram")
+    fits = F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb"))
+    pairs = a.join(b, "gram").where(fits).where(F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("gram"))
+    return pairs.select("a", "b", (F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).alias("similarity")).where(F.col("similarity") > threshold)
+
+
 def contradictions(new: DataFrame, known: DataFrame, judge: Callable[[DataFrame], DataFrame], threshold: float = 0.4, sure: float = 0.8) -> DataFrame:
-    """old_id, new_id of known records (id, title) that a new one (id, title) contradicts: of the known titles that share a
-    rare word, the most alike above the threshold goes to the judge, who adds a confidence."""
-    w_new = new.select(F.col("id").alias("new_id"), F.col("title").alias("new_title"), F.explode(F.array_distinct(X.extract_cues(F.col("title")))).alias("cue"))
-    w_old = known.select(F.col("id").alias("old_id"), F.col("title").alias("old_title"), F.explode(F.array_distinct(X.extract_cues(F.col("title")))).alias("cue"))
-    freq = w_old.groupBy("cue").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("new_id").orderBy("df", "cue")
-    keyed = w_new.join(freq, "cue").withColumn("__r", F.row_number().over(rare)).where("__r <= 3")
-    pairs = keyed.join(w_old, "cue").where("new_id <> old_id").select("new_id", "old_id", "new_title", "old_title").distinct()
-    scored = pairs.withColumn("similarity", X.trigram_similarity(F.col("new_title"), F.col("old_title"))).where(F.col("similarity") > threshold)
-    best = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "old_id")
-    top = scored.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    """old_id, new_id of known records (id, title) that a new one (id, title) contradicts: of all known titles, the most alike
+    above the threshold goes to the judge, who adds a confidence; of equals, that of the smallest id. Of each new title the two
+    best known records are kept, since only one of them can be the new record itself."""
+    fresh = new.select(F.col("id").alias("new_id"), F.col("title").alias("new_title"), F.lower("title").alias("a"))
+    held = known.groupBy(F.lower("title").alias("b"), F.col("id").alias("old_id")).agg(F.min("title").alias("old_title"))
+    two = held.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy("old_id"))).where("__n <= 2").drop("__n")
+    pairs = alike_titles(fresh.select(F.col("a").alias("t")), held.select(F.col("b").alias("t")), threshold).join(two, "b")
+    pairs = pairs.groupBy("a", "old_id").agg(F.max(F.struct("similarity", "old_title")).alias("m")).select("a", "old_id", "m.*")
+    near = Window.partitionBy("a").orderBy(F.desc("similarity"), "old_id")
+    near = pairs.withColumn("__n", F.row_number().over(near)).where("__n <= 2").drop("__n")
+    rows = fresh.join(near, "a").where("new_id <> old_id").select("new_id", "old_id", "new_title", "old_title", "similarity")
+    best = Window.partitionBy("new_id").orderBy(F.desc("similarity"), "old_id", "new_title")
+    top = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
     return judge(top).where(F.col("confidence") >= sure).select("old_id", "new_id")

@@ -54,6 +54,28 @@ def test_caps_and_duplicates(spark):
     assert learning.gated(df).where("kind = 'memories'").count() == 0
 
 
+def test_contradictions_are_those_of_brute_force(spark):
+    words = ["nightly", "cache", "planner", "lease", "stale", "index", "remote", "rebuild"]
+    rng = np.random.default_rng(5)
+    rows = [(f"{i:03}", " ".join(rng.choice(words, 3 + i % 3))) for i in range(90)] + [("x1", "rollbacks of migrations"), ("x2", "rollback of migration"), ("x3", "Cache"), ("x4", None), ("x5", "--")]
+    df = spark.createDataFrame(rows, "id string, title string")
+    new, known = df.where("id in ('x1', 'x3') or id rlike '^[0-9]+[0369]$'"), df.where("id <> 'x1' and id not rlike '[39]$' or id = 'x3'")
+
+    def grams(t):
+        return {w[i : i + 3] for x in (t or "").lower().replace("-", " ").split() for w in [f"  {x} "] for i in range(len(w) - 2)}
+
+    def alike(a, b):
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    want = set()
+    for n in new.collect():
+        found = sorted((-alike(grams(n.title), grams(k.title)), k.id) for k in known.collect() if k.id != n.id)
+        if found and -found[0][0] > 0.4:
+            want.add((found[0][1], n.id))
+    got = {(r.old_id, r.new_id) for r in learning.contradictions(new, known, lambda p: p.withColumn("confidence", F.lit(1.0))).collect()}
+    assert got == want and ("x2", "x1") in got
+
+
 def test_tree(spark):
     schema = "entity_type string, entity_id bigint, title string, embedding array<double>"
     few = spark.createDataFrame([("k", i, f"t{i}", [float(i), 1.0]) for i in range(4)], schema)
