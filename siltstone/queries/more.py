@@ -148,13 +148,13 @@ def contradictions(s: SparkSession, d: str) -> DataFrame:
 @query()
 def raptor_tree(s: SparkSession, d: str) -> DataFrame:
     items = table(s, d, "embeddings").select(F.lit("vector").alias("entity_type"), F.col("vec_id").alias("entity_id"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("title"), "embedding")
-    return tree.build(items, "t", 6).groupBy("level", "parent_id").agg(F.count("*").alias("n"))
+    return tree.build(items, "t").groupBy("level", "parent_id").agg(F.count("*").alias("n"))
 
 
 @query()
 def raptor_signal(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings")
-    nodes = tree.build(e.select(F.lit("vector").alias("entity_type"), F.col("vec_id").alias("entity_id"), F.lit("v").alias("title"), "embedding"), "t", 4)
+    nodes = tree.build(e.select(F.lit("vector").alias("entity_type"), F.col("vec_id").alias("entity_id"), F.lit("v").alias("title"), "embedding"), "t")
     near = R.knn(e.where("vec_id = 0"), e, 5).select(F.concat(F.lit("vector:"), F.col("id").cast("string")).alias("id"), "rank")
     return tree.expand(near, nodes, 20)
 

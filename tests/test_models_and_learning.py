@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from siltstone.operators import learning, models, tree
 from siltstone.plans.folding import ordered_fold
+from siltstone.queries import QUERIES
 from siltstone.sources import ingest
 
 
@@ -89,6 +90,14 @@ def test_tree(spark):
     assert len(got) == 16 and got[-1].entity_id == "1"
 
 
+def test_registered_trees_are_as_fine_as_the_vectors(spark, tmp_path):
+    rows = [(10 * g + i, g, [50.0 * (j == g) + i / 50 for j in range(9)]) for g in range(9) for i in range(10)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["raptor_tree"](spark, str(tmp_path)).where("level = 0").count() == 9
+    got = QUERIES["raptor_signal"](spark, str(tmp_path)).collect()
+    assert {int(r.entity_id) for r in got} <= set(range(10)) and got
+
+
 def test_folds_of_a_hot_key_pass_as_a_stream(spark):
     df = spark.range(30_000).select(F.lit("hot").alias("k"), F.col("id").alias("t")).unionByName(spark.createDataFrame([("b", 1), ("b", None), (None, 2)], "k string, t bigint"))
     got = ordered_fold(df, "k", "t", {"n": T.LongType()}, lambda: 0, lambda n, t: (n + 1, (n + 1,)))
