@@ -81,6 +81,18 @@ def enqueue(queue: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(incoming.withColumn("status", F.lit("pending")), allowMissingColumns=True).select(*queue.columns)
 
 
+#: States of a queue item from the last to the first that it goes through.
+LAST_FIRST = ("failed_permanent", "cancelled", "completed", "processing", "pending")
+
+
+def one_state(queue: DataFrame) -> DataFrame:
+    """id, retry_count, status of each id: of repeated rows the one with the most retries, then the one furthest along; other
+    states count for less than these, of them the last by name."""
+    place = F.coalesce(*(F.when(F.col("status") == x, F.lit(-n)) for n, x in enumerate(LAST_FIRST)), F.lit(-len(LAST_FIRST)))
+    last = F.max(F.struct(F.col("retry_count"), place.alias("place"), F.col("status"))).alias("m")
+    return queue.groupBy("id").agg(last).select("id", "m.retry_count", "m.status")
+
+
 def retried(queue: DataFrame, failed: DataFrame, most: int = 3) -> DataFrame:
     """queue after failures (id): another try, or permanently failed after `most`."""
     hit = failed.select("id").distinct().withColumn("__hit", F.lit(True))

@@ -91,6 +91,14 @@ def retry_queue(s: SparkSession, d: str) -> DataFrame:
     return L.retried(q, q.where("status = 'processing'"))
 
 
+@query("""WITH r AS (SELECT id, retry_count, status FROM learning_queue QUALIFY row_number() OVER (PARTITION BY id ORDER BY retry_count DESC, list_position(['failed_permanent', 'cancelled', 'completed', 'processing', 'pending'], status) NULLS LAST, status DESC) = 1)
+SELECT id, retry_count + CASE WHEN status = 'processing' THEN 1 ELSE 0 END AS retry_count, CASE WHEN status <> 'processing' THEN status WHEN retry_count + 1 >= 3 THEN 'failed_permanent' ELSE 'pending' END AS status FROM r""")
+def retry_queue_all(s: SparkSession, d: str) -> DataFrame:
+    """All ids, those with repeated rows too: each in its last state."""
+    q = L.one_state(table(s, d, "learning_queue"))
+    return L.retried(q, q.where("status = 'processing'"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 86400000000 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 h AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS session_no FROM g) SELECT user_id, session_no, count(*) AS n FROM h GROUP BY 1, 2""")
 def debounced_sessions(s: SparkSession, d: str) -> DataFrame:

@@ -213,3 +213,10 @@ def test_queue(spark):
     again = spark.createDataFrame([("4", "s")], "id string, session_id string")
     assert rows(lifecycle.enqueue(q, again), "id", "status") == [("1", "cancelled"), ("2", "done"), ("3", "pending"), ("4", "pending")]
     assert rows(lifecycle.retried(q, q.where("id = '3'")), "id", "status") == [("1", "pending"), ("2", "done"), ("3", "failed_permanent")]
+
+
+def test_queue_items_with_repeated_rows(spark):
+    q = spark.createDataFrame([("1", "processing", 0), ("1", "completed", 0), ("2", "pending", 1), ("2", "cancelled", 0), ("3", "other", 0), ("3", "pending", 0)], "id string, status string, retry_count int")
+    assert rows(lifecycle.one_state(q), "id", "retry_count", "status") == [("1", 0, "completed"), ("2", 1, "pending"), ("3", 0, "pending")]
+    ids = spark.read.parquet("/root/testdata/sf0.01/learning_queue.parquet").select("id").distinct().count()
+    assert QUERIES["retry_queue_all"](spark, "/root/testdata/sf0.01").count() == ids
