@@ -66,22 +66,23 @@ _PHONE_CUE = re.compile(r"(?:\b(?:tel(?:efon|efono|éfono|ephone)?|phone|call(?:
 
 # Words that make a street.
 _NAME_WORD = rf"(?:[A-ZÄÖÜÇĞİŞÉÈÀÑ]{_L}*(?:['’\-]{_L}+)*|St\.|Mt\.|Dr\.)"
+_STREETS = r"Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Close|Crescent|Row|Walk|Parkway|STREET|ST|ROAD|RD|AVENUE|AVE|LANE|LN|DRIVE|DR|COURT|CT|WAY|BOULEVARD|BLVD|PLACE|SQUARE|TERRACE|CLOSE|CRESCENT"
+_RUES = r"rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|RUE|AVENUE|BOULEVARD|Rue|Avenue|Boulevard"
 _ADDRESSES = [
-    re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]?,?\s+(?:[NSEW]{{1,2}}\.?\s+)?(?:{_NAME_WORD}\s+){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Close|Crescent|Row|Walk|Parkway|STREET|ST|ROAD|RD|AVENUE|AVE|LANE|LN|DRIVE|DR|COURT|CT|WAY|BOULEVARD|BLVD|PLACE|SQUARE|TERRACE|CLOSE|CRESCENT)\b\.?"),
+    re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]?,?\s+(?:[NSEW]{{1,2}}\.?\s+)?(?:{_NAME_WORD}\s+){{1,3}}(?:{_STREETS})\b\.?"),
     re.compile(rf"(?<![\w.\-/])\d{{1,5}}[a-z]?,?\s+(?:{_L}+\s+){{1,2}}(?:street|road|avenue|lane|court|boulevard)\b,?\s+{_L}+,?\s+\d{{4,5}}"),
     re.compile(rf"(?<![\w+/=]){_L}(?:{_L}|-)*?(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|STRASSE|STRAßE|STR\.)\s*(?:Nr\.?\s*)?\d{{1,4}}\s?[A-Za-z]?(?![\w])"),
     re.compile(rf"(?<!\w)(?:[A-ZÄÖÜ]{_L}+(?:er|es)?\s)(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee)\s*(?:Nr\.?\s*)?\d{{1,4}}\s?[a-z]?(?!\w)"),
-    re.compile(rf"(?<![\w.\-/])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|RUE|AVENUE|BOULEVARD|Rue|Avenue|Boulevard)\s+(?:(?:du|de\sla|des|de|DU|DE\sLA|DES|DE)\s+|d['’]|l['’])?{_NAME_WORD}"),
+    re.compile(rf"(?<![\w.\-/])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+(?:{_RUES})\s+(?:(?:du|de\sla|des|de|DU|DE\sLA|DES|DE)\s+|d['’]|l['’])?{_NAME_WORD}"),
     re.compile(rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrer|CALLE|AVENIDA|calle|Via|Viale|Rua)\s+(?:(?:de|del|de\sla)\s+)?{_NAME_WORD}(?:\s{_NAME_WORD})?,?\s+(?:n[º°o]?\.?\s*)?\d{{1,4}}", re.I),
     re.compile(rf"(?<!\w){_L}+(?:\s{_L}+)?\s+(?:Sokak|Sokağı|Sok\.|Sk\.|Caddesi|Cad\.|Cd\.|Bulvarı|SOKAK|CADDESİ|CADDESI|sokak|caddesi)\s*,?\s*(?:No\s?[:.]?\s*|NO\s?[:.]?\s*|no\s?[:.]?\s*)?\d{{1,4}}"),
 ]
-# Strings that a match of the patterns above holds one of; the first list as written, others in lower case.
-_STREET_SIGNS = (" Street", " St", " Road", " Rd", " Avenue", " Ave", " Lane", " Ln", " Drive", " Dr", " Court", " Ct", " Way", " Boulevard", " Blvd", " Place", " Pl", " Square", " Sq", " Terrace", " Close", " Crescent", " Row", " Walk", " Parkway", " ROAD", " AVE", " LANE", " LN", " DR", " COURT", " CT", " WAY", " BOULEVARD", " BLVD", " PLACE", " SQUARE", " TERRACE", " CLOSE", " CRESCENT", " STREET", " ST ", " ST.", " ST,", " RD", "\nSt", "\nRoad")
+# What a match of the patterns above holds; expressions as written, strings in lower case.
+_STREET_SIGN, _RUE_SIGN = re.compile(rf"\s(?:{_STREETS})\b"), re.compile(rf"\s(?:{_RUES})\s")
 _OTHER_SIGNS = (
     (("street", "road", "avenue", "lane", "court", "boulevard"), _ADDRESSES[1:2]),
     (("straße", "strasse", "str.", "weg", "gasse", "platz", "allee"), _ADDRESSES[2:4]),
-    ((" rue ", "avenue ", " av. ", "boulevard ", " bd ", "place d", "chemin ", "allée ", "impasse ", " quai ", "route d"), _ADDRESSES[4:5]),
-    (("calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "carrer ", "via ", "viale ", "rua "), _ADDRESSES[5:6]),
+    (("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "carrer", "via", "rua"), _ADDRESSES[5:6]),
     (("sok", "sk.", "cad", "cd.", "bulvar"), _ADDRESSES[6:]),
 )
 
@@ -114,6 +115,16 @@ def _overlaps(spans: list[tuple], first: int, end: int) -> bool:
     return any(first < s[2] and s[1] < end for s in spans)
 
 
+def _streets(text: str, low: str) -> list[re.Pattern]:
+    """The street patterns that may match a text, in their order; low: the text in lower case."""
+    if not text.isascii():  # letters that are i or s where case is ignored
+        low = low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+    fit = {_ADDRESSES[0]: bool(_STREET_SIGN.search(text)), _ADDRESSES[4]: bool(_RUE_SIGN.search(text))}
+    for signs, patterns in _OTHER_SIGNS:
+        fit |= dict.fromkeys(patterns, any(sign in low for sign in signs))
+    return [p for p in _ADDRESSES if fit[p]]
+
+
 def spans_of(text: str, parts: dict[str, str], words: list[str] | None = None) -> list[tuple]:
     """Candidates of a text: (type, first, end, sure, instance, given, family). parts: known name parts in lower case.
     words: the text's words in lower case, if they are there already."""
@@ -130,11 +141,7 @@ def spans_of(text: str, parts: dict[str, str], words: list[str] | None = None) -
             spelt = re.search(r"[\[({<_]\s?at\s?[\])}>_]|dot", m.group(), re.I)
             if spelt and not _overlaps(out, m.start(), m.end()):
                 out.append(("email", m.start(), m.end(), True, m.group().lower(), None, None))
-    streets = [_ADDRESSES[0]] if any(sign in text for sign in _STREET_SIGNS) else []
-    for signs, patterns in _OTHER_SIGNS:
-        if any(sign in low for sign in signs):
-            streets += patterns
-    for pattern in streets:
+    for pattern in _streets(text, low):
         for m in pattern.finditer(text):
             if not _overlaps(out, m.start(), m.end()) and text[max(0, m.start() - 1) : m.start()] not in ("`", "/"):
                 out.append(("address", m.start(), m.end(), True, m.group().lower(), None, None))

@@ -63,3 +63,22 @@ def test_no_rows(spark):
 def test_redaction_keeps_the_rest():
     assert P.redact("abc def ghi", [(4, 7, "name"), (5, 9, "email")]) == "abc [NAME]hi"
     assert P.redact("abc", []) == "abc"
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", "  "])
+def test_signs_pass_all_that_the_street_patterns_match(gap):
+    ends = ["", ".", ",", ")", ";", "\n"]
+    texts = [f"12 Elm{gap}{w}{e}" for w in P._STREETS.split("|") for e in ends]
+    texts += [f"12{gap}{w.replace(chr(92), '')}{gap}Bellecour{e}" for w in P._RUES.split("|") for e in ends]
+    texts += [f"{w}{gap}Mayor{gap}12" for w in ("Calle", "C/", "Avenida", "Avda", "Avda.", "Plaza", "Paseo", "Camino", "Carrer", "CALLE", "calle", "Via", "Viale", "Rua", "Vİa", "Vıale", "Plaza")]
+    texts += [f"12 elm{gap}{w}{gap}London{gap}12345" for w in ("street", "road", "avenue", "lane", "court", "boulevard")]
+    texts += [f"{w}{gap}12" for w in ("Hauptstraße", "Hauptstrasse", "Hauptstr.", "Holzweg", "Seegasse", "Marktplatz", "Lindenallee", "HAUPTSTRASSE", "HAUPTSTR.", "Lange Straße", "Lange Str.", "Langer Weg")]
+    texts += [f"Gül{gap}{w}{gap}No: 12" for w in ("Sokak", "Sokağı", "Sok.", "Sk.", "Caddesi", "Cad.", "Cd.", "Bulvarı", "SOKAK", "CADDESİ", "CADDESI", "sokak", "caddesi")]
+    for text in texts:
+        matching = [p for p in P._ADDRESSES if p.search(text)]
+        assert matching and set(matching) <= set(P._streets(text, text.lower())), text
+
+
+@pytest.mark.parametrize("text", ["12 place Bellecour", "8 route Napoléon", "45 ELM ST", "(45 ELM ST)", "45 Elm\nAvenue"])
+def test_addresses_with_no_other_sign(text):
+    assert [s[0] for s in P.spans_of(text, {})] == ["address"]
