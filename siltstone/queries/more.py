@@ -213,4 +213,4 @@ def agentic_search(s: SparkSession, d: str) -> DataFrame:
 def edge_clusters(s: SparkSession, d: str) -> DataFrame:
     from siltstone.operators import graph as G
 
-    return G.label_propagation(edges(s, d).where("weight >= 0.88")).groupBy("cluster").agg(F.count("*").alias("size"))
+    return G.label_propagation(edges(s, d)).groupBy("cluster").agg(F.count("*").alias("size"))

@@ -245,17 +245,17 @@ def raptor_leaves(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def label_propagation(s: SparkSession, d: str) -> DataFrame:
-    return G.label_propagation(edges(s, d).where("weight >= 0.85"))
+    return G.label_propagation(edges(s, d))
 
 
 @query()
 def cluster_groups(s: SparkSession, d: str) -> DataFrame:
-    return G.cluster_groups(G.synchronous_labels(edges(s, d).where("weight >= 0.85")))
+    return G.cluster_groups(G.synchronous_labels(edges(s, d)))
 
 
 @query()
 def graph_components(s: SparkSession, d: str) -> DataFrame:
-    return G.components(edges(s, d).where("weight >= 0.87"))
+    return G.components(edges(s, d))
 
 
 @query("SELECT DISTINCT id AS source, session_id AS target, 'produced_by' AS relation FROM learning_runs WHERE session_id IS NOT NULL")

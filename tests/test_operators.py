@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, clustering, context, entities, fts, graph, lifecycle, retrieval
 from siltstone.queries import QUERIES
+from siltstone.queries.inputs import edges
 from siltstone.sources import adhoc, html, parsers
 
 EDGE = "source string, target string, relation string, weight double, usage_count bigint"
@@ -220,3 +221,18 @@ def test_queue_items_with_repeated_rows(spark):
     assert rows(lifecycle.one_state(q), "id", "retry_count", "status") == [("1", 0, "completed"), ("2", 1, "pending"), ("3", 0, "pending")]
     ids = spark.read.parquet("/root/testdata/sf0.01/learning_queue.parquet").select("id").distinct().count()
     assert QUERIES["retry_queue_all"](spark, "/root/testdata/sf0.01").count() == ids
+
+
+def test_graph_queries_take_all_edges(spark):
+    d = "/root/testdata/sf0.001"
+    found = [(r.source, r.target, r.weight) for r in edges(spark, d).collect() if r.source != r.target]
+    want = graph.propagate(sorted(found))
+    got = {r.node: r.cluster for r in QUERIES["label_propagation"](spark, d).collect()}
+    assert got.keys() == want.keys() and len(set(got.values())) == len(set(want.values()))
+    assert QUERIES["edge_clusters"](spark, d).agg(F.sum("size")).first()[0] == len(want)
+    assert QUERIES["cluster_groups"](spark, d).agg(F.sum("size")).first()[0] == len(want)
+    parent = {n: n for n in want}
+    for a, b, _ in found * 3:
+        low = min(parent[a], parent[b])
+        parent = {n: low if p in (parent[a], parent[b]) else p for n, p in parent.items()} if parent[a] != parent[b] else parent
+    assert {r.node: r.component for r in QUERIES["graph_components"](spark, d).collect() if r.node in parent} == parent
