@@ -91,8 +91,8 @@ def budget_used(text_chars: Column, limit_tokens: int) -> Column:
 
 
 def budget_band(percent: Column) -> Column:
-    """Fixed bands of use."""
-    return F.when(percent < 25, "low").when(percent < 50, "moderate").when(percent < 75, "elevated").when(percent < 90, "high").otherwise("critical")
+    """Fixed bands of use; from high on a summary is due."""
+    return F.when(percent < 25, "none").when(percent < 50, "low").when(percent < 75, "medium").when(percent < 90, "high").otherwise("critical")
 
 
 def savings_percent(before: Column, after: Column) -> Column:

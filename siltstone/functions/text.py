@@ -77,8 +77,17 @@ SHELL_SKIP = (
     "ls", "cd", "cat", "echo", "grep", "find", "rm", "mv", "cp", "mkdir", "git", "cargo", "npm", "yarn", "docker", "sudo", "bash", "sh", "zsh", "&&", "||", "|", ">", "<", ">>", "2>&1", "--", "-",
 )
 
-#: Files that tell a technology.
-STACK_FILES = {"Cargo.toml": "rust", "package.json": "node", "pyproject.toml": "python", "requirements.txt": "python", "go.mod": "go", "pom.xml": "java", "build.gradle": "java", "Gemfile": "ruby", "Dockerfile": "docker"}
+#: Files at the root of a project that tell a technology, in the order technologies are listed.
+STACK_FILES = {
+    "package.json": "node.js", "next.config.js": "next.js", "next.config.ts": "next.js", "next.config.mjs": "next.js", "prisma/schema.prisma": "prisma", "Cargo.toml": "rust",
+    "docker-compose.yml": "docker", "docker-compose.yaml": "docker", "Dockerfile": "docker", "flake.nix": "nixos", "requirements.txt": "python", "pyproject.toml": "python", "go.mod": "go", "tsconfig.json": "typescript",
+}
+
+#: What tells an error in the output of a command, and words that don't help to search for it.
+ERROR_SIGNS = ("error", "panic", "failed", "exception", "fatal", "cannot find", "not found", "no such file", "denied")
+ERROR_SKIP = (
+    "the", "and", "for", "not", "was", "error", "with", "from", "that", "this", "can", "cannot", "could", "did", "does", "find", "found", "module", "file", "such", "failed", "fatal", "missing",
+)
 
 
 def any_of(text: Column, signs: tuple[str, ...]) -> Column:
@@ -181,10 +190,10 @@ def keywords_shell(command: Column) -> Column:
     return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 3), " "))
 
 
-def error_keywords(text: Column, triggers: tuple[str, ...] = ("error", "failed", "panic", "exception")) -> Column:
+def error_keywords(text: Column) -> Column:
     """Up to four words of a text that reports an error, joined for a search that any may match; null for other texts."""
-    words = F.filter(F.split(text, "[^\\p{L}\\p{N}_-]+"), lambda w: (F.octet_length(w) >= 3) & ~F.lower(w).isin(*STOP_WORDS))
-    return F.when(any_of(F.lower(text), triggers) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 4), " OR "))
+    words = F.filter(F.split(text, "[^\\p{L}\\p{N}_-]+"), lambda w: (F.octet_length(w) >= 3) & ~F.lower(w).isin(*ERROR_SKIP))
+    return F.when(any_of(F.lower(text), ERROR_SIGNS) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 4), " OR "))
 
 
 def trigrams(text: Column) -> Column:
@@ -221,18 +230,23 @@ def is_private_url(url: Column) -> Column:
     host = url_host(url)
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     ranges = f"^(127\\.{octet}\\.{octet}|10\\.{octet}\\.{octet}|192\\.168\\.{octet}|172\\.(1[6-9]|2[0-9]|3[01])\\.{octet}|169\\.254\\.{octet})\\.{octet}$"
-    ranges = ranges.replace("192\\.168\\.", "192\\.168\\.", 1)
     return host.isin("localhost", "0.0.0.0") | host.rlike(ranges) | host.rlike("\\.(local|internal|lan)$") | url.rlike("^(https?://)?(\\[?::1\\]?)(/|:|$)")
 
 
 def tech_stack(file: Column) -> Column:
+    """The technology that a file, named from the root of its project, tells of; null for other files."""
     out = F.lit(None).cast("string")
-    name = F.regexp_extract(file, "([^/]*)$", 1)
     for marker, tech in STACK_FILES.items():
-        out = F.when(name == marker, tech).otherwise(out)
+        out = F.when(file == marker, tech).otherwise(out)
     return out
 
 
+def tech_stacks(files: Column) -> Column:
+    """The technologies that a project's files (an array of paths from its root) tell of, each once, in their fixed order."""
+    told = F.array(*(F.when(F.array_contains(files, marker), F.lit(tech)) for marker, tech in STACK_FILES.items()))
+    return F.array_distinct(F.filter(told, lambda t: t.isNotNull()))
+
+
 def passes_gate(title: Column, content: Column) -> Column:
     """Whether a record says enough to keep: 50 bytes of content, 5 of title, and not the same."""
     t, c = F.trim(title), F.trim(content)

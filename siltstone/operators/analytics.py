@@ -77,11 +77,18 @@ def signal_clicks(searches: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("clicks") / F.sum("clicks").over(Window.partitionBy(F.lit(0))))
 
 
-def signal_ctr(searches: DataFrame) -> DataFrame:
-    """query_type, signal, shows, clicks, ctr over every attributed result."""
-    rows = searches.select(F.coalesce("query_type", F.lit("unknown")).alias("query_type"), "clicked_ids", F.explode("signal_sources").alias("entity", "signals"))
-    each = rows.select("query_type", F.explode("signals").alias("signal"), F.array_contains("clicked_ids", F.col("entity")).alias("hit"))
-    return each.groupBy("query_type", "signal").agg(F.count("*").alias("shows"), F.count_if("hit").alias("clicks")).withColumn("ctr", F.col("clicks") / F.col("shows"))
+def signal_ctr(searches: DataFrame, as_of: str, days: float = 7) -> DataFrame:
+    """query_type, signal, samples, shows, clicks, ctr over the attributed results of searches of the last `days` days that
+    have a type, an attribution and a click; samples are the searches of the type. A click on what the attribution doesn't
+    list credits no signal."""
+    clicked = F.col("query_type").isNotNull() & (F.size("signal_sources") > 0) & (F.size("clicked_ids") > 0)
+    used = searches.where(clicked & since(F.col("created_at"), as_of, days)).select("query_type", "clicked_ids", "signal_sources")
+    samples = used.groupBy("query_type").agg(F.count("*").alias("samples"))
+    rows = used.select("query_type", "clicked_ids", F.explode("signal_sources").alias("entity", "signals"))
+    again = F.size(F.filter("clicked_ids", lambda c: c == F.col("entity"))).cast("bigint")
+    each = rows.select("query_type", F.explode("signals").alias("signal"), again.alias("hits"))
+    counts = each.groupBy("query_type", "signal").agg(F.count("*").alias("shows"), F.sum("hits").alias("clicks"))
+    return counts.join(samples, "query_type").select("query_type", "signal", "samples", "shows", "clicks", (F.col("clicks") / F.col("shows")).alias("ctr"))
 
 
 def knowledge_gaps(searches: DataFrame, at_least: int = 2, limit: int = 10) -> DataFrame:
@@ -95,16 +102,17 @@ def score_trends(rows: DataFrame, time: str, scores: list[str]) -> DataFrame:
     return rows.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n"), *(F.avg(s).alias(f"avg_{s}") for s in scores))
 
 
-def learning_analytics(runs: DataFrame) -> DataFrame:
-    """One row over learning_runs: extraction and duplicate rates, totals and averages; 0 where there are no runs."""
-    parts = [F.coalesce(c, F.lit(0)) for c in ("patterns_extracted", "episodes_extracted", "procedures_extracted", "memories_extracted")]
-    extracted = sum(parts[1:], parts[0])
-    seen = extracted + F.coalesce("duplicates_skipped", F.lit(0))
+def learning_analytics(runs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """One row over the learning_runs of the last `days` days: extraction and duplicate rates, totals by kind and averages; 0
+    where there are no runs. A run with a null count has no extraction rate and a duplicate rate of 0."""
+    kinds = ("patterns", "episodes", "procedures", "memories")
+    extracted = sum((F.col(f"{k}_extracted") for k in kinds[1:]), F.col(f"{kinds[0]}_extracted"))
+    seen = extracted + F.col("duplicates_skipped")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return runs.agg(
+    return runs.where(since(F.col("created_at"), as_of, days, inclusive=True)).agg(
         F.count("*").alias("runs"), zero(F.avg(extracted)).alias("avg_extracted"),
-        zero(F.avg(F.when(seen > 0, F.coalesce("duplicates_skipped", F.lit(0)) / seen).otherwise(0.0))).alias("avg_duplicate_rate"),
-        F.coalesce(F.sum("duplicates_skipped"), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("contradictions_resolved"), F.lit(0)).alias("contradictions"),
+        zero(F.avg(F.when(seen > 0, F.col("duplicates_skipped") / seen).otherwise(0.0))).alias("avg_duplicate_rate"),
+        *(F.coalesce(F.sum(f"{k}_extracted"), F.lit(0)).alias(k) for k in kinds),
         zero(F.avg("duration_ms")).alias("avg_duration_ms"), zero(F.avg("chunks_processed")).alias("avg_chunks"),
     )
 
@@ -123,10 +131,12 @@ def top_elements(rows: DataFrame, array: str, limit: int = 10) -> DataFrame:
 
 
 def topic_health(items: DataFrame, as_of: str, limit: int = 1000) -> DataFrame:
-    """topic, items, freshness, confidence, stale, overall, worst first: the topic is the first tag, else the kind;
-    superseded items don't count, and the `limit` latest updated do."""
-    current = items.where(F.col("superseded_by").isNull()).orderBy(F.desc("updated_at"), "id").limit(limit)
-    days = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("updated_at")) / F.lit(86_400_000_000))
+    """topic, items, freshness, confidence, stale, overall, worst first: the topic is the first tag, else the kind. Of the
+    `limit` latest updated items those that aren't superseded count; freshness goes by the whole days since the last access,
+    or since creation where there was none."""
+    current = items.orderBy(F.desc("updated_at"), "id", F.desc("access_count")).limit(limit).where(F.col("superseded_by").isNull())
+    last = F.coalesce("last_accessed_at", "created_at")
+    days = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(last)) / F.lit(86_400_000_000))
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     confidence = unit(F.log1p(F.col("access_count").cast("double")) / 5 + F.coalesce(F.col("feedback_boost").cast("double"), F.lit(0.0)))
     rows = current.select(F.coalesce(F.try_element_at("tags", F.lit(1)), "kind").alias("topic"), unit(1 - days / 30.0).alias("f"), confidence.alias("c"), (F.col("utility_score") < 0.3).alias("s"))
@@ -135,24 +145,40 @@ def topic_health(items: DataFrame, as_of: str, limit: int = 1000) -> DataFrame:
     return out.withColumn("overall", overall).orderBy("overall", "topic")
 
 
-def project_health(items: DataFrame, procedures: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
-    """project_id, freshness, success, learning, score, status of each project: the share of items updated in 30 days, the
-    average success of procedures used three times (1 where there are none), runs in 7 days by 2, and their mean."""
-    fresh = items.where("project_id is not null").groupBy("project_id").agg((F.count_if(since(F.col("updated_at"), as_of, 30)) / F.count("*")).alias("freshness"))
-    success = procedures.where("project_id is not null and times_used >= 3").groupBy("project_id").agg(F.avg("success_rate").alias("success"))
-    learnt = runs.where(F.col("project_id").isNotNull() & since(F.col("created_at"), as_of, 7)).groupBy("project_id").agg(F.least(F.count("*") / 2.0, F.lit(1.0)).alias("learning"))
-    out = fresh.join(success, "project_id", "left").join(learnt, "project_id", "left").withColumns({"success": F.coalesce("success", F.lit(1.0)), "learning": F.coalesce("learning", F.lit(0.0))})
-    out = out.withColumn("score", (F.col("freshness") + F.col("success") + F.col("learning")) / 3)
-    return out.withColumn("status", F.when(F.col("score") >= 0.7, "healthy").when(F.col("score") >= 0.4, "warning").otherwise("critical"))
+def project_health(projects: DataFrame, items: DataFrame, procedures: DataFrame, episodes: DataFrame, memories: DataFrame, searches: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
+    """project_id, dimension, score, status, overall: six scores of each project (column id) and their mean. freshness: the
+    share of current items accessed in 30 days, 0 without items; procedures: the average success of current procedures used
+    three times, 1 without any; episodes: those of 7 days by 3; memories: all by 5; search: the share of the searches of 7 days
+    with a click, 1 without searches; learning: the runs of 7 days by 2, whatever their project. A score of 0.7 is healthy, one
+    of 0.4 a warning, less is critical."""
+    of = lambda rows: rows.where("project_id is not null").groupBy("project_id")
+    week = since(F.col("created_at"), as_of, 7)
+    fresh = of(items.where("superseded_by is null")).agg((F.count_if(since(F.col("last_accessed_at"), as_of, 30)) / F.count("*")).alias("freshness"))
+    success = of(procedures.where("superseded_by is null and times_used >= 3")).agg(F.avg("success_rate").alias("procedures"))
+    told = of(episodes.where(week)).agg((F.count("*") / 3.0).alias("episodes"))
+    known = of(memories).agg((F.count("*") / 5.0).alias("memories"))
+    found = of(searches.where(week)).agg((F.count_if(F.size("clicked_ids") > 0) / F.count("*")).alias("search"))
+    learnt = runs.where(week).agg((F.count("*") / 2.0).alias("learning"))
+    out = projects.select(F.col("id").alias("project_id")).distinct()
+    for part in (fresh, success, told, known, found):
+        out = out.join(part, "project_id", "left")
+    out = out.crossJoin(F.broadcast(learnt))  # a single row
+    absent = {"freshness": 0.0, "procedures": 1.0, "episodes": 0.0, "memories": 0.0, "search": 1.0, "learning": 0.0}
+    unit = lambda c, none: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(none))))
+    out = out.withColumns({c: unit(F.col(c), none) for c, none in absent.items()})
+    out = out.withColumn("overall", sum((F.col(c) for c in absent), F.lit(0.0)) / len(absent))
+    each = out.select("project_id", "overall", F.explode(F.create_map(*(x for c in absent for x in (F.lit(c), F.col(c))))).alias("dimension", "score"))
+    status = F.when(F.col("score") >= 0.7, "healthy").when(F.col("score") >= 0.4, "warning").otherwise("critical")
+    return each.select("project_id", "dimension", "score", status.alias("status"), "overall")
 
 
 def tag_counts(*tables: DataFrame) -> DataFrame:
-    """tag, n over the tags of several tables."""
+    """tag, n over the tags of several tables, most frequent first."""
     tags = None
     for t in tables:
         each = t.select(F.explode("tags").alias("tag"))
         tags = each if tags is None else tags.unionByName(each)
-    return tags.groupBy("tag").agg(F.count("*").alias("n"))
+    return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")
 
 
 def rename_tag(rows: DataFrame, old: str, new: str) -> DataFrame:
@@ -196,11 +222,36 @@ def table_counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def retention_preview(items: DataFrame, as_of: str, utility: float = 0.1, days: int = 30) -> DataFrame:
-    """How many items a clean-up would prune, and how many superseded ones it would delete."""
-    old = ~since(F.col("updated_at"), as_of, days, inclusive=True)
-    gone = F.col("superseded_by").isNotNull() & ~since(F.col("updated_at"), as_of, 7, inclusive=True)
-    return items.agg(F.count("*").alias("items"), F.count_if((F.col("utility_score") < utility) & old).alias("to_prune"), F.count_if(gone).alias("to_delete"))
+def prunable(rows: DataFrame, as_of: str, utility: float = 0.1, days: int = 30) -> DataFrame:
+    """rows (utility_score, created_at) that a clean-up takes: of little utility and created more than `days` days ago."""
+    return rows.where((F.col("utility_score") < utility) & ~since(F.col("created_at"), as_of, days, inclusive=True))
+
+
+def retention_preview(tables: dict[str, DataFrame], searches: DataFrame, as_of: str) -> DataFrame:
+    """candidate, n: how many rows of each table a clean-up would prune, and how many searches older than 30 days."""
+    out = searches.where(~since(F.col("created_at"), as_of, 30, inclusive=True)).agg(F.count("*").alias("n")).select(F.lit("search_queries").alias("candidate"), "n")
+    for name, rows in tables.items():
+        out = out.unionByName(prunable(rows, as_of).agg(F.count("*").alias("n")).select(F.lit(name).alias("candidate"), "n"))
+    return out
+
+
+def retention_run(tables: dict[str, DataFrame], searches: DataFrame, edges: DataFrame, as_of: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(tables, searches, edges) after a clean-up: what prunable lists is gone, searches of 30 days are kept, and edges with
+    an end (source, target) that is in none of the tables (column id) any longer go too. Rows with null scores or times stay."""
+    old = lambda c: F.coalesce(~since(F.col(c), as_of, 30, inclusive=True), F.lit(False))
+    kept = {name: rows.where(~(F.coalesce(F.col("utility_score") < 0.1, F.lit(False)) & old("created_at"))) for name, rows in tables.items()}
+    ids = None
+    for rows in kept.values():
+        each = rows.select("id")
+        ids = each if ids is None else ids.unionByName(each)
+    ids = ids.where("id is not null").distinct()
+    both = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept, searches.where(~old("created_at")), both.select(*edges.columns)
+
+
+def log_retention(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """logs of the last `days` days; those without a time go."""
+    return logs.where(since(F.col("timestamp"), as_of, days, inclusive=True))
 
 
 def ngrams(rows: DataFrame, by: list[str], order: list[str], item: str, sizes: tuple[int, ...] = (3, 4, 5), at_least: int = 2) -> DataFrame:

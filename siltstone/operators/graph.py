@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.plans.lineage import cut
 
 #: Relations that tell a cause.
-CAUSAL = ("led_to", "caused", "triggered", "resulted_in", "fixed_by", "derived_from")
+CAUSAL = ("led_to", "caused", "triggered", "caused_by", "resolved_by", "preceded_by")
 DECAY, LEAST_WEIGHT = 0.95, 0.05
 
 
@@ -46,16 +46,18 @@ def explore(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, min_weight:
 
 
 def causal_chain(edges: DataFrame, starts: DataFrame, hops: int = 5, reverse: bool = False) -> DataFrame:
-    """start, hop, node, score: for each start (column node) the chain of heaviest causal edges, with the product of their
-    weights; of equal weights the smallest node counts; a chain ends where it would come back to itself."""
+    """start, hop, node, score: for each start (column node) the chain that takes at each hop the heaviest causal edge to a
+    node it hasn't met, with the product of the weights; of equal weights the smallest node counts. A chain ends where every
+    causal edge leads back to itself. A start without a causal edge has no row."""
     rows = edges.where(F.col("relation").isin(*CAUSAL)).select(F.col("target" if reverse else "source").alias("at"), F.col("source" if reverse else "target").alias("next"), "weight")
-    best = rows.groupBy("at").agg(F.min(F.struct((-F.col("weight")).alias("w"), "next")).alias("e")).select("at", F.col("e.next").alias("next"), (-F.col("e.w")).alias("weight"))
-    best = cut(best)
+    usable = cut(rows.groupBy("at", "next").agg(F.max("weight").alias("weight")))
     state = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"), F.lit(1.0).alias("score")).distinct()
     out = None
     for hop in range(1, hops + 1):
-        state = state.join(best, "at").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), (F.col("score") * F.col("weight")).alias("score"))
-        state = cut(state)
+        # The choice is a combining aggregate: of a start's edges only the best so far leaves a task.
+        onward = state.join(usable, "at").where(~F.array_contains("path", F.col("next")))
+        best = onward.groupBy("start").agg(F.min(F.struct((-F.col("weight")).alias("w"), "next", "path", "score")).alias("e"))
+        state = cut(best.select("start", F.col("e.next").alias("at"), F.concat("e.path", F.array("e.next")).alias("path"), (F.col("e.score") * -F.col("e.w")).alias("score")))
         each = state.select("start", F.lit(hop).alias("hop"), F.col("at").alias("node"), "score")
         out = each if out is None else out.unionByName(each)
     return out

@@ -16,6 +16,7 @@ from siltstone.plans.lineage import cut
 
 #: Records of each kind that a transcript may give, and bytes of it that are read.
 MOST = {"patterns": 8, "episodes": 8, "procedures": 4, "memories": 8}
+MOST_ENTITIES = 20
 READ_BYTES = 512 * 1024
 
 

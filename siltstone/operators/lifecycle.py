@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import scores
+from siltstone.functions.text import SIGNAL_WEIGHTS
 from siltstone.operators.analytics import since
 from siltstone.plans.folding import ordered_fold
 
 
 def memory_decay(items: DataFrame, as_of: str) -> DataFrame:
     """items after decay, boost and pruning, in this order. What wasn't accessed for 7 days (or never, and is as old) loses
-    5 % while above 0.1; what was accessed within them gains 10 % up to 1. Items below 0.1 that weren't updated for 30 days
-    go, and so do superseded ones that weren't for 7."""
+    5 % while above 0.1; what was accessed within them gains 10 % up to 1. Items below 0.1 that were created more than 30 days
+    ago go, and so do superseded ones that weren't updated for 7. Any table with these columns will do."""
     recent = F.coalesce(since(F.col("last_accessed_at"), as_of, 7, inclusive=True), F.lit(False))
     idle = F.when(F.col("last_accessed_at").isNull(), ~since(F.col("created_at"), as_of, 7, inclusive=True)).otherwise(~recent)
     u = F.col("utility_score")
     decayed = F.when(idle & (u > 0.1), u * 0.95).when(recent, F.least(u * 1.1, F.lit(1.0))).otherwise(u)
     out = items.withColumn("utility_score", decayed)
-    pruned = (F.col("utility_score") < 0.1) & ~since(F.col("updated_at"), as_of, 30, inclusive=True)
+    pruned = (F.col("utility_score") < 0.1) & ~since(F.col("created_at"), as_of, 30, inclusive=True)
     gone = F.col("superseded_by").isNotNull() & ~since(F.col("updated_at"), as_of, 7, inclusive=True)
     return out.where(~F.coalesce(pruned, F.lit(False)) & ~F.coalesce(gone, F.lit(False)))
 
@@ -58,13 +59,28 @@ def due_for_review(items: DataFrame, as_of: str, limit: int | None = None) -> Da
     return due if limit is None else due.limit(limit)
 
 
-def learn_weights(ctr: DataFrame, old: DataFrame, at_least: int = 10) -> DataFrame:
-    """query_type, signal, weight: click-through rates (query_type, signal, shows, clicks) of types with enough clicks, scaled
-    by the best signal of the type and mixed with the old weights (query_type, signal, weight)."""
-    w = Window.partitionBy("query_type")
-    rows = ctr.withColumns({"total": F.sum("clicks").over(w), "rate": F.col("clicks") / F.col("shows")}).withColumn("best", F.max("rate").over(w))
-    rows = rows.where((F.col("total") >= at_least) & (F.col("best") > 0)).join(old.withColumnRenamed("weight", "old"), ["query_type", "signal"])
-    return rows.select("query_type", "signal", scores.ema(scores.ctr_weight(F.col("rate"), F.col("best")), F.col("old")).alias("weight"))
+def learn_weights(ctr: DataFrame, old: DataFrame | None = None, at_least: int = 10) -> DataFrame:
+    """query_type, signal, weight, samples: the click-through rates (query_type, signal, samples, shows, clicks) of types with
+    at least `at_least` clicked searches, scaled by the best signal of the type and mixed with the old weights (query_type,
+    signal, weight). Each of the five signals gets a weight: one that brought nothing has a rate of 0. Where a type has no old
+    weight the default counts, and types that aren't known have those of a semantic query. A type without any click on an
+    attributed result is left as it is and has no row."""
+    spark = ctr.sparkSession
+    names = tuple(SIGNAL_WEIGHTS["semantic"])
+    rates = ctr.groupBy("query_type").agg(
+        F.max("samples").alias("samples"),
+        *(F.max(F.when(F.col("signal") == n, F.col("clicks") / F.nullif(F.col("shows"), F.lit(0)))).alias(n) for n in names),
+    )
+    rates = rates.where(F.col("samples") >= at_least).withColumn("best", F.greatest(*(F.coalesce(n, F.lit(0.0)) for n in names)))
+    each = rates.where("best > 0").select("query_type", "samples", "best", F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.coalesce(n, F.lit(0.0)))))).alias("signal", "rate"))
+    usual = spark.createDataFrame([(t, n, float(x)) for t, ws in SIGNAL_WEIGHTS.items() for n, x in ws.items()], "query_type string, signal string, usual double")
+    each = each.join(usual, ["query_type", "signal"], "left")
+    fallback = F.coalesce(*(F.when(F.col("signal") == n, F.lit(float(x))) for n, x in SIGNAL_WEIGHTS["semantic"].items()))
+    held = F.lit(None).cast("double")
+    if old is not None:
+        each, held = each.join(old.withColumnRenamed("weight", "held"), ["query_type", "signal"], "left"), F.col("held")
+    before = F.coalesce(held, F.col("usual"), fallback)
+    return each.select("query_type", "signal", scores.ema(scores.ctr_weight(F.col("rate"), F.col("best")), before).alias("weight"), "samples")
 
 
 def debounced(queue: DataFrame, as_of: str, cooldown: float = 180.0) -> DataFrame:

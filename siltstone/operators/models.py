@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entity types that an extractor may name, and limits of what it reads and gives.
-ENTITY_TYPES = ("technology", "concept", "person", "file", "service")
+ENTITY_TYPES = ("person", "technology", "file", "project", "concept")
 MOST_ENTITIES, ENTITY_BYTES, MOST_TOKENS = 20, 8192, 512
 
 

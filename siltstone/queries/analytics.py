@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import analytics as A
 from siltstone.operators import entities as E
-from siltstone.queries.inputs import AS_OF, EDGES, LOGS, SEARCHES, edges, logs, searches
+from siltstone.queries.inputs import AS_OF, EDGES, EPISODES, EVENTS_AS_OF, LOGS, MEMORIES, SEARCHES, edges, episodes, logs, memories, searches
 from siltstone.sources.tables import table
 
 Q: dict = {}
@@ -77,9 +77,11 @@ def signal_clicks(s: SparkSession, d: str) -> DataFrame:
     return A.signal_clicks(searches(s, d)).withColumn("share", F.round("share", 6))
 
 
-@query("WITH" + SEARCHES + "SELECT coalesce(query_type, 'unknown') AS query_type, signal, count(*) AS shows, count(*) FILTER (WHERE list_contains(clicked_ids, entity)) AS clicks, round(count(*) FILTER (WHERE list_contains(clicked_ids, entity)) / count(*)::DOUBLE, 6) AS ctr FROM attributed GROUP BY 1, 2")
+@query("WITH" + SEARCHES + """, used AS (SELECT * FROM searches WHERE query_type IS NOT NULL AND len(clicked_ids) > 0 AND created_at > TIMESTAMP '2024-01-24 00:00:00'), n AS (SELECT query_type, count(*) AS samples FROM used GROUP BY 1)
+SELECT a.query_type, signal, samples, count(*) AS shows, count(*) FILTER (WHERE list_contains(a.clicked_ids, entity)) AS clicks, round(count(*) FILTER (WHERE list_contains(a.clicked_ids, entity)) / count(*)::DOUBLE, 6) AS ctr
+FROM attributed a JOIN n ON n.query_type = a.query_type WHERE len(a.clicked_ids) > 0 AND a.created_at > TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1, 2, 3""")
 def signal_ctr(s: SparkSession, d: str) -> DataFrame:
-    return A.signal_ctr(searches(s, d)).withColumn("ctr", F.round("ctr", 6))
+    return A.signal_ctr(searches(s, d), EVENTS_AS_OF).withColumn("ctr", F.round("ctr", 6))
 
 
 @query("WITH" + SEARCHES + "SELECT query, count(*) AS searches FROM (SELECT query || '-' || (id % 31) AS query, clicked_ids FROM searches) GROUP BY 1 HAVING count(*) >= 2 AND sum(len(clicked_ids)) = 0 ORDER BY searches DESC, query LIMIT 10")
@@ -94,11 +96,12 @@ def score_trends(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT *, coalesce(patterns_extracted, 0) + coalesce(episodes_extracted, 0) + coalesce(procedures_extracted, 0) + coalesce(memories_extracted, 0) AS x, coalesce(duplicates_skipped, 0) AS dup FROM learning_runs)
-SELECT count(*) AS runs, round(coalesce(avg(x), 0), 6) AS avg_extracted, round(coalesce(avg(CASE WHEN x + dup > 0 THEN dup / (x + dup)::DOUBLE ELSE 0 END), 0), 6) AS avg_duplicate_rate,
-  coalesce(sum(duplicates_skipped), 0)::BIGINT AS duplicates, coalesce(sum(contradictions_resolved), 0)::BIGINT AS contradictions, round(coalesce(avg(duration_ms), 0), 4) AS avg_duration_ms, round(coalesce(avg(chunks_processed), 0), 6) AS avg_chunks FROM r""")
+WITH r AS (SELECT *, patterns_extracted + episodes_extracted + procedures_extracted + memories_extracted AS x FROM learning_runs WHERE created_at >= TIMESTAMPTZ '2025-05-31 00:00:00+00')
+SELECT count(*) AS runs, round(coalesce(avg(x), 0), 6) AS avg_extracted, round(coalesce(avg(CASE WHEN x + duplicates_skipped > 0 THEN duplicates_skipped / (x + duplicates_skipped)::DOUBLE ELSE 0 END), 0), 6) AS avg_duplicate_rate,
+  coalesce(sum(patterns_extracted), 0)::BIGINT AS patterns, coalesce(sum(episodes_extracted), 0)::BIGINT AS episodes, coalesce(sum(procedures_extracted), 0)::BIGINT AS procedures, coalesce(sum(memories_extracted), 0)::BIGINT AS memories,
+  round(coalesce(avg(duration_ms), 0), 4) AS avg_duration_ms, round(coalesce(avg(chunks_processed), 0), 6) AS avg_chunks FROM r""")
 def learning_analytics(s: SparkSession, d: str) -> DataFrame:
-    out = A.learning_analytics(table(s, d, "learning_runs"))
+    out = A.learning_analytics(table(s, d, "learning_runs"), AS_OF)
     return out.withColumns({"avg_extracted": F.round("avg_extracted", 6), "avg_duplicate_rate": F.round("avg_duplicate_rate", 6), "avg_duration_ms": F.round("avg_duration_ms", 4), "avg_chunks": F.round("avg_chunks", 6)})
 
 
@@ -115,8 +118,8 @@ def top_referenced(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH cur AS (SELECT * FROM knowledge_items WHERE superseded_by IS NULL ORDER BY updated_at DESC, id LIMIT 1000),
-r AS (SELECT coalesce(tags[1], kind) AS topic, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - floor((epoch_us(TIMESTAMPTZ '2025-06-30 00:00:00+00') - epoch_us(updated_at)) / 86400000000.0) / 30.0::DOUBLE)) AS f,
+WITH latest AS (SELECT * FROM knowledge_items ORDER BY updated_at DESC, id, access_count DESC LIMIT 1000), cur AS (SELECT * FROM latest WHERE superseded_by IS NULL),
+r AS (SELECT coalesce(tags[1], kind) AS topic, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - floor((epoch_us(TIMESTAMPTZ '2025-06-30 00:00:00+00') - epoch_us(coalesce(last_accessed_at, created_at))) / 86400000000.0) / 30.0::DOUBLE)) AS f,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, ln(1 + access_count::DOUBLE) / 5 + coalesce(feedback_boost::DOUBLE, 0))) AS c, utility_score < 0.3 AS st FROM cur)
 SELECT topic, count(*) AS items, round(avg(f), 6) AS freshness, round(avg(c), 6) AS confidence, count(*) FILTER (WHERE st) AS stale,
   round(0.4::DOUBLE * avg(f) + 0.4::DOUBLE * avg(c) + 0.2::DOUBLE * (1 - count(*) FILTER (WHERE st) / count(*)::DOUBLE), 6) AS overall FROM r GROUP BY 1""")
@@ -125,16 +128,26 @@ def topic_health(s: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("freshness", "confidence", "overall")})
 
 
-@query("""
-WITH f AS (SELECT project_id, count(*) FILTER (WHERE updated_at > TIMESTAMPTZ '2025-05-31 00:00:00+00') / count(*)::DOUBLE AS freshness FROM knowledge_items WHERE project_id IS NOT NULL GROUP BY 1),
-p AS (SELECT project_id, avg(success_rate) AS success FROM procedures WHERE project_id IS NOT NULL AND times_used >= 3 GROUP BY 1),
-l AS (SELECT project_id, least(count(*) / 2.0::DOUBLE, 1.0::DOUBLE) AS learning FROM learning_runs WHERE project_id IS NOT NULL AND created_at > TIMESTAMPTZ '2025-06-23 00:00:00+00' GROUP BY 1),
-j AS (SELECT project_id, freshness, coalesce(success, 1.0) AS success, coalesce(learning, 0.0) AS learning FROM f LEFT JOIN p USING (project_id) LEFT JOIN l USING (project_id)),
-k AS (SELECT *, (freshness + success + learning) / 3 AS score FROM j)
-SELECT project_id, round(freshness, 6) AS freshness, round(success, 6) AS success, round(learning, 6) AS learning, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'healthy' WHEN score >= 0.4 THEN 'warning' ELSE 'critical' END AS status FROM k""")
+@query("WITH" + SEARCHES + "," + EPISODES + "," + MEMORIES + """,
+sp AS (SELECT s.*, p.id AS project_id FROM searches s JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS no FROM projects) p ON p.no = s.id % 50),
+f AS (SELECT project_id, count(*) FILTER (WHERE last_accessed_at > TIMESTAMPTZ '2025-05-31 00:00:00+00') / count(*)::DOUBLE AS v FROM knowledge_items WHERE superseded_by IS NULL GROUP BY 1),
+p AS (SELECT project_id, avg(success_rate) AS v FROM procedures WHERE superseded_by IS NULL AND times_used >= 3 GROUP BY 1),
+e AS (SELECT project_id, count(*) / 3.0::DOUBLE AS v FROM episodes WHERE created_at > TIMESTAMPTZ '2025-06-23 00:00:00+00' GROUP BY 1),
+m AS (SELECT project_id, count(*) / 5.0::DOUBLE AS v FROM memories GROUP BY 1),
+c AS (SELECT project_id, count(*) FILTER (WHERE len(clicked_ids) > 0) / count(*)::DOUBLE AS v FROM sp WHERE created_at > TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1),
+l AS (SELECT count(*) / 2.0::DOUBLE AS v FROM learning_runs WHERE created_at > TIMESTAMPTZ '2025-06-23 00:00:00+00'),
+j AS (SELECT DISTINCT q.id AS project_id, coalesce(f.v, 0.0) AS freshness, coalesce(p.v, 1.0) AS procedures, coalesce(e.v, 0.0) AS episodes, coalesce(m.v, 0.0) AS memories, coalesce(c.v, 1.0) AS search, l.v AS learning
+  FROM projects q LEFT JOIN f ON f.project_id = q.id LEFT JOIN p ON p.project_id = q.id LEFT JOIN e ON e.project_id = q.id LEFT JOIN m ON m.project_id = q.id LEFT JOIN c ON c.project_id = q.id, l),
+u AS (UNPIVOT j ON freshness, procedures, episodes, memories, search, learning INTO NAME dimension VALUE raw),
+w AS (SELECT project_id, dimension, greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw::DOUBLE)) AS score FROM u)
+SELECT project_id, dimension, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'healthy' WHEN score >= 0.4 THEN 'warning' ELSE 'critical' END AS status, round(avg(score) OVER (PARTITION BY project_id), 6) AS overall FROM w""")
 def project_health(s: SparkSession, d: str) -> DataFrame:
-    out = A.project_health(table(s, d, "knowledge_items"), table(s, d, "procedures"), table(s, d, "learning_runs"), AS_OF)
-    return out.withColumns({c: F.round(c, 6) for c in ("freshness", "success", "learning", "score")})
+    projects = table(s, d, "projects")
+    numbered = projects.select(F.col("id").alias("project_id"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1).alias("no"))
+    log = searches(s, d).withColumn("created_at", F.col("created_at") + F.expr("interval 516 days"))
+    asked = log.join(F.broadcast(numbered), F.col("id") % 50 == F.col("no"))
+    out = A.project_health(projects, table(s, d, "knowledge_items"), table(s, d, "procedures"), episodes(s, d), memories(s, d), asked, table(s, d, "learning_runs"), AS_OF)
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "overall")})
 
 
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM knowledge_items UNION ALL SELECT unnest(tags) FROM procedures) GROUP BY 1")
@@ -173,10 +186,41 @@ def table_counts(s: SparkSession, d: str) -> DataFrame:
     return A.table_counts(**{n: table(s, d, n) for n in ("knowledge_items", "procedures", "session_messages", "git_activity")})
 
 
-@query("""SELECT count(*) AS items, count(*) FILTER (WHERE utility_score < 0.1 AND updated_at < TIMESTAMPTZ '2025-05-31 00:00:00+00') AS to_prune,
-  count(*) FILTER (WHERE superseded_by IS NOT NULL AND updated_at < TIMESTAMPTZ '2025-06-23 00:00:00+00') AS to_delete FROM knowledge_items""")
+_OLD = "created_at < TIMESTAMPTZ '2025-05-31 00:00:00+00'"
+
+
+def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"knowledge": table(s, d, "knowledge_items"), "episodes": episodes(s, d), "procedures": table(s, d, "procedures").withColumn("utility_score", F.coalesce("success_rate", F.lit(0.05)))}
+
+
+def _searched(s: SparkSession, d: str) -> DataFrame:
+    return searches(s, d).withColumn("created_at", F.col("created_at") + F.expr("interval 516 days"))
+
+
+@query("WITH" + SEARCHES + "," + EPISODES + f"""SELECT 'knowledge' AS candidate, count(*) AS n FROM knowledge_items WHERE utility_score < 0.1 AND {_OLD} UNION ALL SELECT 'episodes', count(*) FROM episodes WHERE utility_score < 0.1 AND {_OLD}
+UNION ALL SELECT 'procedures', count(*) FROM procedures WHERE coalesce(success_rate, 0.05) < 0.1 AND {_OLD} UNION ALL SELECT 'search_queries', count(*) FROM searches WHERE created_at < TIMESTAMP '2023-12-31 00:00:00'""")
 def retention_preview(s: SparkSession, d: str) -> DataFrame:
-    return A.retention_preview(table(s, d, "knowledge_items"), AS_OF)
+    return A.retention_preview(_tables(s, d), _searched(s, d), AS_OF)
+
+
+@query("WITH" + EPISODES + f""", k AS (SELECT id FROM knowledge_items WHERE NOT coalesce(utility_score < 0.1 AND {_OLD}, false) UNION ALL SELECT id FROM episodes WHERE NOT coalesce(utility_score < 0.1 AND {_OLD}, false)
+  UNION ALL SELECT id FROM procedures WHERE NOT coalesce(coalesce(success_rate, 0.05) < 0.1 AND {_OLD}, false)),
+e AS (SELECT DISTINCT id AS source, superseded_by AS target FROM knowledge_items WHERE superseded_by IS NOT NULL UNION SELECT DISTINCT id, 'none' FROM procedures)
+SELECT 'rows' AS what, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM e WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)""")
+def retention_run(s: SparkSession, d: str) -> DataFrame:
+    """Edges of the test lead from superseded items to what replaced them, and from each procedure to nothing."""
+    k = table(s, d, "knowledge_items")
+    e = k.where("superseded_by is not null").select(F.col("id").alias("source"), F.col("superseded_by").alias("target")).unionByName(table(s, d, "procedures").select(F.col("id").alias("source"), F.lit("none").alias("target"))).distinct()
+    kept, _, left = A.retention_run(_tables(s, d), _searched(s, d), e, AS_OF)
+    rows = None
+    for t in kept.values():
+        rows = t.select("id") if rows is None else rows.unionByName(t.select("id"))
+    return rows.agg(F.count("*").alias("n")).select(F.lit("rows").alias("what"), "n").unionByName(left.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "n"))
+
+
+@query("WITH" + LOGS + "SELECT level, count(*) AS n FROM logs WHERE timestamp >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1")
+def log_retention(s: SparkSession, d: str) -> DataFrame:
+    return A.log_levels(A.log_retention(logs(s, d), EVENTS_AS_OF, 7))
 
 
 @query("""
@@ -198,15 +242,19 @@ def latest_per_key(s: SparkSession, d: str) -> DataFrame:
     return A.latest_per_key(table(s, d, "learning_queue"), ["session_id"], [F.desc("queued_at"), F.desc("id"), F.asc("status")]).select("id", "session_id", "status")
 
 
-@query("SELECT id, title, kind FROM knowledge_items WHERE kind = 'pattern' AND list_contains(tags, 'shard') ORDER BY updated_at DESC, id, title LIMIT 20 OFFSET 2")
+@query("""WITH t AS (SELECT tag FROM (SELECT unnest(tags) AS tag FROM knowledge_items WHERE kind = 'pattern') GROUP BY 1 ORDER BY count(*) DESC, tag LIMIT 1)
+SELECT id, title, kind FROM knowledge_items, t WHERE kind = 'pattern' AND list_contains(tags, tag) ORDER BY updated_at DESC, id, title LIMIT 20 OFFSET 2""")
 def list_knowledge(s: SparkSession, d: str) -> DataFrame:
-    out = E.listed(table(s, d, "knowledge_items"), {"kind": "pattern", "project_id": None}, "shard", [F.desc("updated_at"), F.asc("id"), F.asc("title")], 20, 2)
+    """The second page of the patterns with the tag that most of them have."""
+    k = table(s, d, "knowledge_items")
+    tag = A.tag_counts(k.where("kind = 'pattern'")).first()
+    out = E.listed(k, {"kind": "pattern", "project_id": None}, tag and tag["tag"], [F.desc("updated_at"), F.asc("id"), F.asc("title")], 20, 2)
     return out.select("id", "title", "kind")
 
 
-@query("SELECT id, title FROM procedures WHERE project_id = (SELECT min(id) FROM projects) ORDER BY updated_at DESC, id, title LIMIT 20")
+@query("SELECT id, title FROM procedures WHERE project_id = (SELECT min(project_id) FROM procedures) ORDER BY updated_at DESC, id, title LIMIT 20")
 def list_procedures(s: SparkSession, d: str) -> DataFrame:
-    first = table(s, d, "projects").agg(F.min("id")).first()[0]
+    first = table(s, d, "procedures").agg(F.min("project_id")).first()[0]
     return E.listed(table(s, d, "procedures"), {"project_id": first}, None, [F.desc("updated_at"), F.asc("id"), F.asc("title")]).select("id", "title")
 
 
@@ -267,9 +315,13 @@ def upsert_core_memory(s: SparkSession, d: str) -> DataFrame:
     return E.upsert_memories(state, rows.where("seq > 500"))
 
 
-@query("WITH" + EDGES + "SELECT source, target, relation, round(weight, 6) AS weight, usage_count FROM edges")
+@query("WITH" + EDGES + """, i AS (SELECT source, target, relation, 0.5::DOUBLE AS weight FROM edges WHERE relation IN ('caused', 'led_to') UNION ALL SELECT source, target, 'seen_with', weight FROM edges WHERE weight >= 0.5),
+u AS (SELECT source, target, relation, weight, usage_count FROM edges UNION ALL SELECT source, target, relation, weight, 1 FROM i) SELECT source, target, relation, round(max(weight), 6) AS weight, sum(usage_count)::BIGINT AS usage_count FROM u GROUP BY 1, 2, 3""")
 def upsert_edge(s: SparkSession, d: str) -> DataFrame:
-    return edges(s, d).withColumn("weight", F.round("weight", 6))
+    """Edges of two relations come again with a weight of a half, and those of half the weight or more as a new relation."""
+    e = edges(s, d)
+    again = e.where("relation in ('caused', 'led_to')").withColumn("weight", F.lit(0.5)).unionByName(e.where("weight >= 0.5").withColumn("relation", F.lit("seen_with")))
+    return E.upsert_edges(e, again).withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT name, max(path) AS path FROM projects GROUP BY 1")

@@ -33,7 +33,7 @@ _D7, _D30 = "TIMESTAMPTZ '2025-06-23 00:00:00+00'", "TIMESTAMPTZ '2025-05-31 00:
 @query(f"""
 WITH x AS (SELECT *, coalesce(last_accessed_at >= {_D7}, false) AS recent, CASE WHEN last_accessed_at IS NULL THEN created_at < {_D7} ELSE last_accessed_at < {_D7} END AS idle FROM knowledge_items),
 y AS (SELECT *, CASE WHEN idle AND utility_score > 0.1 THEN utility_score * 0.95::DOUBLE WHEN recent THEN least(utility_score * 1.1::DOUBLE, 1.0::DOUBLE) ELSE utility_score END AS u FROM x)
-SELECT id, round(u, 6) AS utility_score FROM y WHERE NOT coalesce(u < 0.1 AND updated_at < {_D30}, false) AND NOT coalesce(superseded_by IS NOT NULL AND updated_at < {_D7}, false)""")
+SELECT id, round(u, 6) AS utility_score FROM y WHERE NOT coalesce(u < 0.1 AND created_at < {_D30}, false) AND NOT coalesce(superseded_by IS NOT NULL AND updated_at < {_D7}, false)""")
 def memory_decay(s: SparkSession, d: str) -> DataFrame:
     return L.memory_decay(table(s, d, "knowledge_items"), AS_OF).select("id", F.round("utility_score", 6).alias("utility_score"))
 
@@ -62,13 +62,14 @@ def review_history(s: SparkSession, d: str) -> DataFrame:
     return L.review_history(rows, ["ts", "event_id"]).withColumn("easiness", F.round("easiness", 6))
 
 
-@query("WITH" + SEARCHES + """, c AS (SELECT query_type, signal, count(*) AS shows, count(*) FILTER (WHERE list_contains(clicked_ids, entity)) AS clicks FROM attributed WHERE query_type IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, sum(clicks) OVER (PARTITION BY query_type) AS total, clicks / shows::DOUBLE AS rate, max(clicks / shows::DOUBLE) OVER (PARTITION BY query_type) AS best FROM c)
-SELECT query_type, signal, round(0.3::DOUBLE * (0.3::DOUBLE + 1.7::DOUBLE * rate / best) + 0.7::DOUBLE, 6) AS weight FROM r WHERE total >= 10 AND best > 0""")
+@query("WITH" + SEARCHES + """, used AS (SELECT * FROM attributed WHERE query_type IS NOT NULL AND len(clicked_ids) > 0 AND created_at > TIMESTAMP '2024-01-24 00:00:00'), n AS (SELECT query_type, count(DISTINCT id) AS samples FROM used GROUP BY 1),
+c AS (SELECT query_type, signal, count(*) FILTER (WHERE list_contains(clicked_ids, entity)) / count(*)::DOUBLE AS rate FROM used GROUP BY 1, 2),
+u(query_type, fts, dense, raptor, graph, cue) AS (VALUES ('semantic', 1.0, 1.5, 1.0, 0.5, 0.0), ('temporal', 0.5, 1.0, 0.3, 0.5, 1.5), ('causal', 0.5, 1.0, 0.5, 2.0, 1.5), ('decision', 1.0, 1.0, 0.5, 1.0, 0.0), ('procedural', 1.5, 1.0, 0.5, 0.3, 0.0)),
+v AS (UNPIVOT u ON fts, dense, raptor, graph, cue INTO NAME signal VALUE usual),
+j AS (SELECT v.query_type, v.signal, usual::DOUBLE AS usual, samples, coalesce(rate, 0) AS rate, max(coalesce(rate, 0)) OVER (PARTITION BY v.query_type) AS best FROM v JOIN n ON n.query_type = v.query_type LEFT JOIN c ON c.query_type = v.query_type AND c.signal = v.signal)
+SELECT query_type, signal, samples, round(0.3::DOUBLE * (0.3::DOUBLE + 1.7::DOUBLE * rate / best) + 0.7::DOUBLE * usual, 6) AS weight FROM j WHERE samples >= 10 AND best > 0""")
 def weight_learning(s: SparkSession, d: str) -> DataFrame:
-    ctr = A.signal_ctr(searches(s, d)).where("query_type <> 'unknown'").drop("ctr")
-    old = ctr.select("query_type", "signal", F.lit(1.0).alias("weight"))
-    return L.learn_weights(ctr, old).withColumn("weight", F.round("weight", 6))
+    return L.learn_weights(A.signal_ctr(searches(s, d), EVENTS_AS_OF)).withColumn("weight", F.round("weight", 6))
 
 
 @query("""SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY queued_at DESC, id DESC) AS rn FROM learning_queue WHERE status = 'pending')

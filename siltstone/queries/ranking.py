@@ -53,7 +53,8 @@ def _fts_sql(kind: str, table_: str) -> str:
 
 
 def _distinct(s: SparkSession, d: str, name: str) -> DataFrame:
-    return table(s, d, name).groupBy("id").agg(F.first("title").alias("title"), F.first("content").alias("content"))
+    """One row for each id: of an id's versions the least title, with the content that goes with it."""
+    return table(s, d, name).groupBy("id").agg(F.min(F.struct("title", "content")).alias("m")).select("id", "m.title", "m.content")
 
 
 @query(f"WITH f AS ({_fts_sql('knowledge_item', 'knowledge_items')}) SELECT entity_id, round(score, 6) AS score FROM f ORDER BY f.score DESC, entity_id LIMIT 20")
@@ -203,10 +204,16 @@ def graph_explore(s: SparkSession, d: str) -> DataFrame:
     return G.explore(edges(s, d), seeds, 2, 0.5).withColumn("score", F.round("score", 6))
 
 
-@query("WITH RECURSIVE" + EDGES + """, b AS (SELECT source, min_by(target, (-weight, target)) AS nxt, max(weight) AS weight FROM edges WHERE relation IN ('led_to', 'caused') GROUP BY 1),
-c AS (SELECT DISTINCT source AS start, source AS cur, [source] AS path, 1.0::DOUBLE AS score, 0 AS hop FROM edges UNION ALL
-  SELECT start, nxt, list_append(path, nxt), score * weight, hop + 1 FROM c JOIN b ON b.source = c.cur WHERE hop < 5 AND NOT list_contains(path, nxt))
-SELECT start, hop, cur AS node, round(score, 6) AS score FROM c WHERE hop > 0""")
+def _chain_sql() -> str:
+    """Five hops, each the heaviest causal edge to a node that isn't on the path yet."""
+    hops = ["c0 AS (SELECT DISTINCT source AS start, source AS cur, [source] AS path, 1.0::DOUBLE AS score FROM edges)"]
+    for h in range(1, 6):
+        hops.append(f"c{h} AS (SELECT start, target AS cur, list_append(path, target) AS path, score * weight AS score FROM c{h - 1} JOIN b ON source = cur WHERE NOT list_contains(path, target) QUALIFY row_number() OVER (PARTITION BY start ORDER BY weight DESC, target) = 1)")
+    best = "b AS (SELECT source, target, max(weight) AS weight FROM edges WHERE relation IN ('led_to', 'caused', 'triggered', 'caused_by', 'resolved_by', 'preceded_by') GROUP BY 1, 2)"
+    return "WITH" + EDGES + ", " + best + ", " + ", ".join(hops) + " UNION ALL ".join(f" SELECT start, {h} AS hop, cur AS node, round(score, 6) AS score FROM c{h}" for h in range(1, 6))
+
+
+@query(_chain_sql())
 def causal_chain(s: SparkSession, d: str) -> DataFrame:
     e = edges(s, d)
     return G.causal_chain(e, e.select(F.col("source").alias("node")).distinct()).withColumn("score", F.round("score", 6))

@@ -82,7 +82,7 @@ def estimate_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT doc_id, round(ceil(length(text) / 4.0) * 100.0::DOUBLE / 1000)::BIGINT AS percent FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, percent, CASE WHEN percent < 25 THEN 'low' WHEN percent < 50 THEN 'moderate' WHEN percent < 75 THEN 'elevated' WHEN percent < 90 THEN 'high' ELSE 'critical' END AS band FROM p""")
+SELECT doc_id, percent, CASE WHEN percent < 25 THEN 'none' WHEN percent < 50 THEN 'low' WHEN percent < 75 THEN 'medium' WHEN percent < 90 THEN 'high' ELSE 'critical' END AS band FROM p""")
 def context_budget(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").where("text is not null").select("doc_id", S.budget_used(F.length("text"), 1000).alias("percent"))
     return rows.select("doc_id", "percent", S.budget_band(F.col("percent")).alias("band"))
@@ -179,10 +179,25 @@ def headlines(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where(F.lower("text").contains("nightly")).select("doc_id", X.headline(F.col("text"), ["nightly", "job"]).alias("headline"))
 
 
-@query("""SELECT file_path, CASE regexp_extract(file_path, '([^/]*)$', 1) WHEN 'Cargo.toml' THEN 'rust' WHEN 'package.json' THEN 'node' WHEN 'pyproject.toml' THEN 'python' WHEN 'requirements.txt' THEN 'python' WHEN 'go.mod' THEN 'go'
-  WHEN 'pom.xml' THEN 'java' WHEN 'build.gradle' THEN 'java' WHEN 'Gemfile' THEN 'ruby' WHEN 'Dockerfile' THEN 'docker' END AS tech, count(*) AS n FROM git_activity WHERE file_path IS NOT NULL GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT project_id, list(DISTINCT file_path) AS files FROM (SELECT project_id, file_path FROM git_activity WHERE file_path IS NOT NULL UNION ALL
+    SELECT project_id, (['package.json', 'next.config.ts', 'prisma/schema.prisma', 'Cargo.toml', 'docker-compose.yml', 'Dockerfile', 'flake.nix', 'pyproject.toml', 'go.mod', 'tsconfig.json', 'web/package.json', 'pom.xml', 'Gemfile'])[length(commit_message) % 13 + 1] FROM git_activity) WHERE project_id IS NOT NULL GROUP BY 1)
+SELECT project_id, list_filter([CASE WHEN list_contains(files, 'package.json') THEN 'node.js' END, CASE WHEN list_has_any(files, ['next.config.js', 'next.config.ts', 'next.config.mjs']) THEN 'next.js' END, CASE WHEN list_contains(files, 'prisma/schema.prisma') THEN 'prisma' END,
+  CASE WHEN list_contains(files, 'Cargo.toml') THEN 'rust' END, CASE WHEN list_has_any(files, ['docker-compose.yml', 'docker-compose.yaml', 'Dockerfile']) THEN 'docker' END, CASE WHEN list_contains(files, 'flake.nix') THEN 'nixos' END,
+  CASE WHEN list_has_any(files, ['requirements.txt', 'pyproject.toml']) THEN 'python' END, CASE WHEN list_contains(files, 'go.mod') THEN 'go' END, CASE WHEN list_contains(files, 'tsconfig.json') THEN 'typescript' END], lambda x: x IS NOT NULL) AS stack FROM f""")
 def tech_stack(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "git_activity").where("file_path is not null").groupBy("file_path", X.tech_stack(F.col("file_path")).alias("tech")).agg(F.count("*").alias("n"))
+    """The files of each project's commits, and a file for each commit by the length of its message."""
+    made = ("package.json", "next.config.ts", "prisma/schema.prisma", "Cargo.toml", "docker-compose.yml", "Dockerfile", "flake.nix", "pyproject.toml", "go.mod", "tsconfig.json", "web/package.json", "pom.xml", "Gemfile")
+    g = table(s, d, "git_activity").where("project_id is not null")
+    files = g.select("project_id", "file_path").where("file_path is not null").unionByName(g.select("project_id", F.element_at(F.array(*map(F.lit, made)), F.length("commit_message") % 13 + 1).alias("file_path")))
+    marked = files.where(X.tech_stack(F.col("file_path")).isNotNull()).groupBy("project_id").agg(F.collect_set("file_path").alias("files"))
+    return g.select("project_id").distinct().join(marked, "project_id", "left").select("project_id", X.tech_stacks(F.coalesce("files", F.array())).alias("stack"))
+
+
+@query("""WITH w AS (SELECT id, content, list_filter(string_split_regex(content, '[^\\p{L}\\p{N}_-]+'), lambda w: strlen(w) >= 3 AND NOT list_contains(
+  ['the', 'and', 'for', 'not', 'was', 'error', 'with', 'from', 'that', 'this', 'can', 'cannot', 'could', 'did', 'does', 'find', 'found', 'module', 'file', 'such', 'failed', 'fatal', 'missing'], lower(w))) AS w FROM session_messages)
+SELECT id, CASE WHEN regexp_matches(lower(content), 'error|panic|failed|exception|fatal|cannot find|not found|no such file|denied') AND len(w) > 0 THEN array_to_string(w[1:4], ' OR ') END AS keywords FROM w""")
+def error_keywords(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "session_messages").select("id", X.error_keywords(F.col("content")).alias("keywords"))
 
 
 @query("""WITH u AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'http://10.0.' || (event_id % 300) || '.7/x' WHEN 1 THEN 'https://host-' || user_id || '.internal:8080/' WHEN 2 THEN 'https://example.com/' || user_id WHEN 3 THEN 'http://172.' || (event_id % 40) || '.1.9:80' ELSE 'http://localhost/a' END AS url FROM events),

@@ -62,31 +62,53 @@ def tool_calls(rows: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, "pos", tool_name(F.col("line")).alias("tool")).where("tool is not null")
 
 
-_ITEM = re.compile(r"^\s*(?P<vis>pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*(?P<kind>fn|struct|enum|trait|const(?!\s+fn)|static|type|mod|impl)\b(?P<rest>.*)$")
-_NAMED = re.compile(r"^\s*(?:<[^>]*>\s*)?(?:mut\s+)?([A-Za-z_]\w*)")
-_IMPL = re.compile(r"^\s*(?:<[^{]*?>\s*)?(?:[\w:<>,' ]+\s+for\s+)?([A-Za-z_]\w*)")
-_PATHS = re.compile(r"\b([A-Z]\w*)::")
+_ITEM = re.compile(r"(?:pub(?:\((?:crate|super)\))? )?(?:async |unsafe |default |extern \"C\" )*(?P<kind>fn|struct|enum|trait|const|static|type|impl(?=[ <]))(?P<rest>.*)$")
+_NAMED = re.compile(r" ([^\s(<{;:=]+)")
+_PATHS = re.compile(r"(?<![\w:])([^\W\d_a-z]\w*)::")
+
+#: What kinds of items are called; others aren't listed.
+SYMBOL_TYPES = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "const": "const", "static": "const", "type": "type_alias", "impl": "impl"}
+
+
+def _impl_target(rest: str) -> str | None:
+    """The type an impl block is of: what follows ` for `, else the first name after generic parameters."""
+    depth, at = 0, 0
+    rest = rest.lstrip()
+    if rest.startswith("<"):
+        for at, c in enumerate(rest):
+            depth += (c == "<") - (c == ">")
+            if not depth:
+                break
+        rest = rest[at + 1 :].lstrip()
+    named = re.match(r"[^ {<]+", rest.split(" for ", 1)[-1].strip())
+    return named and named[0]
 
 
 def rust_symbols(text: str) -> list[tuple[str, str, str, int, str, str | None, list[str]]]:
-    """(name, kind, signature, line, visibility, parent, dependencies) of a source text, line by line; parents are the impl
-    blocks open at a line, by braces."""
-    out, depth, open_impl = [], 0, []
+    """(name, kind, signature, line, visibility, parent, dependencies) of a source text, line by line. Functions and constants
+    inside an impl block have its type as parent, as long as its braces are open; comments and attributes are skipped."""
+    out, depth, owner, owner_depth = [], 0, None, 0
     for no, line in enumerate(text.split("\n"), 1):
-        code = line.split("//", 1)[0]
-        m = _ITEM.match(code)
-        if m:
-            kind, rest = m["kind"], m["rest"]
-            named = (_IMPL if kind == "impl" else _NAMED).match(rest)
-            if named:
-                parent = open_impl[-1][1] if open_impl else None
-                deps = sorted(set(_PATHS.findall(code)))
-                out.append((named[1], kind, code.strip().rstrip("{").strip(), no, "public" if m["vis"] else "private", None if kind == "impl" else parent, deps))
-                if kind == "impl":
-                    open_impl.append((depth, named[1]))
-        depth += code.count("{") - code.count("}")
-        while open_impl and depth <= open_impl[-1][0] and "}" in code:
-            open_impl.pop()
+        code = line.strip()
+        for c in code:
+            depth += (c == "{") - (c == "}")
+            if c == "}" and depth < owner_depth:
+                owner = None
+        m = None if not code or code.startswith(("//", "#")) else _ITEM.match(code)
+        if not m:
+            continue
+        kind, name = SYMBOL_TYPES[m["kind"]], None
+        if kind == "impl":
+            name = owner = _impl_target(m["rest"]) or owner
+            owner_depth = depth
+        elif named := _NAMED.match(m["rest"]):
+            name = named[1]
+        if not name or name == "_":
+            continue
+        seen = "crate" if code.startswith("pub(crate)") else "public" if code.startswith("pub") else "private"
+        parent = owner if kind in ("function", "const") else None
+        uses = sorted(set(_PATHS.findall(code))) if kind in ("function", "impl") else []
+        out.append((name, kind, code.split("{", 1)[0].strip(), no, seen, parent, uses))
     return out
 
 

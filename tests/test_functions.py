@@ -71,7 +71,7 @@ def test_words_and_keywords(spark):
     assert one(spark, X.keywords_path(F.lit("src/search-engine/fusion_rank.rs"))) == "search engine fusion rank"
     assert one(spark, X.keywords_path(F.lit("src/lib.rs"))) is None
     assert one(spark, X.keywords_shell(F.lit("cargo test --release integration parser"))) == "test integration parser"
-    assert one(spark, X.error_keywords(F.lit("build failed: missing symbol foo_bar in crate"))) == "build OR failed OR missing OR symbol"
+    assert one(spark, X.error_keywords(F.lit("build failed: missing symbol foo_bar in crate"))) == "build OR symbol OR foo_bar OR crate"
     assert one(spark, X.error_keywords(F.lit("all fine"))) is None
 
 

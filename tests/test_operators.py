@@ -26,6 +26,13 @@ def test_causal_chain_stops_at_a_ring(spark):
     assert rows(graph.causal_chain(e, starts), "start", "hop", "node") == [("a", 1, "b"), ("x", 1, "b"), ("x", 2, "a")]
 
 
+def test_causal_chain_takes_the_best_node_it_has_not_met(spark):
+    named = ("led_to", "caused", "triggered", "caused_by", "resolved_by", "preceded_by")
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", r, 0.5, 1) for i, r in enumerate(named)] + [("n1", "n0", "caused", 0.9, 1), ("n2", "n9", "fixed_by", 1.0, 1)], EDGE)
+    got = rows(graph.causal_chain(e, spark.createDataFrame([("n0",)], "node string"), 6), "hop", "node")
+    assert got == [(i + 1, f"n{i + 1}") for i in range(6)]
+
+
 def test_label_propagation(spark):
     tri = [("a", "b", "r", 1.0, 1), ("b", "c", "r", 1.0, 1), ("a", "c", "r", 1.0, 1), ("x", "y", "r", 1.0, 1)]
     got = {r.node: r.cluster for r in graph.label_propagation(spark.createDataFrame(tri, EDGE)).collect()}
@@ -187,7 +194,9 @@ def test_transcripts_and_tools(spark):
 def test_symbols(spark):
     src = "pub struct Foo {\n  a: Bar::X,\n}\nimpl Foo {\n    pub async fn go(&self) -> Baz::T {\n    }\n}\nfn free() {}\nconst N: usize = 1;\n"
     got = parsers.rust_symbols(src)
-    assert [(g[0], g[1], g[3], g[4], g[5]) for g in got] == [("Foo", "struct", 1, "public", None), ("Foo", "impl", 4, "private", None), ("go", "fn", 5, "public", "Foo"), ("free", "fn", 8, "private", None), ("N", "const", 9, "private", None)]
+    assert [(g[0], g[1], g[3], g[4], g[5]) for g in got] == [("Foo", "struct", 1, "public", None), ("Foo", "impl", 4, "private", None), ("go", "function", 5, "public", "Foo"), ("free", "function", 8, "private", None), ("N", "const", 9, "private", None)]
+    more = "#[derive(X)]\n// fn no() {}\npub(crate) static S: u8 = 1;\nimpl<T: A> Show for Wide<T> {\n    const K: u8 = 2;\n}\ntype Alias = Foo;\npub trait Can: Sized {\n}\nmod inner;\nconst _: () = ();\n"
+    assert [(g[0], g[1], g[4], g[5]) for g in parsers.rust_symbols(more)] == [("S", "const", "crate", None), ("Wide", "impl", "private", None), ("K", "const", "private", "Wide"), ("Alias", "type_alias", "private", None), ("Can", "trait", "public", None)]
     df = parsers.symbols(spark.createDataFrame([("a.rs", src), ("b.rs", None)], "path string, text string"))
     assert rows(parsers.impact(df, "go"), "role", "risk") == [("definition", "low")] and rows(parsers.impact(df, "Baz"), "role", "symbol_name", "risk") == [("caller", "go", "medium")]
 
@@ -196,6 +205,11 @@ def test_html():
     page = "<html><head><title> A &amp; B </title></head><body><nav>no</nav><main><h2>Hi</h2><p>Some <b>bold</b> and <a href='/x'>link</a></p><pre><code class='language-py'>x = 1\n</code></pre><ul><li>a</li></ul><script>no</script></main></body></html>"
     md = html.markdown(page)
     assert html.title(page) == "A & B" and "## Hi" in md and "Some **bold** and [link](/x)" in md and "```py\nx = 1" in md and "- a" in md and "no" not in md.split()
+    assert html.markdown("<p>a <b> x </b><em>y </em> <a>bare</a> <a href='/z'></a><img alt='q'></p><svg><text>no</text></svg><iframe>kept</iframe>") == "a **x***y* bare ![q]()\n\nkept"
+    assert html.markdown("<ul><li>a<li>b</ul><p>one<p>two") == "- a\n- b\n\none\n\ntwo" and html.markdown("") == "" and html.title("") == ""
+    assert html.markdown("<div>" * 5000 + "deep") == "deep"
+    assert html.title("<body><h1>Main</h1></body>") == "Main" and html.title("<p>first</p>") == "first" and html.strip_tags("<p>Hello <b>world</b></p>") == "Hello world"
+    assert html.decode_entities("&amp; it&#39;s") == "& it's"
 
 
 @pytest.mark.parametrize("sql", ["DROP TABLE x", "select 1; select 2", "with a as (select 1) delete from a", "update x set y = 1", ""])
