@@ -13,8 +13,7 @@ counts little more than it has to, and only sums are shuffled.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +30,17 @@ PREFIX_RATIO, PROSE_PREFIX_RATIO = 20, 2
 #: Places that are added to those seen of a word.
 USUAL_PLACES = 6
 
-#: Counters that a task holds before it hands them on.
+#: Counters, and words, that a task holds before it hands them on.
 HELD = 400_000
 
 #: A source's closing lines: those of this share of its texts, and of at least so many.
 CLOSING_SHARE, CLOSING_TEXTS, MOST_CLOSING = 0.12, 4, 200
 
 _token = re.compile(r"\d+(?:\.\d+)+(?!\w)|\w+")
-_token_and_gap = re.compile(r"(\d+(?:\.\d+)+(?!\w)|\w+)(\W*)")
+_tokens_and_gaps = re.compile(r"(\d+(?:\.\d+)+(?!\w)|\w+)")
 _letter = re.compile(r"\w")
 _digits = re.compile(r"\d+")
-_marker = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|…|\.\.\.)$")
+_MARKERS = ("[…]", "[...]", "(…)", "(...)", "…", "...")
 _sentence_end = re.compile(r"[.?!。！？।؟…]")
 _list_line = re.compile(r"\s*(?:[-*+•]|\d+[.)]|\[[ x]\])\s")
 _link_line = re.compile(r"\w{2,10}://\S+\s*$")
@@ -81,17 +80,46 @@ def _shape(token: str) -> str:
     return "word" if len(token) > 1 else "letter"
 
 
-def _keys(kind: str, w3: str, w2: str, w1: str) -> list[str]:
-    """What stands before a place, from the most to the least telling."""
-    return [f"b\t{kind}\t{w2}\t{w1}", f"s\t{kind}\t{w3}\t{w1}", f"u\t{kind}\t{w1}", f"h\t{kind}\t{_shape(w1)}"]
-
-
 def _hash(key: str) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(key.encode("utf-8", "replace"))
 
 
+def _nodes(word: str) -> list[int]:
+    """The keys of the trie's nodes on the way to a word, the word's own last; each letter is hashed once."""
+    import xxhash
+
+    state, out = xxhash.xxh64(b"n\t"), []
+    for letter in word:
+        state.update(letter.encode("utf-8", "replace"))
+        out.append(state.intdigest())
+    return out
+
+
+LEVELS, KINDS, SHAPES = "bsuh", ("prose", "code", "subject", "heading", "table", "list", "link", "log"), ("0", "name", "word", "letter")
+#: By level and kind of line.
+_SEEDS = {level: np.array([_hash(f"{level}\t{kind}") for kind in KINDS], dtype=np.uint64) for level in LEVELS}
+_SHAPE_HASH = np.array([_hash("shape\t" + s) for s in SHAPES], dtype=np.uint64)
+_NOTHING = _hash("")
+
+
+def _joined(*parts: np.ndarray) -> np.ndarray:
+    """One key of several."""
+    out = np.zeros_like(parts[-1])
+    for p in parts:
+        out = (out ^ p) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _keys(kind: np.ndarray, w3: np.ndarray, w2: np.ndarray, w1: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
+    """What stands before a place, from the most to the least telling: the line's kind with the last word and the one before
+    it, with the last word and the one before that, with the last word, and with its shape."""
+    b, s, u, h = (_SEEDS[level][kind] for level in LEVELS)
+    return [_joined(b, w2, w1), _joined(s, w3, w1), _joined(u, w1), _joined(h, _SHAPE_HASH[shape])]
+
+
 MIDDLE, STOP, BARE = 0, 1, 2
 
 
@@ -106,7 +134,11 @@ def _follows(gap: str, at_end: bool) -> int:
 
 def closing_lines(documents: DataFrame) -> DataFrame:
     """source, closing: the last one or two lines that many texts of a source share; sources sign what they hand on. A closing has at most MOST_CLOSING characters, so the ends of texts suffice."""
-    end = F.right(F.rtrim("text", F.lit(" \t\r\n\u000b\f\u00a0\u2003\u3000")), F.lit(2 * MOST_CLOSING + 4))
+    blank = F.lit(" \t\r\n\u000b\f\u00a0\u2003\u3000")
+    # Blanks at the end are taken off a short end where that leaves enough, and off the whole text elsewhere.
+    near = F.rtrim(F.right("text", F.lit(4 * MOST_CLOSING)), blank)
+    whole = (F.length(near) > 2 * MOST_CLOSING + 4) | (F.length("text") <= 4 * MOST_CLOSING)
+    end = F.right(F.when(whole, near).otherwise(F.rtrim("text", blank)), F.lit(2 * MOST_CLOSING + 4))
     lines = F.split(F.regexp_replace(end, "\r\n", "\n"), "\n")
     last = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.array_join(F.slice(lines, -F.least(k, F.size(lines)), k), "\n")), lambda s: (s != "") & (F.length(s) <= MOST_CLOSING))
     rows = documents.where("text is not null and source is not null").select("source", F.array_distinct(last).alias("lasts"))
@@ -122,27 +154,38 @@ class _Tail:
 
     def __init__(self, text: str, closings: tuple[str, ...], entity_type: str | None):
         body = text.replace("\r\n", "\n").rstrip()
-        for closing in sorted(closings, key=len, reverse=True):
+        for closing in closings:
             if body.endswith("\n" + closing):
                 body = body[: -len(closing)].rstrip()
                 break
-        marker = _marker.search(body)
+        marker = next((m for m in _MARKERS if body.endswith(m)), "")
         self.marked = bool(marker)
-        self.body = body = body[: marker.start()].rstrip() if marker else body
-        inside = len(_fence.findall(body)) % 2 == 1
+        self.body = body = body[: -len(marker)].rstrip() if marker else body
+        inside = "```" in body and len(_fence.findall(body)) % 2 == 1
         start = body.rfind("\n") + 1
         line = body[start:]
         self.kind = _line_kind(line, entity_type, inside)
-        tokens = [m.group() for m in _token.finditer(body, max(0, len(body) - 400))]
-        found = _letter.search(body[::-1])
+        tokens = self._last_tokens(body)
+        found = _letter.search(body[:-65:-1]) or _letter.search(body[::-1])
         self.trail = body[len(body) - found.start() :] if found else body[-20:]
         self.w1 = tokens[-1] if tokens else ""
         self.words = [_word(t) for t in ["", "", *tokens][-3:]]
         ticks = line.replace("```", "").count("`") % 2 == 1
         cells = self.kind == "table" and (not line.rstrip().endswith("|") or self._fewer_cells(body, line))
-        self.open = inside or ticks or cells or body.endswith("�") or bool(_partial_escape.search(body))
+        self.open = inside or ticks or cells or body.endswith("�") or bool(_partial_escape.search(body[-12:]))
         self.stop = bool(_sentence_end.search(self.trail)) or self._closed(line)
 
+    @staticmethod
+    def _last_tokens(body: str) -> list[str]:
+        """The last words of a text, three at least if it has them, each of them whole, however long they are."""
+        reach = 256
+        while True:
+            at = max(0, len(body) - reach)
+            tokens = _token.findall(body, at)
+            if not at or len(tokens) > 4:  # the first ones may have been cut by the reach
+                return tokens
+            reach *= 8
+
     @staticmethod
     def _fewer_cells(body: str, line: str) -> bool:
         above = body[: len(body) - len(line)].rstrip("\n").rsplit("\n", 1)[-1]
@@ -163,14 +206,22 @@ def tails(documents: DataFrame, closings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda h: h - (1 << 64) if h >> 63 else h
         for batch in batches:
-            rows = []
+            rows, ends = [], []
             for doc, text, source, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None or not text.strip():
                     continue
                 t = _Tail(text, closings.value.get(source, ()), kind)
                 dotted = t.stop and t.trail == "." and not t.marked and t.kind == "prose"
-                keys = [signed(_hash(k)) for k in _keys(t.kind, *t.words)] if not t.stop and t.w1 else []
-                rows.append((doc, source, len(t.body), len(t.body.encode("utf-8", "replace")), len(text), t.marked, t.open, t.stop, dotted, t.kind, t.w1, keys, signed(_hash("n\t" + t.w1)), signed(_hash("d\t" + t.w1)) if dotted else None))
+                judged_by = not t.stop and bool(t.w1)
+                if judged_by:
+                    ends.append((KINDS.index(t.kind), *(_hash(w) for w in t.words), SHAPES.index(_shape(t.words[2]))))
+                rows.append([doc, source, len(t.body), len(t.body.encode("utf-8", "replace")), len(text), t.marked, t.open, t.stop, dotted, t.kind, t.w1, judged_by, signed(_hash("n\t" + t.w1)), signed(_hash("d\t" + t.w1)) if dotted else None])
+            if ends:
+                kind, w3, w2, w1, shape = zip(*ends)
+                words = (np.array(w, dtype=np.uint64) for w in (w3, w2, w1))
+                drawn = iter(np.stack(_keys(np.array(kind), *words, np.array(shape)), axis=1).view(np.int64).tolist())
+            for row in rows:
+                row[11] = next(drawn) if row[11] else []
             cols = list(zip(*rows)) if rows else [[]] * 14
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in TAIL_SCHEMA.split(", ")])
@@ -183,133 +234,182 @@ def _by_source(closings: DataFrame) -> dict[str, tuple[str, ...]]:
     out: dict[str, list[str]] = {}
     for source, closing in closings.toLocalIterator():
         out.setdefault(source, []).append(closing)
-    return {k: tuple(v) for k, v in out.items()}
+    return {k: tuple(sorted(v, key=len, reverse=True)) for k, v in out.items()}
 
 
 def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFrame:
     """key, middle, stop, bare: over all texts, how often what a key names is followed by more, by the end of a sentence
     or by the bare end of a line. For a node of the vocabulary trie: how often longer words go on from it (middle) and how
-    often a word ends there (stop), the last word of a text left out."""
+    often a word ends there (stop), the last word of a text left out. Texts are taken apart one by one; words become numbers,
+    and all that is counted is counted for a batch of texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8))
-        known: dict[str, int] = {}
-        below: dict[str, tuple[int, list[int]]] = {}
-        counts: list[Counter] = [Counter(), Counter(), Counter()]
-        # Words are counted as they are, by kind of line and by what follows; their keys are drawn once a batch.
-        seen: dict[str, list[Counter]] = {}
-        ends: Counter = Counter()
-        wanted_words: dict[str, dict[str, str | bool]] = {}
-
-        def key_of(key: str) -> int:
-            h = known.get(key)
-            if h is None:
-                if len(known) > 2 * HELD:
-                    known.clear()
-                h = _hash(key)
-                h = known[key] = h if table[h >> (64 - bits)] else 0
-            return h
-
-        def nodes_of(word: str) -> tuple[int, list[int]]:
-            if len(below) > HELD:
-                below.clear()
-            nodes = below[word] = (key_of("n\t" + word), [h for n in range(1, min(len(word), 64)) if (h := key_of("n\t" + word[:n]))])
-            return nodes
-
-        def ends_a_text(kind: str, token: str) -> str | bool:
-            """The word with its digits levelled if some text ends with it, else False: then no longer key of it is asked for."""
-            held = wanted_words[kind]
-            if len(held) > HELD:
-                held.clear()
-            w1 = _word(token)
-            held[token] = w1 if key_of(_keys(kind, "", "", w1)[2]) else False
-            return held[token]
-
-        def settle() -> None:
-            words: Counter = Counter()
-            for kind, by in seen.items():
-                for follows, tokens in enumerate(by):
-                    into = counts[follows]
-                    for token, n in tokens.items():
-                        for key in _keys(kind, "", "", _word(token))[2:]:
-                            if h := key_of(key):
-                                into[h] += n
-                    words.update(tokens)
-                    tokens.clear()
-            words.subtract(ends)
-            ends.clear()
-            for word, n in words.items():
-                if n:
-                    own, longer = below.get(word) or nodes_of(word)
-                    if own:
-                        counts[STOP][own] += n
-                    for h in longer:
-                        counts[MIDDLE][h] += n
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(set().union(*counts))
-            cols = [pa.array(np.array(keys, dtype=np.uint64).view(np.int64))] + [pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counts]
-            for c in counts:
-                c.clear()
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "middle", "stop", "bare"])
+        table = np.frombuffer(wanted.value, dtype=np.uint8)
+        vocabulary, gaps, held = _Vocabulary(), _Gaps(), _Tally()
+
+        def asked(keys: np.ndarray) -> np.ndarray:
+            place = keys >> np.uint64(64 - bits)
+            return (table[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
+            words, codes, kinds, sizes = [], [], [], []
             for text, source, entity_type in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None or not text.strip():
                     continue
                 tail = _Tail(text, closings.value.get(source, ()), entity_type)
-                body = tail.body
-                start = _letter.search(body)
-                if not start:
+                parts = _tokens_and_gaps.split(tail.body)
+                if len(parts) < 3:
                     continue
-                at, inside, w3, w2, fresh, line_start = start.start(), False, "", "", True, 0
-                pairs = _token_and_gap.findall(body, at)
-                last = len(pairs) - 1
-                for i, (token, gap) in enumerate(pairs):
-                    if fresh:
-                        line = body.rfind("\n", 0, at) + 1
-                        if body.count("```", line_start, line) % 2:
-                            inside = not inside
-                        line_start, stop = line, body.find("\n", line)
-                        kind = _line_kind(body[line : stop if stop >= 0 else len(body)], entity_type, inside)
-                        by = seen.get(kind)
-                        if by is None:
-                            by, wanted_words[kind] = seen.setdefault(kind, [Counter(), Counter(), Counter()]), {}
-                        of_kind = wanted_words[kind]
-                        fresh = False
-                    if gap == " ":
-                        follows = MIDDLE
-                    else:
-                        fresh = "\n" in gap
-                        follows = STOP if i == last and tail.stop else BARE if i == last and tail.marked else _follows(gap, i == last)
-                        if gap[:1] == "." and i < last and (h := key_of("d\t" + token)):
-                            counts[STOP if follows == STOP else MIDDLE][h] += 1
-                    by[follows][token] += 1
-                    w1 = of_kind.get(token)
-                    if w1 is None:
-                        w1 = ends_a_text(kind, token)
-                    if w1:
-                        into = counts[follows]
-                        for key in (f"b\t{kind}\t{_word(w2)}\t{w1}", f"s\t{kind}\t{_word(w3)}\t{w1}"):
-                            h = known.get(key)
-                            if h is None:
-                                h = key_of(key)
-                            if h:
-                                into[h] += 1
-                    at += len(token) + len(gap)
-                    w3, w2 = w2, token
-                ends[pairs[last][0]] += 1
-                if sum(map(len, counts)) > HELD:
-                    settle()
-                    yield from flush()
-            settle()
-        settle()
-        yield from flush()
+                follows = list(map(gaps.__getitem__, parts[2::2]))
+                last = STOP if tail.stop else BARE if tail.marked else _follows(parts[-1], True)
+                follows[-1] = last | LAST
+                kinds += _kinds_of_words(tail.body, parts, follows, entity_type)
+                words += map(vocabulary.__getitem__, parts[1::2])
+                codes += follows
+                sizes.append(len(follows))
+            if not words:
+                continue
+            word, code, kind = np.array(words), np.array(codes, dtype=np.uint8), np.array(kinds)
+            follows, is_last = (code & 3).astype(np.int64), code & LAST > 0
+            vocabulary.seen(word, word[is_last])
+            hashes, shapes, dots = vocabulary.arrays()
+            # What any word is followed by, by kind of line; most words end no text, and nothing more is asked of them.
+            pair, inverse = np.unique(kind * len(hashes) + word, return_inverse=True)
+            of_kind, of_word = pair // len(hashes), pair % len(hashes)
+            counts = np.bincount(inverse * 3 + follows, minlength=3 * len(pair)).reshape(-1, 3)
+            none = np.full(len(pair), _NOTHING, dtype=np.uint64)
+            by_word, by_shape = _keys(of_kind, none, none, hashes[of_word], shapes[of_word])[2:]
+            ends = asked(by_word)
+            held.add(by_word[ends], counts[ends])
+            held.add(by_shape[(some := asked(by_shape))], counts[some])
+            at = np.flatnonzero(ends[inverse])
+            begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            before = lambda k: np.where(at - k >= begins[at], hashes[word[np.maximum(at - k, 0)]], np.uint64(_NOTHING))
+            pairs, skips = _keys(kind[at], before(2), before(1), hashes[word[at]], shapes[word[at]])[:2]
+            for keys in (pairs, skips):
+                some = asked(keys)
+                held.add(keys[some], np.eye(3, dtype=np.int64)[follows[at[some]]])
+            at = np.flatnonzero((code & DOT > 0) & ~is_last)
+            at = at[asked(dots[word[at]])]
+            held.add(dots[word[at]], np.eye(3, dtype=np.int64)[np.where(follows[at] == STOP, STOP, MIDDLE)])
+            if len(vocabulary) > HELD:
+                vocabulary.settle(held, asked)
+            if held.size > HELD:
+                yield held.batch()
+        vocabulary.settle(held, asked)
+        yield held.batch()
 
     parts = documents.select("text", "source", "entity_type").mapInArrow(run, "key bigint, middle bigint, stop bigint, bare bigint")
     return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("middle", "stop", "bare")))
 
 
+#: Besides what follows, the code of a word tells whether its gap ends the line, begins with a dot, or ends the text.
+LINE_END, DOT, LAST = 4, 8, 16
+
+
+class _Gaps(dict):
+    """The codes of what stands between words."""
+
+    def __missing__(self, gap: str) -> int:
+        if len(self) > HELD:
+            self.clear()
+        self[gap] = code = MIDDLE if gap == " " else _follows(gap, False) | ("\n" in gap) * LINE_END | (gap[:1] == ".") * DOT
+        return code
+
+
+def _kinds_of_words(body: str, parts: list[str], codes: list[int], entity_type: str | None) -> list[int]:
+    """The kind of line of each word; parts are the words of body and the gaps around them."""
+    fenced, inside, line_start, out = "```" in body, False, 0, []
+    line, n = 0, len(codes)
+    firsts = [0, *(i + 1 for i, code in enumerate(codes) if code & LINE_END)]
+    at, done = len(parts[0]), 0
+    for first, following in zip(firsts, [*firsts[1:], n]):
+        if first >= n:
+            break
+        at += sum(map(len, parts[2 * done + 1 : 2 * first + 1]))
+        done, line = first, body.rfind("\n", 0, at) + 1
+        if fenced and body.count("```", line_start, line) % 2:
+            inside = not inside
+        line_start, stop = line, body.find("\n", line)
+        out += [KINDS.index(_line_kind(body[line : stop if stop >= 0 else len(body)], entity_type, inside))] * (following - first)
+    return out
+
+
+class _Vocabulary(dict):
+    """Numbers of words, with what keys are made of, and how often each was seen other than as a text's last word."""
+
+    def __init__(self):
+        self.hashes, self.shapes, self.dots, self.times = [], [], [], np.zeros(0, dtype=np.int64)
+
+    def __missing__(self, token: str) -> int:
+        self[token] = no = len(self.hashes)
+        word = _word(token)
+        self.hashes.append(_hash(word))
+        self.shapes.append(SHAPES.index(_shape(word)))
+        self.dots.append(_hash("d\t" + token))
+        return no
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.hashes, dtype=np.uint64), np.array(self.shapes), np.array(self.dots, dtype=np.uint64)
+
+    def seen(self, words: np.ndarray, last: np.ndarray) -> None:
+        times = np.bincount(words, minlength=len(self.hashes)) - np.bincount(last, minlength=len(self.hashes))
+        times[: len(self.times)] += self.times
+        self.times = times
+
+    def settle(self, tally: _Tally, asked: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Hands on the counts of the trie's nodes that are asked for, and forgets all words."""
+        keys, counts = [], []
+        for token, n in zip(self, self.times.tolist()):
+            if n:
+                nodes = _nodes(token)
+                keys += nodes
+                counts += [(n, 0, 0)] * (len(nodes) - 1) + [(0, n, 0)]
+            if len(keys) > HELD:
+                self._hand_on(tally, asked, keys, counts)
+        self._hand_on(tally, asked, keys, counts)
+        self.clear()
+        self.__init__()
+
+    @staticmethod
+    def _hand_on(tally: _Tally, asked: Callable[[np.ndarray], np.ndarray], keys: list, counts: list) -> None:
+        if keys:
+            found = np.array(keys, dtype=np.uint64)
+            some = asked(found)
+            tally.add(found[some], np.array(counts, dtype=np.int64)[some])
+        keys.clear()
+        counts.clear()
+
+
+class _Tally:
+    """Sums of counts by key."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        self.waiting += len(keys)
+        if self.waiting > HELD:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([k for k, _ in self.parts]) if self.parts else np.zeros(0, dtype=np.uint64)
+        counts = np.concatenate([c for _, c in self.parts]) if self.parts else np.zeros((0, 3), dtype=np.int64)
+        unique, inverse = np.unique(keys, return_inverse=True)
+        sums = np.stack([np.bincount(inverse, counts[:, j], minlength=len(unique)).astype(np.int64) for j in range(3)], axis=1)
+        self.parts, self.size, self.waiting = [(unique, sums)], len(unique), 0
+
+    def batch(self) -> pa.RecordBatch:
+        self._merge()
+        keys, counts = self.parts[0]
+        self.parts, self.size = [], 0
+        cols = [pa.array(keys.view(np.int64)), *(pa.array(np.ascontiguousarray(counts[:, j])) for j in range(3))]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "middle", "stop", "bare"])
+
+
 def length_piles(ends: DataFrame) -> DataFrame:
     """source, unit, length: lengths (characters or bytes of the text without closing lines, or characters with them) at
     which texts of a source pile up: six at least, and three more than eight times what lengths around it have on average."""

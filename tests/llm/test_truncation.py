@@ -42,3 +42,18 @@ def test_shares(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string, entity_type string")
     assert T.cut_off(df).count() == 0 and T.source_shares(df).count() == 0
+
+
+def test_no_word_is_too_long_to_be_known(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long_word = lambda n: "".join(letters[(i * i + 7 * i) % 26] for i in range(n))
+    rows = [(i, f"- the {w} was read\n" + "- it was read\n" * i + "- it is done\n") for i, w in enumerate([long_word(90), long_word(600)] * 60)]
+    ends = [(1000 + n, f"- it was read\n- the {long_word(size)[:n]}") for size, n in ((90, 50), (90, 70), (600, 64), (600, 500))]
+    df = spark.createDataFrame([(i, t, "en", "s", "note") for i, t in rows + ends], "doc_id bigint, text string, lang string, source string, entity_type string")
+    assert {r.doc_id for r in T.cut_off(df).collect()} == {n for n, _ in ends}
+
+
+def test_last_words_are_whole(spark):
+    assert T._Tail("a b " + "x" * 5000, (), None).w1 == "x" * 5000
+    assert T._Tail("one two " + "é" * 700 + " end", (), None).words == ["two", "é" * 700, "end"]
+    assert T._nodes("ab") == [T._hash("n\ta"), T._hash("n\tab")]
