@@ -135,12 +135,13 @@ def _follows(gap: str, at_end: bool) -> int:
 def closing_lines(documents: DataFrame) -> DataFrame:
     """source, closing: the last one or two lines that many texts of a source share; sources sign what they hand on. A closing has at most MOST_CLOSING characters, so the ends of texts suffice."""
     blank = F.lit(" \t\r\n\u000b\f\u00a0\u2003\u3000")
+    once = lambda c, then: F.element_at(F.transform(F.array(c), then), 1)
     # Blanks at the end are taken off a short end where that leaves enough, and off the whole text elsewhere.
     near = F.rtrim(F.right("text", F.lit(4 * MOST_CLOSING)), blank)
-    whole = (F.length(near) > 2 * MOST_CLOSING + 4) | (F.length("text") <= 4 * MOST_CLOSING)
-    end = F.right(F.when(whole, near).otherwise(F.rtrim("text", blank)), F.lit(2 * MOST_CLOSING + 4))
-    lines = F.split(F.regexp_replace(end, "\r\n", "\n"), "\n")
-    last = F.filter(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda k: F.array_join(F.slice(lines, -F.least(k, F.size(lines)), k), "\n")), lambda s: (s != "") & (F.length(s) <= MOST_CLOSING))
+    enough = lambda s: (F.length(s) > 2 * MOST_CLOSING + 4) | (F.length("text") <= 4 * MOST_CLOSING)
+    end = once(near, lambda s: F.right(F.when(enough(s), s).otherwise(F.rtrim("text", blank)), F.lit(2 * MOST_CLOSING + 4)))
+    lines = lambda s: F.array(F.substring_index(s, "\n", -1), F.substring_index(s, "\n", -2))
+    last = once(F.replace(end, F.lit("\r\n"), F.lit("\n")), lambda s: F.filter(lines(s), lambda x: (x != "") & (F.length(x) <= MOST_CLOSING)))
     rows = documents.where("text is not null and source is not null").select("source", F.array_distinct(last).alias("lasts"))
     totals = rows.groupBy("source").agg(F.count("*").alias("texts"))
     counts = rows.select("source", F.explode("lasts").alias("closing")).groupBy("source", "closing").agg(F.count("*").alias("k")).where(F.col("k") >= CLOSING_TEXTS)
