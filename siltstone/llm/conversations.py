@@ -34,10 +34,8 @@ PAGE_TURNS, OVERLAP_TURNS = 32, 2
 def role_class(role: Column) -> Column:
     """user, assistant, system or tool; null for a role that names nobody."""
     plain = F.regexp_replace(F.lower(F.regexp_replace(role, "(?U)^\\s+|\\s+$", "")), "[\\s.\\-]+", "_")
-    out = F.lit(None).cast("string")
-    for name, spelt in ROLE_SPELLINGS.items():
-        out = F.when(plain.isin(*spelt), name).otherwise(out)
-    return out
+    named = F.create_map(*(F.lit(x) for name, spelt in ROLE_SPELLINGS.items() for s in spelt for x in (s, name)))
+    return F.try_element_at(named, plain)
 
 
 def has_text(content: Column) -> Column:
@@ -46,23 +44,22 @@ def has_text(content: Column) -> Column:
 
 
 def unique_messages(messages: DataFrame) -> DataFrame:
-    """session_id, role, created_at, content_key, id, said: one row for each distinct message of a session, under its
-    smallest id; rows without session_id belong to no session. Contents are compared by their SHA-256 and length, so
-    that no text is shuffled."""
+    """session_id, role, who (the role's class), created_at, content_key, id, said: one row for each distinct message of a
+    session, under its smallest id; rows without session_id belong to no session. Contents are compared by their SHA-256,
+    so that no text is shuffled."""
     rows = messages.where(F.col("session_id").isNotNull()).select(
-        "session_id", "role", "created_at", "id",
+        "session_id", "role", role_class(F.col("role")).alias("who"), "created_at", "id",
         F.sha2("content", 256).alias("sha"), has_text(F.col("content")).alias("said"),
     )
     rows = rows.withColumn("content_key", F.unhex("sha")).drop("sha")
     # Rows are grouped by their own values; a hash before these makes the sort one of numbers.
     keys = ["session_id", "role", "created_at", "content_key"]
-    return rows.groupBy(F.xxhash64(*keys).alias("__h"), *keys).agg(F.min("id").alias("id"), F.max("said").alias("said")).drop("__h")
+    return rows.groupBy(F.xxhash64(*keys).alias("__h"), *keys, "who").agg(F.min("id").alias("id"), F.max("said").alias("said")).drop("__h")
 
 
 def turns(messages: DataFrame) -> DataFrame:
     """unique_messages with speaker (user or assistant; null for other rows) and flawed (no time, or a role that names nobody)."""
-    named = unique_messages(messages).withColumn("who", role_class(F.col("role")))
-    return named.select(
+    return unique_messages(messages).select(
         "session_id", "created_at", "id",
         F.when(F.col("who").isin("user", "assistant") & F.col("said"), F.col("who")).alias("speaker"),
         (F.col("created_at").isNull() | F.col("who").isNull()).alias("flawed"),
