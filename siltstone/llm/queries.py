@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import conversations, cooccurrence, near_duplicates, packing, personal_data, splitting, tokenizing, truncation
+from siltstone.plans.lineage import ensure_checkpoint_dir
 from siltstone.sources.tables import table
 
 MIN_COUNT, MIN_LIFT = 4, 3
@@ -60,21 +62,29 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.redacted(_texts(spark, sf_dir), table(spark, sf_dir, "name_roster"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baskets = cooccurrence.commit_baskets(table(spark, sf_dir, "git_activity"))
-    return _pairs(cooccurrence.associations(cooccurrence.update(cooccurrence.empty(spark, MIN_COUNT, MIN_LIFT), baskets)))
+def _history(spark: SparkSession, sf_dir: str, until: str) -> tuple[DataFrame, DataFrame]:
+    """The commits seen until a time, and all of every commit that got rows since, as a change."""
+    rows = table(spark, sf_dir, "git_activity")
+    early = F.coalesce(F.col("created_at") < F.lit(until).cast("timestamp"), F.lit(False))
+    late = cooccurrence.commit_baskets(rows.where(~early)).select("basket").distinct()
+    return cooccurrence.commit_baskets(rows.where(early)), cooccurrence.commit_baskets(rows).join(late, "basket", "left_semi")
 
 
-def p5_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p5_found, but in two steps: the commits seen by April, then every commit that got rows since, as a change."""
-    rows = table(spark, sf_dir, "git_activity")
-    old = cooccurrence.commit_baskets(rows.where("created_at < timestamp '2025-04-01'"))
-    late = cooccurrence.commit_baskets(rows.where("created_at >= timestamp '2025-04-01' or created_at is null")).select("basket").distinct()
-    changed = cooccurrence.commit_baskets(rows).join(late, "basket", "left_semi")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits up to December make the table, those since are merged into it."""
+    old, changed = _history(spark, sf_dir, "2025-12-01")
     state = cooccurrence.update(cooccurrence.empty(spark, MIN_COUNT, MIN_LIFT), old)
     return _pairs(cooccurrence.associations(cooccurrence.update(state, changed)))
 
 
+def p5_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p5_found, but the table of April is saved in the shared folder, and the update is one of the saved table."""
+    old, changed = _history(spark, sf_dir, "2025-04-01")
+    folder = f"{ensure_checkpoint_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    cooccurrence.save(cooccurrence.update(cooccurrence.empty(spark, MIN_COUNT, MIN_LIFT), old), folder)
+    return _pairs(cooccurrence.associations(cooccurrence.update_saved(spark, folder, changed)))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.token_ids(table(spark, sf_dir, "documents"))
 

@@ -250,7 +250,7 @@ def corpus_counts(documents: DataFrame, wanted, bits: int, closings) -> DataFram
 
         def asked(keys: np.ndarray) -> np.ndarray:
             place = keys >> np.uint64(64 - bits)
-            return (table[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+            return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
             words, codes, kinds, sizes = [], [], [], []

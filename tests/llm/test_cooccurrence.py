@@ -39,8 +39,24 @@ def test_updates_give_what_a_new_count_gives(spark, tmp_path):
     changed = [r for r in rows if r[0] not in ("b1", "b2", "b3")] + [("b2", "i1"), ("b2", "i29"), ("b3", "i3"), ("b3", "i4")]
     state = O.update(state, spark.createDataFrame([("b1", None), ("b2", "i1"), ("b2", "i29"), ("b3", "i3"), ("b3", "i4")], "basket string, item string"))
     assert rows_of(state) == brute(changed, 3, 1.5)
-    state.save(str(tmp_path / "s"))
-    assert rows_of(O.load(spark, str(tmp_path / "s"), 3, 1.5)) == brute(changed, 3, 1.5)
+    folder = str(tmp_path / "s")
+    O.save(state, folder)
+    assert rows_of(O.load(spark, folder)) == brute(changed, 3, 1.5)
+    for basket, items in (("b7", []), ("b8", ["i1", "i2"]), ("new", ["i1", "i2", "i3"]), ("big", ["i1"])):
+        changed = [r for r in changed if r[0] != basket] + [(basket, i) for i in items]
+        state = O.update_saved(spark, folder, spark.createDataFrame([(basket, i) for i in items or [None]], "basket string, item string"))
+        assert rows_of(state) == brute(changed, 3, 1.5)
+        assert state.n_baskets == len({b for b, i in changed if b is not None and i is not None})
+    before = rows_of(state)
+    assert rows_of(O.update_saved(spark, folder, spark.createDataFrame([], "basket string, item string"))) == before
+
+
+def test_a_small_change_writes_few_buckets(spark, tmp_path):
+    rows = [(f"b{i}", f"i{i % 50}-{j}") for i in range(400) for j in range(4)]
+    state = O.update(O.empty(spark, 2, 1.0), spark.createDataFrame(rows, "basket string, item string"))
+    after = O.update(state, spark.createDataFrame([("b1", "i1-0"), ("b1", "i1-1")], "basket string, item string"))
+    assert len(after.changed["baskets"]) == 1 and len(after.changed["items"]) <= 2 and len(after.changed["pairs"]) <= 5
+    assert rows_of(after) == brute([r for r in rows if r[0] != "b1" or r[1] in ("i1-0", "i1-1")], 2, 1.0)
 
 
 @pytest.mark.parametrize("block", [1, 4, 128])
