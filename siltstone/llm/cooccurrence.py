@@ -27,7 +27,12 @@ BUCKETS = 32
 def plain_path(path: Column) -> Column:
     """A path with forward slashes and nothing superfluous: no outer white space, empty, '.' or resolvable '..' parts.
     Null for null, blank and empty paths."""
-    slashed = F.regexp_replace(F.regexp_replace(path, "(?U)^\\s+|\\s+$", ""), "\\\\", "/")
+    slashed = F.replace(F.regexp_replace(path, "(?U)^\\s+|\\s+$", ""), F.lit("\\"), F.lit("/"))
+    # An array of one lets its element be computed once, however often it is used.
+    return F.element_at(F.transform(F.array(slashed), _without_superfluous), 1)
+
+
+def _without_superfluous(slashed: Column) -> Column:
     parts = F.filter(F.split(slashed, "/"), lambda p: (p != "") & (p != "."))
     climbs = lambda acc, p: (p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
     walked = F.aggregate(
