@@ -43,7 +43,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.pieces(table(spark, sf_dir, "learning_queue"), "transcript", ["id"]).dropDuplicates(["id", "piece_no"])
+    return splitting.pieces(table(spark, sf_dir, "learning_queue"), "transcript", ["id"])
+
+
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transcript put together again from its pieces, by its digest, and whether they fit and overlap."""
+    out = splitting.rebuilt(p3_pieces(spark, sf_dir), ["id"])
+    return out.select("id", "n_chars", "fits", "overlaps", F.md5("text").alias("md5"))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -103,5 +109,5 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_redacted, p5_found, p5_update, p6_ids, p7_containers, p8_found, p8_sources)
+    f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_classes, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_redacted, p5_found, p5_update, p6_ids, p7_containers, p8_found, p8_sources)
 }

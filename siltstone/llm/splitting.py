@@ -119,8 +119,12 @@ def piece_counts(items: DataFrame, text: str, keys: list[str], limit: int = LIMI
 
 
 def pieces(items: DataFrame, text: str, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """keys, piece_no (from 0), first (where the piece starts in the text, in code points), piece. Texts within the limit
-    are one piece; null texts have none. A text of any length is cut by itself, in time n log n."""
+    """keys, text_key (a hash of the text, since rows of equal keys may carry different texts), piece_no (from 0), first (where
+    the piece starts in the text, in code points), piece. Texts within the limit are one piece; null texts have none. Rows of
+    equal keys and texts give their pieces once, null keys are keys like others. A text of any length is cut by itself, in
+    time n log n."""
+    keys = [*keys, "text_key"]
+    items = items.withColumn("text_key", F.xxhash64(text))
     schema = T.StructType([*items.select(*keys).schema, T.StructField("piece_no", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("piece", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,22 @@ def pieces(items: DataFrame, text: str, keys: list[str], limit: int = LIMIT, ove
                 cols += [pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return items.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+    cut_up = items.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return cut_up.dropDuplicates([*keys, "piece_no"])
+
+
+def rebuilt(cut_up: DataFrame, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """keys, n_chars, fits, overlaps, text of each text that pieces() cut up: its pieces put together without what they
+    repeat; fits tells that none is over the limit and that they aren't fewer than possible, overlaps that each later one
+    starts with the last `overlap` characters of the one before. Pieces of one text meet in one row."""
+    held = cut_up.groupBy(*keys, "text_key").agg(F.array_sort(F.collect_list(F.struct("piece_no", "first", "piece"))).alias("p"))
+    own = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], overlap + 1, limit)))
+    whole = held.select(*keys, "p", F.array_join(own, "").alias("text"))
+    n = F.char_length("text").cast("bigint")
+    after = F.slice("p", F.lit(2), F.size("p"))
+    joined = F.forall(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), after, lambda a, b: F.right(a["piece"], F.lit(overlap)) == F.left(b["piece"], F.lit(overlap))), lambda ok: ok)
+    fits = F.forall("p", lambda x: F.char_length(x["piece"]) <= limit) & (F.size("p") >= fewest_pieces(n, limit, overlap))
+    return whole.select(*keys, n.alias("n_chars"), fits.alias("fits"), joined.alias("overlaps"), "text")
 
 
 def fewest_pieces(n_chars: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
@@ -143,13 +162,16 @@ def fewest_pieces(n_chars: Column, limit: int = LIMIT, overlap: int = OVERLAP) -
 
 
 def oversized_and_miscounted(queue: DataFrame, runs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """record_type, record_id: `queue` items that had to be cut, and `run` records that claim fewer pieces than the
-    transcript of their session's completed item can have. Runs without session or count and sessions without a completed
-    transcript are not judged; repeated rows count once."""
+    """record_type, record_id: `queue` items that were cut into several pieces, and `run` records that claim fewer than the
+    transcript of their session's completed item can have. What the heap cuts at natural boundaries may be more than the
+    fewest pieces possible, never less: a run is suspected if it claims fewer than these pieces, and an exact check by length
+    follows. Runs without session or count and sessions without a completed transcript are not judged; repeated rows count
+    once."""
     counts = piece_counts(queue, "transcript", ["id", "session_id", "status"], limit, overlap).where((F.col("n_pieces") > 1) | (F.lower(F.trim("status")) == "completed"))
     sizes = cut(counts.groupBy("id", "session_id").agg(F.max("n_chars").alias("n_chars"), F.max("n_pieces").alias("n_pieces"), F.max(F.lower(F.trim("status")) == "completed").alias("done")))
     large = sizes.where("n_pieces > 1").select(F.lit("queue").alias("record_type"), F.col("id").alias("record_id")).distinct()
-    done = sizes.where("done").groupBy("session_id").agg(F.max("n_chars").alias("n_chars"))
+    done = sizes.where("done").groupBy("session_id").agg(F.max("n_chars").alias("n_chars"), F.max("n_pieces").alias("n_pieces"))
     judged = runs.select("id", "session_id", "chunks_processed").where("chunks_processed is not null").join(done, "session_id")
-    low = judged.where(F.col("chunks_processed") < fewest_pieces(F.col("n_chars"), limit, overlap)).select(F.lit("run").alias("record_type"), F.col("id").alias("record_id")).distinct()
+    suspected = judged.where(F.col("chunks_processed") < F.col("n_pieces"))
+    low = suspected.where(F.col("chunks_processed") < fewest_pieces(F.col("n_chars"), limit, overlap)).select(F.lit("run").alias("record_type"), F.col("id").alias("record_id")).distinct()
     return large.unionByName(low)

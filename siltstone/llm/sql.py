@@ -62,6 +62,7 @@ SQL = {
     "p1_turns": _P1 + "SELECT session_id, turn_no, who AS speaker, id FROM turns JOIN verdicts USING (session_id) WHERE kept",
     "p2_found": _P2,
     "p3_found": _P3,
+    "p3_rebuilt": "SELECT DISTINCT id, length(transcript) AS n_chars, true AS fits, true AS overlaps, md5(transcript) AS md5 FROM learning_queue WHERE transcript IS NOT NULL",
     "p5_found": _P5,
     "p5_update": _P5,
 }

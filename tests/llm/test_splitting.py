@@ -50,3 +50,18 @@ def test_runs_are_judged(spark):
     got = sorted(tuple(x) for x in S.oversized_and_miscounted(q, r).collect())
     assert got == [("queue", "q1"), ("queue", "q2"), ("run", "r1"), ("run", "r6")]
     assert S.oversized_and_miscounted(q.limit(0), r.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_are_kept_apart(spark):
+    rows = [("a", "x" * 5000), ("a", "y" * 5000), ("a", "x" * 5000), (None, "z" * 4100), (None, "w" * 10), (None, "w" * 10)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    cut_up = S.pieces(df, "t", ["id"])
+    got = sorted((r.id or "", r.text[0], r.n_chars, r.fits, r.overlaps) for r in S.rebuilt(cut_up, ["id"]).collect())
+    assert got == [("", "w", 10, True, True), ("", "z", 4100, True, True), ("a", "x", 5000, True, True), ("a", "y", 5000, True, True)]
+
+
+def test_runs_are_suspected_by_the_pieces_of_the_heap(spark, monkeypatch):
+    q = spark.createDataFrame([("q", "s", "completed", "y" * 8000)], "id string, session_id string, status string, transcript string")
+    r = spark.createDataFrame([("r", "s", 2)], "id string, session_id string, chunks_processed int")
+    monkeypatch.setattr(S, "piece_counts", lambda items, text, keys, *a: items.select(*keys, F.lit(8000).cast("bigint").alias("n_chars"), F.lit(2).cast("bigint").alias("n_pieces")))
+    assert S.oversized_and_miscounted(q, r).where("record_type = 'run'").count() == 0
