@@ -3,7 +3,8 @@
 One pass over the texts lists candidate spans: strings of the shape of an address, number or name, with the words around
 them. Candidates that their own form or a cue gives away, and names made of known parts, are seeds. Seeds make the lexical
 patterns around them credible, credible patterns and known partners make new instances credible, and so on: Spark scores the
-graph of patterns and instances in rounds. Candidates that are credible in the end are the findings.
+graph of patterns and instances in rounds, until a round finds nothing new. Candidates that are credible in the end are the
+findings. Of each type there are strict forms, which are seeds, and loose ones, which only patterns can make credible.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from siltstone.plans.lineage import cut
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
-#: Rounds of scoring. A new name part needs one of these shares of its occurrences beside known parts, of so many different
-#: ones: machines and branches are called after people, so a small share will do with more partners. A pattern needs this
-#: share of accepted instances, and so many different ones.
-ROUNDS = 3
+#: A new name part needs one of these shares of its occurrences beside known parts, of so many different ones: machines and
+#: branches are called after people, so a small share will do with more partners. A pattern needs this share of accepted
+#: instances, and so many different ones.
 PART_SHARE, PART_PARTNERS = 0.3, 2
 LOW_PART_SHARE, LOW_PART_PARTNERS = 0.08, 3
 PATTERN_SHARE, PATTERN_INSTANCES = 0.6, 4
@@ -42,6 +42,8 @@ _EMAIL = re.compile(rf"(?<![\w.+\-@]){_LOCAL}\s?(?:@|%40|＠|&#64;|\\u0040)\s?{_
 _AT = r"(?:\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|_at_)"
 _DOT = r"(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\s+dot\s+|_dot_|\.)"
 _SPELT = re.compile(rf"(?<![\w.+\-@]){_LOCAL}{_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}{_L}{{2,}}(?![\w@])", re.I)
+#: A loose form of an address, as in "jane at example . com", which is told from prose by what stands around it.
+_LOOSE_EMAIL = re.compile(rf"(?<![\w.+\-@]){_LOCAL}\s+(?:at|AT|@)\s+{_HOST}(?:\s?\.\s?{_HOST})*\s?\.\s?{_L}{{2,}}(?![\w@])")
 _REMOTE_USERS = {"git", "hg", "svn", "ssh", "root", "npm"}
 
 # What a number issued by an authority is called.
@@ -77,6 +79,10 @@ _ADDRESSES = [
     re.compile(rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrer|CALLE|AVENIDA|calle|Via|Viale|Rua)\s+(?:(?:de|del|de\sla)\s+)?{_NAME_WORD}(?:\s{_NAME_WORD})?,?\s+(?:n[º°o]?\.?\s*)?\d{{1,4}}", re.I),
     re.compile(rf"(?<!\w){_L}+(?:\s{_L}+)?\s+(?:Sokak|Sokağı|Sok\.|Sk\.|Caddesi|Cad\.|Cd\.|Bulvarı|SOKAK|CADDESİ|CADDESI|sokak|caddesi)\s*,?\s*(?:No\s?[:.]?\s*|NO\s?[:.]?\s*|no\s?[:.]?\s*)?\d{{1,4}}"),
 ]
+#: A loose form: a number and capitalised words, of a street of whatever kind.
+_LOOSE_ADDRESS = re.compile(rf"(?<![\w.\-/#:+=]){chr(92)}d{{1,4}}[a-z]?,?[ ](?:{_NAME_WORD}[ ])?{_NAME_WORD}(?![\w(=:/])")
+_DIGIT = re.compile(r"\d")
+
 # What a match of the patterns above holds; expressions as written, strings in lower case.
 _STREET_SIGN, _RUE_SIGN = re.compile(rf"\s(?:{_STREETS})\b"), re.compile(rf"\s(?:{_RUES})\s")
 _OTHER_SIGNS = (
@@ -91,7 +97,7 @@ _CAPITALS = re.compile(rf"(?<![\w.@\-])(?:[A-ZÀ-ÝÇĞİŞ]{_L}{{2,}}(?:,? |\s[
 _TOKENS = re.compile(r"\w+|[^\w\s]")
 
 SPAN_SCHEMA = T.StructType(
-    [T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("pii_type", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    [T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("text_key", T.LongType()), T.StructField("pii_type", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]
     + [T.StructField("sure", T.BooleanType()), T.StructField("instance", T.StringType()), T.StructField("given", T.StringType()), T.StructField("family", T.StringType()), T.StructField("caps", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))]
     + [T.StructField("word", T.StringType()), T.StructField("count", T.LongType())]
 )
@@ -139,8 +145,20 @@ def spans_of(text: str, parts: dict[str, str], words: list[str] | None = None) -
     if "dot" in low or "at]" in low or "at)" in low or "_at_" in low or "at}" in low or "at>" in low:
         for m in _SPELT.finditer(text):
             spelt = re.search(r"[\[({<_]\s?at\s?[\])}>_]|dot", m.group(), re.I)
-            if spelt and not _overlaps(out, m.start(), m.end()):
-                out.append(("email", m.start(), m.end(), True, m.group().lower(), None, None))
+            if not _overlaps(out, m.start(), m.end()):
+                out.append(("email", m.start(), m.end(), bool(spelt), m.group().lower(), None, None))
+    if " at " in low or " @ " in low:
+        for m in _LOOSE_EMAIL.finditer(text):
+            if not _overlaps(out, m.start(), m.end()):
+                out.append(("email", m.start(), m.end(), False, m.group().lower(), None, None))
+    if _DIGIT.search(text):
+        _numbered(text, low, out)
+    _names(text, _WORDS.findall(low) if words is None else words, parts, out)
+    return out
+
+
+def _numbered(text: str, low: str, out: list[tuple]) -> None:
+    """Adds the candidates that hold a digit."""
     for pattern in _streets(text, low):
         for m in pattern.finditer(text):
             if not _overlaps(out, m.start(), m.end()) and text[max(0, m.start() - 1) : m.start()] not in ("`", "/"):
@@ -176,8 +194,10 @@ def spans_of(text: str, parts: dict[str, str], words: list[str] | None = None) -
             out.append(("id_number", first, end, False, span, None, None))
             if shape[0] in "+(0":
                 out.append(("phone", first, end, False, span, None, None))
-    _names(text, _WORDS.findall(low) if words is None else words, parts, out)
-    return out
+    for m in _LOOSE_ADDRESS.finditer(text):
+        led = text[max(0, m.start() - 40) : m.start()].rsplit("\n", 1)[-1]
+        if _WORDS.search(led) and not _overlaps(out, m.start(), m.end()):
+            out.append(("address", m.start(), m.end(), False, m.group().lower(), None, None))
 
 
 def _names(text: str, words: list[str], parts: dict[str, str], out: list[tuple]) -> None:
@@ -185,7 +205,7 @@ def _names(text: str, words: list[str], parts: dict[str, str], out: list[tuple])
     seen: set[tuple[int, int]] = set()
 
     def add(a: int, b: int, x: str, y: str, sure: bool, reverse: bool = False) -> None:
-        if (a, b) not in seen and not _overlaps([s for s in out if s[0] in ("email", "address")], a, b):
+        if (a, b) not in seen and not _overlaps([s for s in out if s[0] in ("email", "address") and s[3]], a, b):
             seen.add((a, b))
             given, family = (y, x) if reverse else (x, y)
             out.append(("name", a, b, sure, f"{x} {y}", given, family))
@@ -232,7 +252,7 @@ def _names(text: str, words: list[str], parts: dict[str, str], out: list[tuple])
 
 
 def candidates(texts: DataFrame, roster: DataFrame) -> DataFrame:
-    """texts: record_type, record_id, text. Rows with a pii_type are candidate spans with their patterns; rows with a word
+    """texts: record_type, record_id, text. Rows of one id may carry different texts, told apart by text_key. Rows with a pii_type are candidate spans with their patterns; rows with a word
     tell how often a task saw it, beside candidates or not. The roster is read on the driver: a fixed table of some hundred
     parts by its definition; a part listed as both kinds is of either."""
     parts: dict[str, str] = {}
@@ -241,7 +261,7 @@ def candidates(texts: DataFrame, roster: DataFrame) -> DataFrame:
             p = part.strip().lower()
             parts[p] = kind if parts.get(p, kind) == kind else "both"
     shared = texts.sparkSession.sparkContext.broadcast(parts)
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.int64()]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.int64()]
     names = SPAN_SCHEMA.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,78 +273,98 @@ def candidates(texts: DataFrame, roster: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for kind, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, key, text_key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text:
                     continue
                 own = _WORDS.findall(text.lower())
                 words.update(own)
                 for pii, first, end, sure, instance, given, family in spans_of(text, shared.value, own):
                     caps = given is not None and text[first].isupper() and instance.rsplit(" ", 1)[-1][:1] != text[end - len(instance.rsplit(" ", 1)[-1]) : end][:1]
-                    if pii == "email":
+                    if pii == "email" and sure:
                         words.subtract(_WORDS.findall(instance))
-                    rows.append((kind, key, pii, first, end, sure, instance, given, family, caps, _around(text, first, end), None, None))
+                    rows.append((kind, key, text_key, pii, first, end, sure, instance, given, family, caps, _around(text, first, end), None, None))
             if rows:
                 yield batch_of(rows)
             if len(words) > 500_000:
-                yield batch_of([(None,) * 11 + (w, n) for w, n in words.items()])
+                yield batch_of([(None,) * 12 + (w, n) for w, n in words.items()])
                 words.clear()
-        yield batch_of([(None,) * 11 + (w, n) for w, n in words.items()])
+        yield batch_of([(None,) * 12 + (w, n) for w, n in words.items()])
 
-    return texts.select("record_type", "record_id", "text").mapInArrow(run, SPAN_SCHEMA)
+    return texts.select("record_type", "record_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SPAN_SCHEMA)
 
 
 def _name_parts(names: DataFrame, words: DataFrame, roster: DataFrame) -> DataFrame:
-    """part, kind: the known parts and those found beside them. A word is taken for a part if much of all its use in the
-    texts is beside known parts of the other kind, and of several different ones."""
+    """part, kind: the known parts and those found beside them, until a round finds no more. A word is taken for a part if much
+    of all its use in the texts is beside known parts of the other kind, and of several different ones."""
     known = roster.select(F.lower(F.trim("name_part")).alias("part"), F.col("part_kind").alias("kind")).where(F.length("part") > 1).distinct()
-    pairs = names.groupBy("given", "family").agg(F.count("*").alias("n"), F.sum(F.col("caps").cast("int")).alias("caps"))
-    pairs = cut(pairs)
-    for _ in range(ROUNDS):
-        found = []
+    pairs = cut(names.groupBy("given", "family").agg(F.count("*").alias("n"), F.sum(F.col("caps").cast("int")).alias("caps")))
+    initials = cut(pairs.select("given").where(F.length("given") == 1).distinct())
+    had = -1
+    while True:
+        known = cut(known)
+        have = known.count()
+        if have == had:
+            return known
+        had, found = have, known
         for kind, other in (("given", "family"), ("family", "given")):
-            partner = known.where(F.col("kind") == other).select(F.col("part").alias(other)).unionByName(
-                pairs.select(other).where(F.length(other) == 1).distinct() if kind == "family" else known.select(F.col("part").alias(other)).limit(0)
-            )
+            partner = known.where(F.col("kind") == other).select(F.col("part").alias(other))
+            partner = partner.unionByName(initials) if kind == "family" else partner
             near = pairs.join(partner, other).where(F.length(kind) > 2).groupBy(F.col(kind).alias("part")).agg(F.sum("n").alias("near"), F.sum("caps").alias("caps"), F.count("*").alias("partners"))
             reach = lambda share, partners: (F.col("partners") >= partners) & (F.col("near") >= share * F.col("count"))
             enough = reach(PART_SHARE, PART_PARTNERS) | reach(LOW_PART_SHARE, LOW_PART_PARTNERS)
             scored = near.join(words.withColumnRenamed("word", "part"), "part").where(enough & (2 * F.col("caps") >= F.col("near")))
-            found.append(scored.select("part", F.lit(kind).alias("kind")))
-        known = cut(known.unionByName(found[0]).unionByName(found[1]).distinct())
-    return known
+            found = found.unionByName(scored.select("part", F.lit(kind).alias("kind")))
+        known = found.distinct()
+
+
+#: What a span is known by. A null id can't be joined on, so it goes by a name that no id has.
+_SPAN = ["record_type", "record_id", "text_key", "pii_type", "first", "end"]
+_NO_ID = "\x00"
 
 
 def findings(texts: DataFrame, roster: DataFrame) -> DataFrame:
-    """record_type, record_id, pii_type, first, end: where (code points, end excluded) personal information is. Texts are
-    read whole; null and empty texts have none; repeated rows of a record give its spans once."""
+    """record_type, record_id, text_key, pii_type, first, end, sure, instance: where (code points, end excluded) personal
+    information is. Texts are read whole; null and empty texts have none; repeated rows of a record and text give its spans
+    once, rows of one id with different texts keep theirs apart, and rows without an id are records like others."""
     listed = cut(candidates(texts, roster))
-    spans = cut(listed.where("pii_type is not null").drop("word", "count").dropDuplicates(["record_type", "record_id", "pii_type", "first", "end"]))
-    names = spans.where("pii_type = 'name'")
-    beside = names.select(F.explode(F.array("given", "family")).alias("word")).distinct()
-    words = cut(listed.where("word is not null").groupBy("word").agg(F.sum("count").alias("count")).join(beside, "word"))
-    parts = _name_parts(names, words, roster)
-    is_given = parts.where("kind = 'given'").select(F.col("part").alias("given"), F.lit(True).alias("g"))
-    is_family = parts.where("kind = 'family'").select(F.col("part").alias("family"), F.lit(True).alias("f"))
-    flags = names.join(is_given, "given", "left").join(is_family, "family", "left")
-    good = flags.where("sure or (f and (g or length(given) = 1))").select("record_type", "record_id", "pii_type", "first", "end", F.lit(True).alias("good"))
-    state = spans.join(good, ["record_type", "record_id", "pii_type", "first", "end"], "left")
-    state = state.withColumn("ok", F.col("good").isNotNull() | (F.col("sure") & (F.col("pii_type") != "name"))).drop("good")
+    spans = listed.where("pii_type is not null").drop("word", "count").withColumn("record_id", F.coalesce("record_id", F.lit(_NO_ID)))
+    spans = cut(spans.dropDuplicates(_SPAN))
+    names, others = spans.where("pii_type = 'name'"), spans.where("pii_type <> 'name'")
+    used = cut(names.select(F.explode(F.array("given", "family")).alias("word")).groupBy("word").agg(F.count("*").alias("k")))
+    words = cut(listed.where("word is not null").groupBy("word").agg(F.sum("count").alias("count")).join(used, "word"))
+    parts = _name_parts(names, words.drop("k"), roster)
     # Words that are common outside of names can't be parts of one, whatever stands around them.
-    common = words.join(names.select(F.explode(F.array("given", "family")).alias("word")).groupBy("word").agg(F.count("*").alias("k")), "word").where(F.col("k") < LOW_PART_SHARE * F.col("count")).select("word")
-    plain = names.join(common.withColumnRenamed("word", "given"), "given", "left_semi").select("record_type", "record_id", "pii_type", "first", "end")
-    plain = plain.unionByName(names.join(common.withColumnRenamed("word", "family"), "family", "left_semi").select("record_type", "record_id", "pii_type", "first", "end")).distinct()
-    state = cut(state.join(plain.withColumn("plain", F.lit(True)), ["record_type", "record_id", "pii_type", "first", "end"], "left").withColumn("plain", F.coalesce("plain", F.lit(False))))
-    for _ in range(ROUNDS - 1):
-        edges = state.select("pii_type", "instance", "ok", F.explode("patterns").alias("pattern"))
-        by_instance = edges.groupBy("pii_type", "pattern", "instance").agg(F.max(F.col("ok").cast("int")).alias("ok"))
-        scores = by_instance.groupBy("pii_type", "pattern").agg(F.sum("ok").alias("good"), F.count("*").alias("n"))
+    common = words.where(F.col("k") < LOW_PART_SHARE * F.col("count"))
+    flags = names
+    for side in ("given", "family"):
+        known = parts.where(F.col("kind") == side).select(F.col("part").alias(side), F.lit(True).alias(f"{side}_known"))
+        plain = common.select(F.col("word").alias(side), F.lit(True).alias(f"{side}_plain"))
+        flags = flags.join(known, side, "left").join(plain, side, "left")
+    made = F.col("sure") | (F.col("family_known").isNotNull() & (F.col("given_known").isNotNull() | (F.length("given") == 1)))
+    out = [*spans.columns, "ok", "plain"]
+    flags = flags.withColumns({"ok": F.coalesce(made, F.lit(False)), "plain": F.col("given_plain").isNotNull() | F.col("family_plain").isNotNull()}).select(*out)
+    state = cut(flags.unionByName(others.withColumns({"ok": F.col("sure"), "plain": F.lit(False)}).select(*out)))
+    edge = ["pii_type", "pattern", "instance"]
+    edges = state.select("ok", "pii_type", "instance", F.explode("patterns").alias("pattern")).groupBy(*edge).agg(F.max(F.col("ok").cast("int")).alias("ok"))
+    edges, waiting = cut(edges), state.where("not ok and not plain")
+    accepted = [state.where("ok")]
+    while True:
+        scores = edges.groupBy("pii_type", "pattern").agg(F.sum("ok").alias("good"), F.count("*").alias("n"))
         fits = (F.col("good") >= PATTERN_INSTANCES) & (F.col("good") >= PATTERN_SHARE * F.col("n"))
         strong = (F.col("good") >= STRONG_INSTANCES) & (F.col("good") >= STRONG_SHARE * F.col("n")) & ~F.col("pattern").rlike("\\^ \\^|\\$ \\$|^m")
         credible = scores.where(fits | strong).select("pii_type", "pattern", F.when(strong, 2).otherwise(1).alias("weight"))
-        open_ = state.where("not ok and not plain").select("record_type", "record_id", "pii_type", "first", "end", F.explode("patterns").alias("pattern"))
-        votes = open_.join(credible, ["pii_type", "pattern"]).groupBy("record_type", "record_id", "pii_type", "first", "end").agg(F.sum("weight").alias("votes")).where("votes >= 2")
-        state = cut(state.join(votes, ["record_type", "record_id", "pii_type", "first", "end"], "left").withColumn("ok", F.col("ok") | F.col("votes").isNotNull()).drop("votes"))
-    return state.where("ok").select("record_type", "record_id", "pii_type", "first", "end", "sure", "instance")
+        votes = waiting.select(*_SPAN, F.explode("patterns").alias("pattern")).join(credible, ["pii_type", "pattern"]).groupBy(*_SPAN).agg(F.sum("weight").alias("votes")).where("votes >= 2")
+        found = cut(waiting.join(votes.drop("votes"), _SPAN, "left_semi"))
+        if found.isEmpty():
+            break
+        accepted.append(found)
+        waiting = cut(waiting.join(found.select(*_SPAN), _SPAN, "left_anti"))
+        more = found.select(F.lit(1).alias("ok"), "pii_type", "instance", F.explode("patterns").alias("pattern")).select(*edge, "ok")
+        edges = cut(edges.unionByName(more).groupBy(*edge).agg(F.max("ok").alias("ok")))
+    every = accepted[0]
+    for each in accepted[1:]:
+        every = every.unionByName(each)
+    return every.select("record_type", F.nullif("record_id", F.lit(_NO_ID)).alias("record_id"), "text_key", "pii_type", "first", "end", "sure", "instance")
 
 
 def record_texts(learning_queue: DataFrame, session_messages: DataFrame) -> DataFrame:
@@ -354,15 +394,20 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redacted(texts: DataFrame, roster: DataFrame) -> DataFrame:
-    """record_type, record_id, text of every distinct record, personal information replaced and all else unchanged. Only
-    texts with findings are shuffled by it."""
+    """record_type, record_id, text_key, text of every distinct record and text, personal information replaced and all else
+    unchanged. Rows of one id with different texts are different records, and so are rows without an id. Texts
+    are shuffled once, to drop repeated rows; those without findings pass no Python."""
     found = cut(findings(texts, roster))
-    spans = found.groupBy("record_type", "record_id").agg(F.collect_list(F.struct("first", "end", "pii_type")).alias("spans"))
-    keys = found.select(F.xxhash64("record_type", "record_id").alias("key")).distinct()
+    key = ["record_type", "record_id", "text_key"]
+    named = F.xxhash64("record_type", F.coalesce("record_id", F.lit(_NO_ID)), "text_key")
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
     bits = bits_for(found.count())
-    marked = texts.withColumn("hit", may_be_in(texts.sparkSession, bit_table(keys, bits), bits, F.xxhash64("record_type", "record_id")))
+    hit = may_be_in(texts.sparkSession, bit_table(found.select(named.alias("key")).distinct(), bits), bits, named)
+    spans = found.groupBy("record_type", F.coalesce("record_id", F.lit(_NO_ID)).alias("record_id"), "text_key").agg(F.collect_list(F.struct("first", "end", "pii_type")).alias("spans"))
     replace = F.pandas_udf(lambda t, s: t.combine(s, lambda a, b: redact(a, [(x["first"], x["end"], x["pii_type"]) for x in b])), "string")
-    hit = marked.where("hit").dropDuplicates(["record_type", "record_id"]).join(spans, ["record_type", "record_id"], "left")
-    changed = hit.where("spans is not null and text is not null").select("record_type", "record_id", replace("text", "spans").alias("text"))
-    same = hit.where("spans is null or text is null").select("record_type", "record_id", "text")
-    return marked.where("not hit").select("record_type", "record_id", "text").dropDuplicates(["record_type", "record_id"]).unionByName(same).unionByName(changed)
+    marked = keyed.select(*key, "text", hit.alias("hit")).withColumn("record_id", F.coalesce("record_id", F.lit(_NO_ID)))
+    one = marked.where("hit").dropDuplicates(key).join(spans, key, "left")
+    changed = one.where("spans is not null and text is not null").select(*key, replace("text", "spans").alias("text"))
+    same = one.where("spans is null or text is null").select(*key, "text")
+    rest = marked.where("not hit").select(*key, "text").dropDuplicates(key)
+    return rest.unionByName(same).unionByName(changed).withColumn("record_id", F.nullif("record_id", F.lit(_NO_ID)))

@@ -82,3 +82,29 @@ def test_signs_pass_all_that_the_street_patterns_match(gap):
 @pytest.mark.parametrize("text", ["12 place Bellecour", "8 route Napoléon", "45 ELM ST", "(45 ELM ST)", "45 Elm\nAvenue"])
 def test_addresses_with_no_other_sign(text):
     assert [s[0] for s in P.spans_of(text, {})] == ["address"]
+
+
+def texts_of(spark, rows):
+    return spark.createDataFrame(rows, "record_type string, record_id string, text string")
+
+
+def test_patterns_find_loose_emails_and_addresses(spark):
+    roster = spark.createDataFrame([("Kalola", "given")], "name_part string, part_kind string")
+    seeds = [f"You can reach me via u{c}@mail.example for the rest." for c in "abcdefghij"] + [f"The parcel was shipped to {n} Elm Street by courier." for n in range(10, 22)]
+    loose = ["You can reach me via jane at host . example for the rest.", "The parcel was shipped to 17 Rosewood Mews by courier."]
+    # The same forms in places that no seed speaks for.
+    prose = ["They met at config . yaml and left it.", "We counted 17 Blue Workers in the pool."]
+    rows = [("message", f"m{i}", t) for i, t in enumerate(seeds + loose + prose)]
+    got = {(r.record_id, r.pii_type) for r in P.found_types(texts_of(spark, rows), roster).collect()}
+    n = len(seeds)
+    assert got == {(f"m{i}", "email") for i in range(10)} | {(f"m{i}", "address") for i in range(10, n)} | {(f"m{n}", "email"), (f"m{n + 1}", "address")}
+    alone = {r.record_id for r in P.found_types(texts_of(spark, rows[n:]), roster).collect()}
+    assert alone == set()
+
+
+def test_texts_of_one_id_are_redacted_apart(spark):
+    roster = spark.createDataFrame([], "name_part string, part_kind string")
+    rows = [("message", "x", "a long way to ann@mail.example here"), ("message", "x", "bob@mail.example"), ("message", "x", "plain"), ("message", "x", "plain"), ("queue", None, "cy@mail.example"), ("queue", None, "nothing"), ("queue", None, None)]
+    out = sorted((r.record_id or "", r.text or "") for r in P.redacted(texts_of(spark, rows), roster).collect())
+    assert out == [("", ""), ("", "[EMAIL]"), ("", "nothing"), ("x", "[EMAIL]"), ("x", "a long way to [EMAIL] here"), ("x", "plain")]
+    assert {(r.record_type, r.record_id) for r in P.found_types(texts_of(spark, rows), roster).collect()} == {("message", "x"), ("queue", None)}
