@@ -9,6 +9,7 @@ written again that changed. The number of baskets is part of every score, so it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,18 +148,18 @@ def _split(rows: DataFrame, name: str, keys: DataFrame) -> tuple[DataFrame, Data
     return rows.where(there).where(near), rows.where(~there).unionByName(rows.where(there).where(~near)), own
 
 
-def basket_pairs(baskets: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """basket, item_a, item_b with item_a < item_b for distinct rows (basket, item). A basket of n items is cut into
+def basket_pairs(baskets: DataFrame, block_items: int = BLOCK_ITEMS, keys: Sequence[str] = ("basket",)) -> DataFrame:
+    """keys, item_a, item_b with item_a < item_b for distinct rows (keys, item). A basket of n items is cut into
     ceil(n / block_items) hash blocks, and each pair of blocks is a cell of its own, so that no task holds a large basket."""
-    sizes = baskets.groupBy("basket").agg(F.ceil(F.count("*") / block_items).cast("int").alias("blocks")).where("blocks > 1")
-    rows = baskets.join(sizes, "basket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = baskets.groupBy(*keys).agg(F.ceil(F.count("*") / block_items).cast("int").alias("blocks")).where("blocks > 1")
+    rows = baskets.join(sizes, list(keys), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("basket", "item", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    a = cells.select("basket", "lo", "hi", F.col("item").alias("item_a"), F.col("block").alias("block_a"))
-    b = cells.select("basket", "lo", "hi", F.col("item").alias("item_b"), F.col("block").alias("block_b"))
+    cells = cells.select(*keys, "item", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    a = cells.select(*keys, "lo", "hi", F.col("item").alias("item_a"), F.col("block").alias("block_a"))
+    b = cells.select(*keys, "lo", "hi", F.col("item").alias("item_b"), F.col("block").alias("block_b"))
     own = (F.least("block_a", "block_b") == F.col("lo")) & (F.greatest("block_a", "block_b") == F.col("hi"))
-    return a.join(b, ["basket", "lo", "hi"]).where((F.col("item_a") < F.col("item_b")) & own).select("basket", "item_a", "item_b")
+    return a.join(b, [*keys, "lo", "hi"]).where((F.col("item_a") < F.col("item_b")) & own).select(*keys, "item_a", "item_b")
 
 
 def _can_matter(n: Column, n_baskets: int, state: PairState) -> Column:

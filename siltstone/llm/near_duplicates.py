@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bits import bit_table, bits_for, may_be_in
+from siltstone.llm.cooccurrence import basket_pairs
 from siltstone.plans.lineage import cut
 
 WORDS, SIMILARITY = 3, Fraction(3, 5)
@@ -33,6 +34,12 @@ SEGMENT = 16
 #: Postings of one run that one task may hold; the pairs of a more frequent run are spread over cells of its blocks.
 BLOCK_POSTINGS = 8192
 
+#: Bytes of a posting, and of the postings of a partition, on average; the number of partitions follows from the number of runs.
+POSTING_BYTES, PARTITION_BYTES = 56, 16 << 20
+
+#: Members of a class, or of a side of a link, that meet in one cell when pairs of ids are asked for.
+CELL_MEMBERS = 1024
+
 _word = re.compile(r"[^\W_]+")
 PARITY = 3
 _WORDS = [f"b{i}" for i in range(1, PARITY + 1)]
@@ -158,7 +165,7 @@ def run_levels(parts: DataFrame, places: int) -> bytes:
     schema = "segment int, blob binary"
     sums = parts.groupBy("segment", "salt").applyInPandas(add, schema).groupBy("segment").applyInPandas(add, schema)
     table = np.zeros(1 << places, dtype=np.uint32)
-    for no, blob in sums.toLocalIterator():
+    for no, blob in sums.collect():
         table[no * segment : (no + 1) * segment] = np.frombuffer(zlib.decompress(bytes(blob)), dtype=np.uint32)
     return np.minimum(np.floor(8 * np.log2(1.0 + table)), 255).astype(np.uint8).tobytes()
 
@@ -169,12 +176,14 @@ def _prefix(n: np.ndarray, similarity: Fraction) -> np.ndarray:
 
 
 def postings(texts: DataFrame, levels, places: int, width: int, similarity: Fraction) -> DataFrame:
-    """token, meta, sum, b1..b3: the prefix of each record's runs. meta holds the size of the set, the place in it, and which
-    side of its cell a posting of a frequent run is on. Equal sets of a batch are emitted once."""
+    """token, salt, meta, sum, b1..b3: the prefix of each record's runs. meta holds the size of the set and the place in it.
+    salt is 0 for a run whose place is seldom enough that it can't be frequent; the postings of others are spread over salts
+    until their own number is known. Equal sets of a batch are emitted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_of, table = _Runs(width), np.frombuffer(levels.value, dtype=np.uint8)
-        counts = np.ceil(np.exp2((np.arange(256) + 1) / 8.0) / BLOCK_POSTINGS).astype(np.int64)
+        most = np.ceil(np.exp2((np.arange(256) + 1) / 8.0) / BLOCK_POSTINGS)
+        salts = np.where(most > 1, np.minimum(most, 1 << 20), 0).astype(np.uint64)
         for batch in batches:
             runs, doc, starts = runs_of.of(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             if not len(runs):
@@ -189,21 +198,13 @@ def postings(texts: DataFrame, levels, places: int, width: int, similarity: Frac
             pos = np.arange(len(runs)) - starts[doc]
             use = keep[doc] & (pos < _prefix(sizes, similarity)[doc])
             runs, level, pos, doc = runs[use], level[use], pos[use], doc[use]
-            blocks = counts[level]
-            own = (_mixed(parity[0].view(np.uint64)[doc]) % blocks.astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(runs)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            own = own[again]
-            lo, hi = np.minimum(own, other), np.maximum(own, other)
-            split = blocks[again] > 1
-            token = np.where(split, _mixed(_mixed(runs[again] + lo.astype(np.uint64)) + hi.astype(np.uint64)), runs[again])
-            side = np.where(lo == hi, 0, np.where(own == lo, 1, 2))
-            meta = (sizes[doc][again] << 32) | (pos[again] << 2) | side
-            cols = [token.view(np.int64), meta, *(c[doc][again] for c in (sums, *parity))]
-            for at in range(0, len(token), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536], pa.int64()) for c in cols], names=["token", "meta", "sum", *_WORDS])
-
-    return texts.select("kind", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("token", "meta", "sum", *_WORDS)))
+            spread = salts[level]
+            salt = np.where(spread > 0, 1 + _mixed(sums.view(np.uint64)[doc]) % np.maximum(spread, np.uint64(1)), np.uint64(0))
+            cols = [runs.view(np.int64), salt.view(np.int64), (sizes[doc] << 32) | pos, *(c[doc] for c in (sums, *parity))]
+            for at in range(0, len(runs), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536], pa.int64()) for c in cols], names=["token", "salt", "meta", "sum", *_WORDS])
+
+    return texts.select("kind", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("token", "salt", "meta", "sum", *_WORDS)))
 
 
 def _before(a: list[Column], b: list[Column]) -> Column:
@@ -214,16 +215,15 @@ def _before(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
-def candidates(posts: DataFrame, similarity: Fraction) -> DataFrame:
-    """sum_a, b1_a, sum, b1: the keys of pairs of different sets that pass all filters, once each. Postings are shuffled
-    once; both sides of the join read the same exchange."""
+def _joined(rows: DataFrame, keys: list[str], own_side: Column, similarity: Fraction) -> DataFrame:
+    """sum_a, b1_a, sum, b1: the keys of pairs of different sets that share a run and pass all filters."""
     p, q = similarity.numerator, similarity.denominator
     columns = ["meta", "sum", *_WORDS]
-    unique = posts.repartition("token").groupBy("token", *columns).agg(F.lit(1).alias("_")).drop("_")
-    a = unique.select("token", *(F.col(c).alias(f"{c}_a") for c in columns))
+    named = rows.withColumn("side", own_side).select(*keys, *columns, "side")
+    a = named.select(*keys, *(F.col(c).alias(f"{c}_a") for c in [*columns, "side"]))
     n = {s: F.shiftright(f"meta{s}", 32) for s in ("", "_a")}
-    pos = {s: F.shiftright(f"meta{s}", 2).bitwiseAND(F.lit((1 << 30) - 1)) for s in ("", "_a")}
-    sides = F.col("meta").bitwiseAND(F.lit(3)) + F.col("meta_a").bitwiseAND(F.lit(3))
+    pos = {s: F.col(f"meta{s}").bitwiseAND(F.lit((1 << 32) - 1)) for s in ("", "_a")}
+    sides = F.col("side") + F.col("side_a")
     need = F.expr(f"({p} * (shiftright(meta, 32) + shiftright(meta_a, 32)) + {p + q - 1}) div {p + q}")
     in_prefix = F.least(n["_a"] - need - pos["_a"], n[""] - need - pos[""]) >= 0
     positional = F.least(pos["_a"], pos[""]) + 1 + F.least(n["_a"] - 1 - pos["_a"], n[""] - 1 - pos[""]) >= need
@@ -232,7 +232,25 @@ def candidates(posts: DataFrame, similarity: Fraction) -> DataFrame:
         _before([n["_a"], F.col("sum_a"), F.col("b1_a")], [n[""], F.col("sum"), F.col("b1")])
         & ((sides == 0) | (sides == 3)) & (n["_a"] * q >= n[""] * p) & (apart <= n["_a"] + n[""] - 2 * need) & in_prefix & positional
     )
-    return a.join(unique, "token").where(keep).select("sum_a", "b1_a", "sum", "b1").distinct()
+    return a.join(named.hint("shuffle_hash"), keys).where(keep).select("sum_a", "b1_a", "sum", "b1")
+
+
+def candidates(posts: DataFrame, similarity: Fraction, partitions: int) -> DataFrame:
+    """sum_a, b1_a, sum, b1: the keys of pairs of different sets that pass all filters, once each. Postings are shuffled once;
+    both sides of the join read the same exchange. Runs that may be frequent are counted by their postings, in parts by salt,
+    and the pairs of those that are get cells: a run of n postings has ceil(n / BLOCK_POSTINGS) blocks, and each pair of
+    blocks is a cell of its own."""
+    columns = ["meta", "sum", *_WORDS]
+    # The flag is an aggregate, so that a filter on it stays behind the exchange that both branches share.
+    unique = posts.repartition(partitions, "token", "salt").groupBy("token", "salt", *columns).agg((F.max("salt") > 0).alias("doubtful"))
+    rare = _joined(unique.where("not doubtful"), ["token", "salt"], F.lit(0), similarity)
+    doubtful = unique.where("doubtful").select("token", *columns)
+    counts = doubtful.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_POSTINGS).cast("int").alias("blocks"))
+    cells = doubtful.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("b1", "sum"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    side = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2)
+    frequent = _joined(cells, ["token", "lo", "hi"], side, similarity)
+    return rare.unionByName(frequent).distinct()
 
 
 def verified(pairs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
@@ -268,7 +286,10 @@ def similar_classes(texts: DataFrame, width: int = WORDS, similarity: Fraction =
     levels = texts.sparkSession.sparkContext.broadcast(run_levels(surveyed.where("blob is not null").select("segment", "salt", "blob"), places))
     keyed = surveyed.where("id is not null").select("kind", "id", *_KEYS, "n").distinct()
     heads = keyed.where("n > 0").groupBy("kind", *_KEYS).agg(F.min("id").alias("class_id"))
-    pairs = candidates(postings(rows, levels, places, width, similarity), similarity)
+    runs = surveyed.agg(F.sum("n")).first()[0] or 0
+    shuffled = int(runs * float(1 - similarity)) * POSTING_BYTES
+    default = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = candidates(postings(rows, levels, places, width, similarity), similarity, max(default, math.ceil(shuffled / PARTITION_BYTES)))
     a = heads.select(F.col("kind").alias("kind_a"), F.col("class_id").alias("class_a"), *(F.col(k).alias(f"{k}_a") for k in _KEYS))
     named = pairs.join(a, [f"{k}_a" for k in _KEYS]).join(heads, _KEYS).where("kind = kind_a").select("kind", F.least("class_a", "class_id").alias("class_a"), F.greatest("class_a", "class_id").alias("class_b"))
     named = cut(named)
@@ -286,15 +307,25 @@ def similar_classes(texts: DataFrame, width: int = WORDS, similarity: Fraction =
 
 
 def similar_pairs(texts: DataFrame, width: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """kind, id_a < id_b: all pairs of different ids that reach the similarity."""
+    """kind, id_a < id_b: all pairs of different ids that reach the similarity. There are k (k - 1) / 2 of them for k equal
+    records; who can do with a row for each record takes similar_classes. Members of large classes meet in cells of blocks."""
     members, links = similar_classes(texts, width, similarity)
     classed = cut(members.where(F.col("class_id").isNotNull()))
-    crowded = classed.groupBy("kind", "class_id").agg(F.count("*").alias("k")).where("k > 1").select("kind", "class_id")
-    inner = classed.join(crowded, ["kind", "class_id"])
-    within = inner.alias("a").join(inner.alias("b"), ["kind", "class_id"]).where("a.id < b.id").select("kind", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    a = classed.select("kind", F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    b = classed.select("kind", F.col("class_id").alias("class_b"), F.col("id").alias("y"))
-    across = links.join(a, ["kind", "class_a"]).join(b, ["kind", "class_b"]).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    key = ["kind", "class_id"]
+    crowded = cut(classed.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1"))
+    inner = classed.join(crowded.select(*key), key, "left_semi").select(*key, F.col("id").alias("item"))
+    within = basket_pairs(inner, CELL_MEMBERS, key).select("kind", F.col("item_a").alias("id_a"), F.col("item_b").alias("id_b"))
+    large = crowded.where(F.col("k") > CELL_MEMBERS).select(*key, F.ceil(F.col("k") / CELL_MEMBERS).cast("int").alias("blocks"))
+    one = F.coalesce("blocks", F.lit(1))
+    placed = classed.join(large, key, "left").select(*key, "id", F.pmod(F.xxhash64("id"), one).cast("int").alias("block"))
+    cells = links
+    for side in ("a", "b"):
+        sized = large.select("kind", F.col("class_id").alias(f"class_{side}"), "blocks")
+        cells = cells.join(sized, ["kind", f"class_{side}"], "left").withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), one - 1))).drop("blocks")
+    for side in ("a", "b"):
+        own = placed.select("kind", F.col("class_id").alias(f"class_{side}"), F.col("block").alias(f"block_{side}"), F.col("id").alias(f"x_{side}"))
+        cells = cells.join(own, ["kind", f"class_{side}", f"block_{side}"])
+    across = cells.select("kind", F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b"))
     return within.unionByName(across.where("id_a < id_b")).distinct()
 
 

@@ -69,3 +69,14 @@ def test_texts_of_records(spark):
     k = spark.createDataFrame([("a", "T", None), ("b", None, "c")], "id string, title string, content string")
     p = spark.createDataFrame([("z", None)], "id string, content string")
     assert [tuple(r) for r in N.record_texts(k, p).orderBy("id").collect()] == [("knowledge_item", "a", "T "), ("knowledge_item", "b", " c"), ("procedure", "z", "")]
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_a_giant_class_gives_the_pairs_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "CELL_MEMBERS", 7)
+    monkeypatch.setattr(N, "BLOCK_POSTINGS", block)
+    text = "one two three four five six seven eight nine ten"
+    rows = [("k", f"c{i:02}", text) for i in range(40)] + [("k", f"d{i:02}", text + " eleven") for i in range(30)] + [("k", f"e{i}", f"{text} twelve {i}") for i in range(8)] + [("p", "c00", text)]
+    df = spark.createDataFrame(rows, "kind string, id string, text string").repartition(5)
+    got = [tuple(r) for r in N.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
