@@ -17,6 +17,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,15 +176,14 @@ def _prefix(n: np.ndarray, similarity: Fraction) -> np.ndarray:
     return n - -(-p * n // q) + 1
 
 
-def postings(texts: DataFrame, levels, places: int, width: int, similarity: Fraction) -> DataFrame:
-    """token, salt, meta, sum, b1..b3: the prefix of each record's runs. meta holds the size of the set and the place in it.
-    salt is 0 for a run whose place is seldom enough that it can't be frequent; the postings of others are spread over salts
-    until their own number is known. Equal sets of a batch are emitted once."""
+def postings(texts: DataFrame, levels, places: int, width: int, similarity: Fraction, doubtful: bool, dropped: Accumulator | None = None) -> DataFrame:
+    """token, meta, sum, b1..b3: the prefix of each record's runs. meta holds the size of the set and the place in it. A run is
+    doubtful if so many fall on its place that it may be frequent itself: only postings of such runs are given, or only the
+    others, and then dropped counts those left out. Equal sets of a batch are emitted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_of, table = _Runs(width), np.frombuffer(levels.value, dtype=np.uint8)
-        most = np.ceil(np.exp2((np.arange(256) + 1) / 8.0) / BLOCK_POSTINGS)
-        salts = np.where(most > 1, np.minimum(most, 1 << 20), 0).astype(np.uint64)
+        may_be_frequent = np.exp2((np.arange(256) + 1) / 8.0) > BLOCK_POSTINGS
         for batch in batches:
             runs, doc, starts = runs_of.of(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             if not len(runs):
@@ -197,14 +197,16 @@ def postings(texts: DataFrame, levels, places: int, width: int, similarity: Frac
             runs, level = runs[order], level[order]
             pos = np.arange(len(runs)) - starts[doc]
             use = keep[doc] & (pos < _prefix(sizes, similarity)[doc])
+            asked = may_be_frequent[level] == doubtful
+            if dropped is not None and not np.all(asked[use]):
+                dropped.add(int(np.sum(~asked & use)))
+            use &= asked
             runs, level, pos, doc = runs[use], level[use], pos[use], doc[use]
-            spread = salts[level]
-            salt = np.where(spread > 0, 1 + _mixed(sums.view(np.uint64)[doc]) % np.maximum(spread, np.uint64(1)), np.uint64(0))
-            cols = [runs.view(np.int64), salt.view(np.int64), (sizes[doc] << 32) | pos, *(c[doc] for c in (sums, *parity))]
+            cols = [runs.view(np.int64), (sizes[doc] << 32) | pos, *(c[doc] for c in (sums, *parity))]
             for at in range(0, len(runs), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536], pa.int64()) for c in cols], names=["token", "salt", "meta", "sum", *_WORDS])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536], pa.int64()) for c in cols], names=["token", "meta", "sum", *_WORDS])
 
-    return texts.select("kind", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("token", "salt", "meta", "sum", *_WORDS)))
+    return texts.select("kind", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("token", "meta", "sum", *_WORDS)))
 
 
 def _before(a: list[Column], b: list[Column]) -> Column:
@@ -232,25 +234,29 @@ def _joined(rows: DataFrame, keys: list[str], own_side: Column, similarity: Frac
         _before([n["_a"], F.col("sum_a"), F.col("b1_a")], [n[""], F.col("sum"), F.col("b1")])
         & ((sides == 0) | (sides == 3)) & (n["_a"] * q >= n[""] * p) & (apart <= n["_a"] + n[""] - 2 * need) & in_prefix & positional
     )
-    return a.join(named.hint("shuffle_hash"), keys).where(keep).select("sum_a", "b1_a", "sum", "b1")
+    return a.join(named, keys).where(keep).select("sum_a", "b1_a", "sum", "b1")
+
+
+def _shared_once(posts: DataFrame, partitions: int) -> DataFrame:
+    """posts, each once; both sides of a join on the token read the same exchange."""
+    return posts.repartition(partitions, "token").groupBy(*posts.columns).agg(F.lit(1).alias("_")).drop("_")
 
 
 def candidates(posts: DataFrame, similarity: Fraction, partitions: int) -> DataFrame:
-    """sum_a, b1_a, sum, b1: the keys of pairs of different sets that pass all filters, once each. Postings are shuffled once;
-    both sides of the join read the same exchange. Runs that may be frequent are counted by their postings, in parts by salt,
-    and the pairs of those that are get cells: a run of n postings has ceil(n / BLOCK_POSTINGS) blocks, and each pair of
-    blocks is a cell of its own."""
-    columns = ["meta", "sum", *_WORDS]
-    # The flag is an aggregate, so that a filter on it stays behind the exchange that both branches share.
-    unique = posts.repartition(partitions, "token", "salt").groupBy("token", "salt", *columns).agg((F.max("salt") > 0).alias("doubtful"))
-    rare = _joined(unique.where("not doubtful"), ["token", "salt"], F.lit(0), similarity)
-    doubtful = unique.where("doubtful").select("token", *columns)
-    counts = doubtful.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_POSTINGS).cast("int").alias("blocks"))
-    cells = doubtful.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("b1", "sum"), F.col("blocks")).cast("int"))
+    """sum_a, b1_a, sum, b1 of postings none of whose runs is frequent."""
+    return _joined(_shared_once(posts, partitions), ["token"], F.lit(0), similarity).distinct()
+
+
+def candidates_of_frequent(posts: DataFrame, similarity: Fraction) -> DataFrame:
+    """The same of any postings: runs are counted by their postings first. A run of n of them has ceil(n / BLOCK_POSTINGS)
+    blocks, and each pair of blocks is a cell of its own."""
+    posts = cut(posts)
+    counts = posts.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_POSTINGS).cast("int").alias("blocks"))
+    cells = posts.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("b1", "sum"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    cells = cells.select(*posts.columns, "lo", "hi", "own").distinct()
     side = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2)
-    frequent = _joined(cells, ["token", "lo", "hi"], side, similarity)
-    return rare.unionByName(frequent).distinct()
+    return _joined(cells, ["token", "lo", "hi"], side, similarity).distinct()
 
 
 def verified(pairs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
@@ -289,7 +295,11 @@ def similar_classes(texts: DataFrame, width: int = WORDS, similarity: Fraction =
     runs = surveyed.agg(F.sum("n")).first()[0] or 0
     shuffled = int(runs * float(1 - similarity)) * POSTING_BYTES
     default = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = candidates(postings(rows, levels, places, width, similarity), similarity, max(default, math.ceil(shuffled / PARTITION_BYTES)))
+    doubtful = texts.sparkSession.sparkContext.accumulator(0)
+    sure = postings(rows, levels, places, width, similarity, False, doubtful)
+    pairs = cut(candidates(sure, similarity, max(default, math.ceil(shuffled / PARTITION_BYTES))))
+    if doubtful.value:
+        pairs = pairs.unionByName(candidates_of_frequent(postings(rows, levels, places, width, similarity, True), similarity)).distinct()
     a = heads.select(F.col("kind").alias("kind_a"), F.col("class_id").alias("class_a"), *(F.col(k).alias(f"{k}_a") for k in _KEYS))
     named = pairs.join(a, [f"{k}_a" for k in _KEYS]).join(heads, _KEYS).where("kind = kind_a").select("kind", F.least("class_a", "class_id").alias("class_a"), F.greatest("class_a", "class_id").alias("class_b"))
     named = cut(named)
