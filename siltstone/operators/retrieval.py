@@ -19,8 +19,8 @@ from siltstone.functions import scores
 
 #: Query vectors that are broadcast at a time: 4096 * 4096 floats are 64 MB.
 QUERY_BLOCK = 4096
-#: Documents that are compared vector by vector at a time.
-DOCUMENT_BLOCK = 16
+#: Rows that are compared at a time, and documents that are compared vector by vector.
+ROW_BLOCK, DOCUMENT_BLOCK = 2048, 64
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -30,36 +30,41 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", include_self: bool = False) -> DataFrame:
     """query_id, id, score, rank: the k rows with the largest cosine to each query, exactly. queries come in blocks of
-    QUERY_BLOCK; of each block and batch of rows only the k best go on, so a query costs k rows a task in the shuffle. Ties
-    go to the smaller id. Rows with a null vector, or one of another length than the query's, have no score."""
+    QUERY_BLOCK; of each block a task keeps only the k best rows, so a query costs k rows a task in the shuffle. Scores are
+    rounded to twelve digits, and ties go to the smaller id. Rows with a null vector, or one of another length than the query's, have no score."""
     spark = rows.sparkSession
     asked = queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator()
     kind = rows.schema[key].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
     out = None
     while block := list(islice(asked, QUERY_BLOCK)):
-        by_length: dict[int, tuple[list, list]] = {}
-        for query_id, v in block:
-            if None not in v:
-                ids, vectors = by_length.setdefault(len(v), ([], []))
-                ids.append(query_id)
-                vectors.append(v)
-        shared = spark.sparkContext.broadcast({n: (ids, _unit(np.array(vs, dtype=np.float64))) for n, (ids, vs) in by_length.items()})
+        ids = [query_id for query_id, _ in block]
+        shared = spark.sparkContext.broadcast((ids, _unit_vectors(pa.array([list(v) for _, v in block], pa.list_(pa.float64())))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, of_length = shared.value
+            best, kind = _Best(len(ids), k), None
+            places: dict = {}
+            for i, query_id in enumerate(ids):
+                places.setdefault(query_id, []).append(i)
             for batch in batches:
-                keys, vectors, rows_out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-                for n, (ids, q) in shared.value.items():
-                    fit = [i for i, v in enumerate(vectors) if v is not None and len(v) == n and None not in v]
-                    if not fit or not n:
+                kind, keys = batch.column(0).type, batch.column(0).to_pylist()
+                for n, (rows_of, units) in _unit_vectors(batch.column(1)).items():
+                    if n not in of_length:
                         continue
-                    fit_keys = np.array([keys[i] for i in fit])
-                    sims = q @ _unit(np.array([vectors[i] for i in fit], dtype=np.float64)).T
-                    for j, qid in enumerate(ids):
-                        best = np.lexsort((fit_keys, -np.round(sims[j], 12)))[: k + 1]
-                        rows_out += [(qid, keys[fit[i]], float(sims[j, i])) for i in best if include_self or keys[fit[i]] != qid][:k]
-                cols = list(zip(*rows_out)) if rows_out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], batch.column(0).type), pa.array(cols[2], pa.float64())], names=schema.names)
+                    asked, q = of_length[n]
+                    at = {place: j for j, place in enumerate(asked)}
+                    for lo in range(0, len(rows_of), ROW_BLOCK):
+                        own = [keys[i] for i in rows_of[lo : lo + ROW_BLOCK]]
+                        scored = q @ units[lo : lo + ROW_BLOCK].T
+                        if not include_self:
+                            for column, key_ in enumerate(own):
+                                for place in places.get(key_, ()):
+                                    if place in at:
+                                        scored[at[place], column] = -np.inf
+                        best.add(asked, own, scored, 12)
+            if kind is not None:
+                yield best.batch(ids, kind, schema.names)
 
         near = rows.select(key, vector).mapInArrow(run, schema)
         out = near if out is None else out.unionByName(near)
@@ -153,31 +158,80 @@ def rag_fusion(rankings: list[DataFrame], limit: int) -> DataFrame:
     return top(fuse({f"q{i}": r for i, r in enumerate(rankings)}, {}), limit)
 
 
-def _flat(groups: list[list[list[float] | None]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length of vectors: unit vectors of all groups, in order, and the group of each. Vectors that are null or empty, or
-    that hold a null, are left out."""
-    held: dict[int, tuple[list, list]] = {}
-    for g, vectors in enumerate(groups):
-        for v in vectors:
-            if v and None not in v:
-                own, of = held.setdefault(len(v), ([], []))
-                own.append(v)
-                of.append(g)
-    return {n: (_unit(np.array(own, dtype=np.float64)), np.array(of)) for n, (own, of) in held.items()}
+def _unit_vectors(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: places and unit vectors of an array of vectors. Vectors that are null or empty, or that hold a null, are left
+    out. Values come from Arrow's buffers as they are."""
+    sizes = np.where(np.asarray(vectors.is_null()), 0, vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    values = vectors.flatten()
+    ends = np.cumsum(sizes)
+    starts, holes = ends - sizes, np.zeros(len(values) + 1, dtype=np.int64)
+    if values.null_count:
+        holes[1:] = np.cumsum(np.asarray(values.is_null()))
+        values = values.fill_null(0)
+    numbers = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    whole = (sizes > 0) & (holes[ends] == holes[starts])
+    out = {}
+    for n in np.unique(sizes[whole]).tolist():
+        at = np.flatnonzero(whole & (sizes == n))
+        out[n] = (at, _unit(numbers[starts[at][:, None] + np.arange(n)]))
+    return out
 
 
-def _max_sims(asked: list[list], of_query: dict[int, tuple[np.ndarray, np.ndarray]], docs: list[list]) -> np.ndarray:
+def _grouped(groups: pa.ListArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """How many vectors each group has, and by length of vectors: unit vectors of all groups, in order, and the group of each."""
+    sizes = np.where(np.asarray(groups.is_null()), 0, groups.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return sizes, {n: (units, of[at]) for n, (at, units) in _unit_vectors(groups.flatten()).items()}
+
+
+class _Best:
+    """The k best of each query so far; ties go to the smaller key."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.held: list[tuple[np.ndarray, np.ndarray, list]] = []
+        self.waiting = 0
+
+    def add(self, asked: np.ndarray, keys: list, scored: np.ndarray, digits: int) -> None:
+        """scored: a row for each place in asked, a column for each key."""
+        rounded = np.round(scored, digits)
+        m, k = rounded.shape[1], min(self.k, rounded.shape[1])
+        least = np.partition(rounded, m - k, axis=1)[:, m - k : m - k + 1]
+        row, column = np.nonzero((rounded >= least) & (rounded > -np.inf))
+        self.held.append((np.asarray(asked)[row], rounded[row, column], [keys[c] for c in column]))
+        self.waiting += len(row)
+        if self.waiting > 8 * self.k * self.queries + 100_000:
+            self.settle()
+
+    def settle(self) -> None:
+        query = np.concatenate([q for q, _, _ in self.held]) if self.held else np.zeros(0, dtype=np.int64)
+        score = np.concatenate([s for _, s, _ in self.held]) if self.held else np.zeros(0)
+        keys = [x for _, _, own in self.held for x in own]
+        order = np.lexsort((np.array(keys), -score, query)) if keys else np.zeros(0, dtype=np.int64)
+        query, score = query[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        near = rank < self.k
+        self.held = [(query[near], score[near], [keys[i] for i in order[near]])]
+        self.waiting = int(near.sum())
+
+    def batch(self, ids: list, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        self.settle()
+        query, score, keys = self.held[0]
+        return pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query], kind), pa.array(keys, kind), pa.array(score)], names=names)
+
+
+def _max_sims(queries: int, of_query: dict[int, tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, of_doc: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """MaxSim of queries and documents; vectors that don't go together have a cosine of 0, as in functions.vectors.max_sim."""
-    out, of_doc = np.zeros((len(asked), len(docs))), _flat(docs)
+    out = np.zeros((queries, len(sizes)))
     for n, (q, qs) in of_query.items():
         if n not in of_doc:
             continue
         d, ds = of_doc[n]
         sims = q @ d.T
-        best = np.zeros((len(q), len(docs)))
+        best = np.zeros((len(q), len(sizes)))
         starts = np.flatnonzero(np.r_[True, ds[1:] != ds[:-1]])
         best[:, ds[starts]] = np.maximum.reduceat(sims, starts, axis=1)
-        mixed = np.bincount(ds, minlength=len(docs)) < [len(x) for x in docs]
+        mixed = np.bincount(ds, minlength=len(sizes)) < sizes
         best[:, mixed] = np.maximum(best[:, mixed], 0)
         np.add.at(out, qs, best)
     return out
@@ -212,23 +266,15 @@ def late_interaction(queries: DataFrame, documents: DataFrame, k: int) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, vectors = zip(*shared.value)
-            of_query = _flat(list(vectors))
-            best: list[list] = [[] for _ in ids]
-            types = None
+            _, of_query = _grouped(pa.array([[None if v is None else list(v) for v in vs] for vs in vectors], pa.list_(pa.list_(pa.float64()))))
+            best, kind, places = _Best(len(ids), k), None, np.arange(len(ids))
             for batch in batches:
-                types = batch.schema.types
+                kind = batch.column(0).type
                 for part in (batch.slice(i, DOCUMENT_BLOCK) for i in range(0, batch.num_rows, DOCUMENT_BLOCK)):
-                    keys = part.column(0).to_pylist()
-                    sims = _max_sims(list(vectors), of_query, part.column(1).to_pylist())
-                    for j, held in enumerate(best):
-                        near = np.lexsort((np.array(keys), -np.round(sims[j], 9)))[:k]
-                        held += [(-round(float(sims[j, i]), 9), keys[i], float(sims[j, i])) for i in near]
-                        held.sort()
-                        del held[k:]
-            if types:
-                rows = [(qid, key, score) for qid, held in zip(ids, best) for _, key, score in held]
-                cols = list(zip(*rows)) if rows else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], types[0]), pa.array(cols[1], types[0]), pa.array(cols[2], pa.float64())], names=schema.names)
+                    sizes, of_doc = _grouped(part.column(1))
+                    best.add(places, part.column(0).to_pylist(), _max_sims(len(ids), of_query, sizes, of_doc), 9)
+            if kind is not None:
+                yield best.batch(list(ids), kind, schema.names)
 
         near = documents.where(usable).select("id", "vectors").mapInArrow(run, schema)
         out = near if out is None else out.unionByName(near)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import SIGNAL_WEIGHTS, extract_cues
 from siltstone.operators import clustering as C
 from siltstone.operators import entities as E
 from siltstone.operators import fts
 from siltstone.operators import graph as G
 from siltstone.operators import retrieval as R
-from siltstone.queries.inputs import AS_OF, EDGES, edges
+from siltstone.queries.inputs import EDGES, edges
 from siltstone.sources.tables import table
 
 Q: dict = {}
@@ -116,68 +115,6 @@ def maxsim(s: SparkSession, d: str) -> DataFrame:
     return R.late_interaction(docs.where("id % 50 = 0"), docs, 5).withColumn("score", F.round("score", 5))
 
 
-def _signals(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    items = _distinct(s, d, "knowledge_items")
-    text = fts.search(items, "id", {"A": "title", "B": "content"}, QUESTION, 30)
-    fresh = table(s, d, "knowledge_items").where("kind = 'pattern'").groupBy("id").agg(F.max("access_count").alias("uses"))
-    cued = items.where(F.arrays_overlap(extract_cues(F.col("title")), F.array(F.lit("nightly"), F.lit("planner"))))
-    return {
-        "fts": R.as_signal(text, "knowledge_item", "id", [F.desc(F.round("score", 9)), F.asc("id")], 30),
-        "dense": R.as_signal(fresh, "knowledge_item", "id", [F.desc("uses"), F.asc("id")], 30),
-        "cue": R.as_signal(cued, "knowledge_item", "id", [F.asc("id")], 30),
-    }, items
-
-
-_SIGNALS = f"""
-f0 AS ({_fts_sql('knowledge_item', 'knowledge_items')}), f AS (SELECT entity_id, row_number() OVER (ORDER BY round(score, 9) DESC, entity_id) - 1 AS rank FROM f0),
-d0 AS (SELECT id, max(access_count) AS uses FROM knowledge_items WHERE kind = 'pattern' GROUP BY 1), dn AS (SELECT id AS entity_id, row_number() OVER (ORDER BY uses DESC, id) - 1 AS rank FROM d0),
-c0 AS (SELECT id FROM (SELECT id, any_value(title) AS title FROM knowledge_items GROUP BY 1) WHERE list_has_any(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}_-]+'), ['nightly', 'planner'])), c AS (SELECT id AS entity_id, row_number() OVER (ORDER BY id) - 1 AS rank FROM c0),
-sig AS (SELECT 'fts' AS signal, entity_id, rank, 1.0::DOUBLE AS w FROM f WHERE rank < 30 UNION ALL SELECT 'dense', entity_id, rank, 1.5::DOUBLE FROM dn WHERE rank < 30 UNION ALL SELECT 'cue', entity_id, rank, 1.5::DOUBLE FROM c WHERE rank < 30)
-"""
-WEIGHTS = {**SIGNAL_WEIGHTS["semantic"], "cue": 1.5}
-
-
-@query("WITH" + _SIGNALS + "SELECT 'knowledge_item' AS entity_type, entity_id, round(sum(w / (60 + rank + 1)), 9) AS score FROM sig GROUP BY 2 ORDER BY score DESC, entity_id LIMIT 20")
-def rrf_fused(s: SparkSession, d: str) -> DataFrame:
-    signals, _ = _signals(s, d)
-    fused = R.fuse(signals, WEIGHTS).withColumn("score", F.round("score", 9))
-    return R.top(fused, 20).select("entity_type", "entity_id", "score")
-
-
-@query("WITH" + _SIGNALS + "SELECT entity_id, signal, rank::INT AS rank, round(w / (60 + rank + 1), 9) AS share FROM sig")
-def rrf_explained(s: SparkSession, d: str) -> DataFrame:
-    fused = R.fuse(_signals(s, d)[0], WEIGHTS)
-    return fused.select("entity_id", F.explode("contributions").alias("c")).select("entity_id", "c.signal", "c.rank", F.round("c.share", 9).alias("share"))
-
-
-@query("WITH" + _SIGNALS + "SELECT entity_id, list_sort(list(DISTINCT signal)) AS signals FROM sig GROUP BY 1")
-def attribution(s: SparkSession, d: str) -> DataFrame:
-    return R.attribution(_signals(s, d)[0])
-
-
-def _entities(s: SparkSession, d: str) -> DataFrame:
-    k = table(s, d, "knowledge_items")
-    cols = ("title", "content", "last_accessed_at", "access_count", "feedback_boost", "superseded_by", "valid_until")
-    return k.groupBy(F.lit("knowledge_item").alias("entity_type"), F.col("id").alias("entity_id")).agg(*(F.max(c).alias(c) for c in cols))
-
-
-@query("WITH" + _SIGNALS + """, t AS (SELECT entity_id, sum(w / (60 + rank + 1)) AS score FROM sig GROUP BY 1 ORDER BY round(score, 12) DESC, entity_id LIMIT 20),
-k AS (SELECT id, max(last_accessed_at) AS la, max(access_count) AS ac, max(feedback_boost) AS fb, max(superseded_by) AS sb, max(valid_until) AS vu FROM knowledge_items GROUP BY 1)
-SELECT entity_id, round(score * exp(-0.693::DOUBLE / 30 * coalesce((epoch_us(TIMESTAMPTZ '2025-06-30 00:00:00+00') - epoch_us(la)) / 86400000000.0::DOUBLE, 30.0)) * (1 + 0.1::DOUBLE * ln(1 + ac::DOUBLE)) + 0.1::DOUBLE * coalesce(fb::DOUBLE, 0), 8) AS score
-FROM t JOIN k ON k.id = entity_id WHERE sb IS NULL AND coalesce(TIMESTAMPTZ '2025-06-30 00:00:00+00' <= vu, true)""")
-def hybrid_hydrated(s: SparkSession, d: str) -> DataFrame:
-    fused = R.fuse(_signals(s, d)[0], WEIGHTS)
-    best = fused.orderBy(F.desc(F.round("score", 12)), "entity_id").limit(20)
-    return R.hydrate(best, _entities(s, d), AS_OF).select("entity_id", F.round("score", 8).alias("score"))
-
-
-@query()
-def hybrid_reranked(s: SparkSession, d: str) -> DataFrame:
-    fused = R.top(R.fuse(_signals(s, d)[0], WEIGHTS), 20)
-    results = R.hydrate(fused, _entities(s, d), AS_OF)
-    return R.rerank(results, "content", R.token_overlap("nightly cache planner"), R.token_overlap("nightly job")).select("entity_id", F.round("final", 6).alias("final"))
-
-
 @query()
 def rag_fusion(s: SparkSession, d: str) -> DataFrame:
     items = _distinct(s, d, "knowledge_items")
