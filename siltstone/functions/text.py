@@ -274,3 +274,10 @@ def strip_fences(text: Column) -> Column:
     """JSON in a model's answer, without the code fence around it."""
     inner = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1)
     return F.regexp_replace(F.when(inner != "", inner).otherwise(text), "^\\s+|\\s+$", "")
+
+
+def json_with(json: Column, key: str, value: Column) -> Column:
+    """A JSON object with a key set to a string, other keys as they are; null and what isn't an object count as empty."""
+    held = F.coalesce(F.from_json(json, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    others = F.map_filter(held, lambda k, _: k != key)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), value)))

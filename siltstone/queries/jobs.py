@@ -55,7 +55,11 @@ def due_for_review(s: SparkSession, d: str) -> DataFrame:
     return L.due_for_review(table(s, d, "knowledge_items"), AS_OF).select("id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, 2.5::DOUBLE AS ef, 0 AS rep, 0 AS itv FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, i, ef2, CASE WHEN q < 3 THEN 0 ELSE rep + 1 END, CASE WHEN q < 3 OR rep = 0 THEN 1 WHEN rep = 1 THEN 6 ELSE round(itv::DOUBLE * ef2)::INT END FROM (
+    SELECT e.user_id, e.i, f.rep, f.itv, event_id % 6 AS q, CASE WHEN event_id % 6 < 3 THEN f.ef ELSE greatest(f.ef + (0.1::DOUBLE - (5 - event_id % 6) * (0.08::DOUBLE + (5 - event_id % 6) * 0.02::DOUBLE)), 1.3::DOUBLE) END AS ef2 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id AS id, round(ef, 6) AS easiness, rep AS repetitions, itv AS interval FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def review_history(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     rows = e.select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("event_id") % 6).cast("int").alias("quality"))
@@ -86,15 +90,9 @@ def enqueue(s: SparkSession, d: str) -> DataFrame:
     return L.enqueue(q, again).select("id", "status")
 
 
-@query("SELECT id, retry_count + CASE WHEN status = 'processing' THEN 1 ELSE 0 END AS retry_count, CASE WHEN status <> 'processing' THEN status WHEN retry_count + 1 >= 3 THEN 'failed_permanent' ELSE 'pending' END AS status FROM (SELECT id, any_value(retry_count) AS retry_count, any_value(status) AS status FROM learning_queue GROUP BY 1 HAVING count(*) = 1)")
-def retry_queue(s: SparkSession, d: str) -> DataFrame:
-    q = table(s, d, "learning_queue").groupBy("id").agg(F.first("retry_count").alias("retry_count"), F.first("status").alias("status"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return L.retried(q, q.where("status = 'processing'"))
-
-
 @query("""WITH r AS (SELECT id, retry_count, status FROM learning_queue QUALIFY row_number() OVER (PARTITION BY id ORDER BY retry_count DESC, list_position(['failed_permanent', 'cancelled', 'completed', 'processing', 'pending'], status) NULLS LAST, status DESC) = 1)
 SELECT id, retry_count + CASE WHEN status = 'processing' THEN 1 ELSE 0 END AS retry_count, CASE WHEN status <> 'processing' THEN status WHEN retry_count + 1 >= 3 THEN 'failed_permanent' ELSE 'pending' END AS status FROM r""")
-def retry_queue_all(s: SparkSession, d: str) -> DataFrame:
+def retry_queue(s: SparkSession, d: str) -> DataFrame:
     """All ids, those with repeated rows too: each in its last state."""
     q = L.one_state(table(s, d, "learning_queue"))
     return L.retried(q, q.where("status = 'processing'"))
@@ -122,22 +120,29 @@ def alert_windows(s: SparkSession, d: str) -> DataFrame:
     return L.alerts(logs(s, d), rules, EVENTS_AS_OF)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, i, ts, 5.0::DOUBLE - 1 AS tokens, true AS allowed FROM e WHERE i = 1
+  UNION ALL SELECT user_id, i, ts, t - CASE WHEN t >= 1 THEN 1 ELSE 0 END, t >= 1 FROM (SELECT e.user_id, e.i, e.ts, least(5.0::DOUBLE, f.tokens + (epoch_us(e.ts) - epoch_us(f.ts)) / 1000000.0::DOUBLE * 5.0 / 86400.0) AS t FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, allowed, count(*) AS n FROM f GROUP BY 1, 2""")
 def rate_limited(s: SparkSession, d: str) -> DataFrame:
     rows = L.token_bucket(table(s, d, "events"), "user_id", "ts", 5, 86400.0)
     return rows.groupBy("user_id", "allowed").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, i, ts AS last, true AS ok FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, CASE WHEN epoch_us(e.ts) - epoch_us(f.last) >= 43200000000 THEN e.ts ELSE f.last END, epoch_us(e.ts) - epoch_us(f.last) >= 43200000000 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, count(*) AS n FROM f WHERE ok GROUP BY 1""")
 def cooldown(s: SparkSession, d: str) -> DataFrame:
     return L.cooled_down(table(s, d, "events"), "user_id", "ts", 43200.0).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT source AS by_source, count(*) AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1 HAVING count(*) > 0""")
+@query("SELECT doc_id, 0 AS chunk_no, ceil(strlen(text) / 4.0)::BIGINT AS tokens, md5(text) AS md5 FROM documents WHERE text <> '' AND ceil(strlen(text) / 4.0) <= 6000")
 def chunked_documents(s: SparkSession, d: str) -> DataFrame:
-    whole = K.chunks(table(s, d, "documents"), "doc_id", "text").where("chunk_no = 0").select("doc_id")
-    docs = table(s, d, "documents").where("source is not null and text is not null").select("doc_id", F.col("source").alias("by_source"), (F.col("text") == "").alias("empty"))
-    return docs.join(whole, "doc_id", "left_semi").unionByName(docs.where("empty")).groupBy("by_source").agg(F.count("*").alias("n"))
+    """Documents that fit one chunk are given as they are; larger ones are those of markdown_chunks."""
+    docs = table(s, d, "documents")
+    fits = docs.where(F.ceil(F.octet_length("text") / 4.0) <= 6000).select("doc_id")
+    return K.chunks(docs, "doc_id", "text").join(fits, "doc_id", "left_semi").select("doc_id", "chunk_no", "tokens", F.md5("chunk").alias("md5"))
 
 
 @query()
@@ -151,7 +156,11 @@ def transcript_chunks(s: SparkSession, d: str) -> DataFrame:
     return K.chunks(rows, "id", "transcript", K.chunk_transcript).select("id", "chunk_no", "tokens", F.md5("chunk").alias("md5"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT project_id, kind, sum(strlen(content))::BIGINT AS bytes, max(utility_score) AS u FROM knowledge_items WHERE project_id IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY u DESC, kind) AS i FROM k),
+f AS (SELECT project_id, i, kind, bytes, bytes <= 12000 AS took, CASE WHEN bytes <= 12000 THEN bytes ELSE 0 END AS used FROM b WHERE i = 1
+  UNION ALL SELECT b.project_id, b.i, b.kind, b.bytes, f.used + b.bytes <= 12000, CASE WHEN f.used + b.bytes <= 12000 THEN f.used + b.bytes ELSE f.used END FROM f JOIN b ON b.project_id = f.project_id AND b.i = f.i + 1)
+SELECT project_id, kind AS section, bytes AS used FROM f WHERE took AND bytes > 0""")
 def context_pack(s: SparkSession, d: str) -> DataFrame:
     k = table(s, d, "knowledge_items").where("project_id is not null").groupBy("project_id", "kind").agg(F.sum(F.octet_length("content")).alias("bytes"), F.max("utility_score").alias("u"))
     rows = k.select("project_id", F.col("kind").alias("section"), "bytes", F.rank().over(_by("project_id")).alias("priority"))
@@ -169,12 +178,15 @@ def optimized_context(s: SparkSession, d: str) -> DataFrame:
     return N.optimize(table(s, d, "documents"), "doc_id", "text", 500).select("doc_id", "bytes_before", "bytes_after", "saved")
 
 
-@query("""WITH l AS (SELECT id, unnest(string_split(transcript, chr(10))) AS l FROM (SELECT id, any_value(transcript) AS transcript FROM learning_queue GROUP BY 1) WHERE transcript IS NOT NULL)
-SELECT id, count(*) AS n FROM l WHERE regexp_matches(trim(l), '^\\[(TOOL|Tool):.+\\]$') OR regexp_matches(trim(l), '^(tool_call|Tool):\\s*\\S+') GROUP BY 1""")
+@query("""WITH t AS (SELECT DISTINCT id, '[TOOL: read]' || chr(10) || CASE WHEN length(transcript) % 2 = 0 THEN 'tool_call: edit now' || chr(10) ELSE '' END || transcript AS t FROM learning_queue WHERE transcript IS NOT NULL),
+l AS (SELECT id, trim(unnest(string_split(t, chr(10)))) AS l FROM t)
+SELECT id, CASE WHEN regexp_matches(l, '^\\[(TOOL|Tool):[^\\]]*\\]$') THEN trim(regexp_extract(l, ':([^\\]]*)\\]', 1)) ELSE regexp_extract(l, ':\\s*(\\S+)', 1) END AS tool, count(*) AS n FROM l
+WHERE regexp_matches(l, '^\\[(TOOL|Tool):[^\\]]*[^\\s\\]][^\\]]*\\]$') OR regexp_matches(l, '^(tool_call|Tool):\\s*\\S+') GROUP BY 1, 2""")
 def tool_calls(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "learning_queue").groupBy("id").agg(F.first("transcript", ignorenulls=True).alias("transcript"))
-    calls = parsers.tool_calls(rows, "id", "transcript")
-    return calls.groupBy("id").agg(F.count("*").alias("n"))
+    """Transcripts, each with a call or two put before it."""
+    edit = F.when(F.length("transcript") % 2 == 0, F.lit("tool_call: edit now\n")).otherwise("")
+    rows = table(s, d, "learning_queue").where("transcript is not null").select("id", F.concat(F.lit("[TOOL: read]\n"), edit, "transcript").alias("t")).distinct()
+    return parsers.tool_calls(rows, "id", "t").groupBy("id", "tool").agg(F.count("*").alias("n"))
 
 
 @query()

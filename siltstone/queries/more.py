@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import snippet
+from siltstone.functions.text import json_with, snippet
 from siltstone.operators import analytics as A
 from siltstone.operators import entities as E
 from siltstone.operators import learning, models, tree
@@ -52,17 +52,8 @@ def _marked(k: DataFrame) -> DataFrame:
     return E.mark_embedded(keyed, keyed.where("kind = 'pattern'"), "row_key").select("id", "needs_embedding")
 
 
-@query("SELECT file_path, arg_max(id, created_at) AS id FROM git_activity WHERE file_path IS NOT NULL AND project_id IS NOT NULL AND created_at IS NOT NULL GROUP BY project_id, file_path HAVING count(*) = count(DISTINCT created_at)")
-def upsert_latest(s: SparkSession, d: str) -> DataFrame:
-    g = table(s, d, "git_activity").where("file_path is not null and project_id is not null and created_at is not null").select("id", "project_id", "file_path", "created_at")
-    single = g.groupBy("project_id", "file_path").agg(F.count("*").alias("a"), F.count_distinct("created_at").alias("b")).where("a = b")
-    rows = g.join(single.select("project_id", "file_path"), ["project_id", "file_path"], "left_semi")
-    first = rows.where("created_at < timestamp '2025-04-01'")
-    return E.upsert_latest(first, rows.where("created_at >= timestamp '2025-04-01'"), ["project_id", "file_path"], "created_at").select("file_path", "id")
-
-
 @query("SELECT project_id, file_path, id FROM git_activity WHERE file_path IS NOT NULL AND project_id IS NOT NULL AND created_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id, file_path ORDER BY created_at DESC, id DESC) = 1")
-def upsert_latest_all(s: SparkSession, d: str) -> DataFrame:
+def upsert_latest(s: SparkSession, d: str) -> DataFrame:
     """All keys, those with rows of equal times too: of these the largest id is the latest."""
     g = table(s, d, "git_activity").where("file_path is not null and project_id is not null and created_at is not null").select("id", "project_id", "file_path", "created_at")
     old = F.col("created_at") < F.lit("2025-04-01").cast("timestamp")
@@ -101,11 +92,11 @@ def prefix_and_regex(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "git_activity").where(F.col("file_path").startswith("build/") & F.col("commit_message").rlike("#[0-9]+$")).select("id", "commit_hash")
 
 
-@query("SELECT id, map_from_entries([('rev', coalesce(json_extract_string(source_metadata, '$.rev'), '')), ('last_usage_context', kind)])['last_usage_context'] AS context FROM knowledge_items")
+@query("""WITH w AS (SELECT id, kind, source_metadata AS m FROM knowledge_items) SELECT id, kind AS context, json_extract_string(m, '$.rev') AS rev, len(json_keys(coalesce(m, '{}'))) + 1 - CASE WHEN list_contains(json_keys(coalesce(m, '{}')), 'last_usage_context') THEN 1 ELSE 0 END AS keys FROM w""")
 def json_set(s: SparkSession, d: str) -> DataFrame:
-    rev = F.coalesce(F.get_json_object("source_metadata", "$.rev"), F.lit(""))
-    held = F.map_concat(F.create_map(F.lit("rev"), rev), F.create_map(F.lit("last_usage_context"), F.col("kind")))
-    return table(s, d, "knowledge_items").select("id", held["last_usage_context"].alias("context"))
+    """The kind written into each item's metadata, and read back with what was there."""
+    rows = table(s, d, "knowledge_items").select("id", json_with(F.col("source_metadata"), "last_usage_context", F.col("kind")).alias("m"))
+    return rows.select("id", F.get_json_object("m", "$.last_usage_context").alias("context"), F.get_json_object("m", "$.rev").alias("rev"), F.size(F.json_object_keys("m")).cast("bigint").alias("keys"))
 
 
 @query("SELECT id, round(least(utility_score + CASE kind WHEN 'pattern' THEN 0.05::DOUBLE WHEN 'snippet' THEN 0.03::DOUBLE ELSE 0.01::DOUBLE END, 1.0::DOUBLE), 6) AS utility FROM knowledge_items")

@@ -46,6 +46,12 @@ def _rank(fields: dict[str, str], terms: list[str]) -> str:
 
 _TITLE_BODY = {"A": "tw", "B": "cw"}
 _MATCH = "list_contains(list_concat(tw, cw), 'nightly') AND (list_contains(list_concat(tw, cw), 'cache') OR list_contains(list_concat(tw, cw), 'planner'))"
+
+
+def _has(*words: str) -> str:
+    return " AND ".join(f"list_contains(list_concat(tw, cw), '{w}')" for w in words)
+
+
 def _fts_sql(kind: str, table_: str) -> str:
     words = f"any_value({_words('title')}) AS tw, any_value({_words('content')}) AS cw"
     return f"SELECT '{kind}' AS entity_type, id AS entity_id, {_rank(_TITLE_BODY, ['cache', 'nightly', 'planner'])} AS score FROM (SELECT id, {words} FROM {table_} GROUP BY id) WHERE {_MATCH}"
@@ -76,13 +82,8 @@ def message_search(s: SparkSession, d: str) -> DataFrame:
     return rows.where(F.lower("content").contains("lease")).where(fts.matches(fts.tokens(F.col("content")), q)).select("id", "role")
 
 
-@query(f"WITH w AS (SELECT doc_id, unnest({_words('text')}) AS term FROM documents WHERE lang = 'en') SELECT term, doc_id, count(*) AS tf FROM w GROUP BY 1, 2")
-def postings(s: SparkSession, d: str) -> DataFrame:
-    return fts.postings(table(s, d, "documents").where("lang = 'en'"), "doc_id", "text").select("term", "doc_id", "tf")
-
-
 @query(f"WITH d AS (SELECT doc_id, replace(text, 'İ', 'i') AS text FROM documents), w AS (SELECT doc_id, unnest({_words('text')}) AS term FROM d) SELECT term, doc_id, count(*) AS tf FROM w GROUP BY 1, 2")
-def postings_all(s: SparkSession, d: str) -> DataFrame:
+def postings(s: SparkSession, d: str) -> DataFrame:
     """The index over documents of all languages."""
     return fts.postings(table(s, d, "documents"), "doc_id", "text").select("term", "doc_id", "tf")
 
@@ -115,7 +116,10 @@ def maxsim(s: SparkSession, d: str) -> DataFrame:
     return R.late_interaction(docs.where("id % 50 = 0"), docs, 5).withColumn("score", F.round("score", 5))
 
 
-@query()
+@query("WITH w AS (SELECT id, " + _words("title") + " AS tw, " + _words("content") + " AS cw FROM (SELECT id, max(title) AS title, max(content) AS content FROM knowledge_items GROUP BY 1)), " + ", ".join(
+    f"s{i} AS (SELECT id, round({_rank(_TITLE_BODY, terms)}, 9) AS score FROM w WHERE {cond}), r{i} AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM s{i})"
+    for i, (terms, cond) in enumerate([(["cache", "nightly", "planner"], _MATCH), (["nightly", "planner"], _has("nightly", "planner")), (["cache", "planner"], _has("cache", "planner"))])
+) + ", u AS (" + " UNION ALL ".join(f"SELECT id, 1.0::DOUBLE / (61 + rank) AS x FROM r{i} WHERE rank < 30" for i in range(3)) + ") SELECT id AS entity_id, round(sum(x), 9) AS score FROM u GROUP BY 1 ORDER BY sum(x) DESC, id LIMIT 10")
 def rag_fusion(s: SparkSession, d: str) -> DataFrame:
     items = _distinct(s, d, "knowledge_items")
     rankings = [R.as_signal(fts.search(items, "id", {"A": "title", "B": "content"}, q, 30), "knowledge_item", "id", [F.desc(F.round("score", 9)), F.asc("id")], 30) for q in (QUESTION, "nightly planner", "cache planner")]
@@ -197,7 +201,8 @@ def cluster_groups(s: SparkSession, d: str) -> DataFrame:
     return G.cluster_groups(G.synchronous_labels(edges(s, d)))
 
 
-@query()
+@query("WITH RECURSIVE" + EDGES + """, u AS (SELECT DISTINCT source AS a, target AS b FROM edges UNION SELECT DISTINCT target, source FROM edges),
+r AS (SELECT DISTINCT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def graph_components(s: SparkSession, d: str) -> DataFrame:
     return G.components(edges(s, d))
 
@@ -224,7 +229,12 @@ def vector_dedup(s: SparkSession, d: str) -> DataFrame:
     return C.dedup_against(e.where("vec_id % 50 = 0"), e.where("vec_id % 50 <> 0"), 0.6, "vec_id").select("vec_id")
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT lower(title) AS t FROM knowledge_items WHERE project_id IS NOT NULL),
+w AS (SELECT t, list_filter(string_split_regex(t, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT t, list_distinct(flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) AS g FROM w),
+p AS (SELECT a.t AS ta, b.t AS tb FROM g a, g b WHERE a.t = b.t OR len(list_intersect(a.g, b.g)) > 0.4 * len(list_distinct(list_concat(a.g, b.g)))),
+n AS (SELECT ta, count(DISTINCT k.project_id) AS projects FROM p JOIN knowledge_items k ON lower(k.title) = tb WHERE k.project_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT k.project_id) >= 2)
+SELECT DISTINCT id, projects FROM knowledge_items JOIN n ON lower(title) = ta WHERE project_id IS NOT NULL""")
 def promotion(s: SparkSession, d: str) -> DataFrame:
     return E.promotable(table(s, d, "knowledge_items"))
 

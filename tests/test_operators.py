@@ -64,7 +64,7 @@ def test_latest_rows_of_equal_times(spark):
 
 def test_latest_rows_of_all_keys(spark):
     keyed = spark.read.parquet("/root/testdata/sf0.01/git_activity.parquet").where("file_path is not null and project_id is not null and created_at is not null")
-    got = QUERIES["upsert_latest_all"](spark, "/root/testdata/sf0.01")
+    got = QUERIES["upsert_latest"](spark, "/root/testdata/sf0.01")
     assert got.count() == keyed.select("project_id", "file_path").distinct().count()
 
 
@@ -91,7 +91,7 @@ def test_web_queries(spark):
 
 def test_postings_of_all_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = {r.doc_id for r in QUERIES["postings_all"](spark, "/root/testdata/sf0.001").select("doc_id").distinct().collect()}
+    got = {r.doc_id for r in QUERIES["postings"](spark, "/root/testdata/sf0.001").select("doc_id").distinct().collect()}
     assert got == {r.doc_id for r in docs.where("text rlike '[\\\\p{L}\\\\p{N}_]'").collect()}
     assert got & {r.doc_id for r in docs.where("lang = 'tr'").collect()} and got & {r.doc_id for r in docs.where("lang is null").collect()}
 
@@ -234,7 +234,7 @@ def test_queue_items_with_repeated_rows(spark):
     q = spark.createDataFrame([("1", "processing", 0), ("1", "completed", 0), ("2", "pending", 1), ("2", "cancelled", 0), ("3", "other", 0), ("3", "pending", 0)], "id string, status string, retry_count int")
     assert rows(lifecycle.one_state(q), "id", "retry_count", "status") == [("1", 0, "completed"), ("2", 1, "pending"), ("3", 0, "pending")]
     ids = spark.read.parquet("/root/testdata/sf0.01/learning_queue.parquet").select("id").distinct().count()
-    assert QUERIES["retry_queue_all"](spark, "/root/testdata/sf0.01").count() == ids
+    assert QUERIES["retry_queue"](spark, "/root/testdata/sf0.01").count() == ids
 
 
 def test_graph_queries_take_all_edges(spark):
