@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Items of a group that meet in one cell.
+GROUP_BLOCK = 256
+
+
 def since(column: Column, as_of: str, days: float, inclusive: bool = False) -> Column:
     """Whether a time lies in the last `days` days before as_of."""
     start = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400.0))
@@ -28,12 +32,18 @@ def hot_items(rows: DataFrame, item: str, group: str, added: str, removed: str,
 
 def coupled_items(rows: DataFrame, item: str, group: str, min_together: int = 3, limit: int | None = None) -> DataFrame:
     """item_a < item_b, together, ratio (together by groups of item_a): items that share at least min_together groups.
-    Items of fewer groups can't be in a pair and leave before pairs are formed; distinct pairs come from one shuffle by group."""
+    Items of fewer groups can't be in a pair and leave before pairs are formed. A group of many items is cut into blocks of
+    GROUP_BLOCK by hash, and each pair of blocks is a cell of its own, so that no task holds the pairs of a large group."""
     members = rows.where(F.col(item).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
     totals = members.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= min_together)
     kept = members.join(totals.select("i"), "i", "left_semi")
-    a, b = kept.withColumnRenamed("i", "item_a"), kept.withColumnRenamed("i", "item_b")
-    pairs = a.join(b, "g").where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
+    blocks = kept.groupBy("g").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = kept.join(blocks, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "i", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a = cells.select("g", "lo", "hi", F.col("i").alias("item_a"), F.col("own").alias("own_a"))
+    b = cells.select("g", "lo", "hi", F.col("i").alias("item_b"), F.col("own").alias("own_b"))
+    once = (F.least("own_a", "own_b") == F.col("lo")) & (F.greatest("own_a", "own_b") == F.col("hi"))
+    pairs = a.join(b, ["g", "lo", "hi"]).where((F.col("item_a") < F.col("item_b")) & once).groupBy("item_a", "item_b").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
     out = pairs.join(totals.withColumnRenamed("i", "item_a"), "item_a").select("item_a", "item_b", "together", (F.col("together") / F.col("n")).alias("ratio"))
     return out if limit is None else out.orderBy(F.desc("together"), F.desc("ratio"), "item_a", "item_b").limit(limit)
 

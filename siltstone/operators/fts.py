@@ -111,3 +111,54 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """term, key, tf, positions: an inverted index, to be written bucketed by term."""
     words = rows.select(key, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "term"))
     return words.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def _followed(starts: Column, later: Column, n: int) -> Column:
+    return F.filter(starts, lambda s: F.array_contains(later, s + n))
+
+
+def index(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """term, field, key, tf, positions of the fields (columns by weight class): an inverted index over several fields, to be
+    written bucketed or partitioned by a hash of the term."""
+    out = None
+    for cls, column in fields.items():
+        each = postings(rows, key, column).withColumn("field", F.lit(cls))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def search_index(indexed: DataFrame, key: str, query: str, limit: int | None = 20) -> DataFrame:
+    """key, score as search gives them, from an index: only postings of the query's terms are read, which is a filter the scan
+    takes over, and a document's few postings meet in one row. Phrases go by positions within a field."""
+    q = parse(query)
+    wanted = sorted({w for phrases in (*q.groups, q.excluded) for p in phrases for w in p})
+    scored = {w for group in q.groups for p in group for w in p}
+    if not q.groups:
+        return indexed.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+    hits = indexed.where(F.col("term").isin(*wanted))
+    weight = F.coalesce(*(F.when(F.col("field") == c, F.lit(w)) for c, w in FIELD_WEIGHTS.items()))
+    share = F.when(F.col("term").isin(*scored), weight * (1 + F.log(F.col("tf").cast("double")))).otherwise(0.0)
+    docs = hits.groupBy(key).agg(F.sum(share).alias("score"), F.collect_list(F.struct("term", "field", "positions")).alias("p"))
+
+    def holds(phrase: tuple[str, ...]) -> Column:
+        of = lambda w, field: F.flatten(F.transform(F.filter("p", lambda x: (x["term"] == w) & (x["field"] == field)), lambda x: x["positions"]))
+        if len(phrase) == 1:
+            return F.exists("p", lambda x: x["term"] == phrase[0])
+        out = F.lit(False)
+        for field in FIELD_WEIGHTS:
+            starts = of(phrase[0], field)
+            for n, word in enumerate(phrase[1:], 1):
+                starts = _followed(starts, of(word, field), n)
+            out = out | (F.size(starts) > 0)
+        return out
+
+    fits = F.lit(True)
+    for group in q.groups:
+        some = F.lit(False)
+        for phrase in group:
+            some = some | holds(phrase)
+        fits = fits & some
+    for phrase in q.excluded:
+        fits = fits & ~holds(phrase)
+    out = docs.where(fits).select(key, "score")
+    return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)

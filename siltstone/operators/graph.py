@@ -29,15 +29,16 @@ def explore(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, min_weight:
     usable = edges.where((F.col("weight") >= min_weight) & (F.lit(True) if relation is None else F.col("relation") == relation))
     usable = cut(usable.groupBy("source", "target").agg(F.max("weight").alias("weight")))
     start = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    front = start.withColumns({"depth": F.lit(0), "score": F.lit(1.0), "order": F.lit(0).cast("bigint")})
+    none = F.expr("cast(array() as array<struct<w:double,node:string>>)")
+    front = start.withColumns({"depth": F.lit(0), "score": F.lit(1.0), "order": none})
     reached = cut(front)
     front = reached
     for depth in range(1, min(max_depth, 10) + 1):
-        step = front.join(usable.withColumnRenamed("source", "node"), "node").select("seed", F.col("target").alias("node"), F.lit(depth).alias("depth"), (F.col("score") * F.col("weight")).alias("score"), "order", "weight")
+        # A node's order is that of its parent, then its weight and name: arrays compare as a rank over the level would.
+        step = front.join(usable.withColumnRenamed("source", "node"), "node")
+        step = step.select("seed", F.col("target").alias("node"), (F.col("score") * F.col("weight")).alias("score"), F.concat("order", F.array(F.struct((-F.col("weight")).alias("w"), F.col("target").cast("string").alias("node")))).alias("order"))
         step = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
-        first = Window.partitionBy("seed", "node").orderBy("order", F.desc("weight"))
-        step = step.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-        front = step.withColumn("order", F.row_number().over(Window.partitionBy("seed").orderBy("order", F.desc("weight"), "node")).cast("bigint")).select("seed", "node", "depth", "score", "order")
+        front = step.groupBy("seed", "node").agg(F.min(F.struct("order", "score")).alias("m")).select("seed", "node", F.lit(depth).alias("depth"), "m.score", "m.order")
         front = cut(front)
         if front.isEmpty():
             break

@@ -97,6 +97,8 @@ def enqueue(queue: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(incoming.withColumn("status", F.lit("pending")), allowMissingColumns=True).select(*queue.columns)
 
 
+MOST_RULES = 10_000
+
 #: States of a queue item from the last to the first that it goes through.
 LAST_FIRST = ("failed_permanent", "cancelled", "completed", "processing", "pending")
 
@@ -133,9 +135,10 @@ def windows(events: DataFrame, time: str, by: list[str], length: str, slide: str
 def alerts(logs: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
     """rule, n: rules (name, threshold, window_secs, filter_level, filter_target, filter_pattern, last_triggered_at) whose
     count of matching logs in the trailing window reaches the threshold, unless they were triggered within it. Rules are
-    written by people, so they are few; a rule that filters nothing matches all."""
+    written by people, so they are few, and up to MOST_RULES of them are sent to all tasks; a rule that filters nothing matches all."""
     now = scores.seconds(F.lit(as_of).cast("timestamp"))
-    l, r = logs.alias("l"), F.broadcast(rules.alias("r"))
+    few = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
+    l, r = logs.alias("l"), F.broadcast(rules.alias("r")) if few else rules.alias("r")
     asked = lambda rule, cond: F.col(rule).isNull() | cond
     fits = (scores.seconds(F.col("l.timestamp")) > now - F.col("r.window_secs")) & (scores.seconds(F.col("l.timestamp")) <= now)
     fits = fits & asked("r.filter_level", F.col("l.level") == F.col("r.filter_level")) & asked("r.filter_target", F.col("l.target").startswith(F.col("r.filter_target"))) & asked("r.filter_pattern", F.rlike(F.col("l.message"), F.col("r.filter_pattern")))

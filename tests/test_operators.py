@@ -89,6 +89,25 @@ def test_web_queries(spark):
     assert fts.search(df, "id", {"A": "t"}, "").count() == 0
 
 
+def test_an_index_finds_what_a_scan_finds(spark):
+    words = ["stale", "nightly", "job", "cache", "cursor"]
+    texts = [" ".join(words[(i * k) % 5] for k in range(1, 1 + i % 6)) for i in range(40)]
+    df = spark.createDataFrame([(i, t, texts[-i - 1]) for i, t in enumerate(texts)] + [(99, None, "Stale CACHE")], "id bigint, t string, c string")
+    indexed = fts.index(df, "id", {"A": "t", "B": "c"})
+    for q in ("stale cache", 'nightly OR "job cache"', "stale -cursor", "missing", ""):
+        want = {r.id: round(r.score, 9) for r in fts.search(df, "id", {"A": "t", "B": "c"}, q, None).collect()}
+        assert {r.id: round(r.score, 9) for r in fts.search_index(indexed, "id", q, None).collect()} == want, q
+
+
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    from siltstone.operators import analytics
+
+    df = spark.createDataFrame([(g, f"i{k:02}") for g in ("a", "b") for k in range(30)] + [("c", "i00"), (None, "i01"), ("c", None)], "g string, i string")
+    want = {(r.item_a, r.item_b): (r.together, r.ratio) for r in analytics.coupled_items(df, "i", "g", 2).collect()}
+    monkeypatch.setattr(analytics, "GROUP_BLOCK", 4)
+    assert {(r.item_a, r.item_b): (r.together, r.ratio) for r in analytics.coupled_items(df, "i", "g", 2).collect()} == want and len(want) == 435
+
+
 def test_postings_of_all_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id for r in QUERIES["postings"](spark, "/root/testdata/sf0.001").select("doc_id").distinct().collect()}
