@@ -237,14 +237,53 @@ def _joined(rows: DataFrame, keys: list[str], own_side: Column, similarity: Frac
     return a.join(named, keys).where(keep).select("sum_a", "b1_a", "sum", "b1")
 
 
-def _shared_once(posts: DataFrame, partitions: int) -> DataFrame:
-    """posts, each once; both sides of a join on the token read the same exchange."""
-    return posts.repartition(partitions, "token").groupBy(*posts.columns).agg(F.lit(1).alias("_")).drop("_")
+def _pairs_of(columns: list[np.ndarray], similarity: Fraction) -> Iterator[list[np.ndarray]]:
+    """Keys (sum_a, b1_a, sum, b1) of pairs of different sets that share a token and pass all filters, some at a time; columns
+    are those of postings. Postings of a token stand in the order of size and key, each once: a posting is compared with the one
+    after it, with the one after that, and so on, until sizes differ too much, all postings at once."""
+    p, q = similarity.numerator, similarity.denominator
+    order = np.argsort(columns[0])
+    same = columns[0][order][1:] == columns[0][order][:-1]
+    order = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order
+    token, meta, sums, *words = (c[order] for c in columns)
+    size = meta >> 32
+    order = np.lexsort((words[0], sums, size, token))
+    token, size, pos, sums, words = token[order], size[order], meta[order] & 0xFFFFFFFF, sums[order], [w[order] for w in words]
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1]) | (sums[1:] != sums[:-1]) | (words[0][1:] != words[0][:-1])
+    token, size, pos, sums, words = token[new], size[new], pos[new], sums[new], [w[new] for w in words]
+    i, step = np.arange(len(token)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(token)]
+        j = i + step
+        near = (token[i] == token[j]) & (size[i] * q >= size[j] * p)
+        i, j = i[near], j[near]
+        need = (p * (size[i] + size[j]) + p + q - 1) // (p + q)
+        left_a, left_b = size[i] - pos[i], size[j] - pos[j]
+        fits = (np.minimum(left_a, left_b) >= need) & (np.minimum(pos[i], pos[j]) + np.minimum(left_a, left_b) >= need)
+        a, b = i[fits], j[fits]
+        apart = sum((np.bitwise_count((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in words), np.zeros(len(a), dtype=np.int64))
+        close = apart <= size[a] + size[b] - 2 * need[fits]
+        a, b = a[close], b[close]
+        if len(a):
+            yield [sums[a], words[0][a], sums[b], words[0][b]]
 
 
 def candidates(posts: DataFrame, similarity: Fraction, partitions: int) -> DataFrame:
-    """sum_a, b1_a, sum, b1 of postings none of whose runs is frequent."""
-    return _joined(_shared_once(posts, partitions), ["token"], F.lit(0), similarity).distinct()
+    """sum_a, b1_a, sum, b1 of postings none of whose runs is frequent. Postings are shuffled once, by token; a partition holds
+    PARTITION_BYTES of them on average, and no token more than BLOCK_POSTINGS."""
+    names = ["sum_a", "b1_a", "sum", "b1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            whole = pa.Table.from_batches(held)
+            columns = [c.to_numpy() for c in whole.columns]
+            for keys in _pairs_of(columns, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in keys], names=names)
+
+    return posts.repartition(partitions, "token").mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).distinct()
 
 
 def candidates_of_frequent(posts: DataFrame, similarity: Fraction) -> DataFrame:
