@@ -115,9 +115,11 @@ def similar_entities(s: SparkSession, d: str) -> DataFrame:
     return R.knn(e.where("vec_id % 50 = 0"), e, 4).where("score > 0.2").select("query_id", "id")
 
 
-@query()
+@query("""WITH m AS (SELECT q.vec_id // 10 AS query_id, v.vec_id // 10 AS id, q.vec_id AS qv, max(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS best FROM embeddings q, embeddings v WHERE (q.vec_id // 10) % 50 = 0 GROUP BY 1, 2, 3),
+t AS (SELECT query_id, id, sum(best) AS score FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM t)
+SELECT query_id, id, round(score, 5) AS score, rank::INT AS rank FROM r WHERE rank < 5""")
 def maxsim(s: SparkSession, d: str) -> DataFrame:
-    """Documents are the groups of ten vectors by id, queries every fifth of them."""
+    """Documents are the groups of ten vectors by id, queries those whose number is divisible by 50."""
     e = table(s, d, "embeddings")
     docs = e.groupBy(F.floor(F.col("vec_id") / 10).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vectors"))
     return R.late_interaction(docs.where("id % 50 = 0"), docs, 5).withColumn("score", F.round("score", 5))
