@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.alike import alike_pairs, title_sets
+from siltstone.plans.lineage import cut
+
 
 def listed(rows: DataFrame, equal: dict[str, object] | None = None, tag: str | None = None, order: list[Column] | None = None, limit: int | None = 20, offset: int = 0) -> DataFrame:
     """rows with the given values (a value of None asks for nothing), with a tag, in an order, a page of them."""
@@ -163,21 +166,13 @@ def similar_titles(rows: DataFrame, title: str, threshold: float, limit: int = 5
 
 def promotable(rows: DataFrame, threshold: float = 0.4, min_projects: int = 2) -> DataFrame:
     """id, projects: records whose title, by its trigrams, is like that of records of at least min_projects projects in all.
-    Titles meet on their rare trigrams only: two sets with a Jaccard similarity above t share one of the rarest
-    n - ceil(t * n) + 1 of each, and each pair is verified once on whole sets."""
-    from siltstone.functions.text import trigrams
-
-    base = rows.where("project_id is not null").select("id", "project_id", F.lower("title").alias("t"))
-    titles = base.select("t").distinct().select("t", trigrams(F.col("t")).alias("g")).where("size(g) > 0")
-    grams = titles.select("t", F.explode("g").alias("gram"))
-    freq = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = grams.join(freq, "gram").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    ordered = ordered.select("t", F.transform("o", lambda s: s["gram"]).alias("g"))
-    prefix = ordered.select("t", "g", F.explode(F.slice("g", F.lit(1), (F.size("g") - F.ceil(F.size("g") * threshold) + 1).cast("int"))).alias("gram"))
-    a, b = prefix.select(F.col("t").alias("ta"), F.col("g").alias("ga"), "gram"), prefix.select(F.col("t").alias("tb"), F.col("g").alias("gb"), "gram")
-    fits = (F.col("ta") < F.col("tb")) & (F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb")))
-    alike = a.join(b, "gram").where(fits).dropDuplicates(["ta", "tb"]).where(F.size(F.array_intersect("ga", "gb")) > threshold * F.size(F.array_union("ga", "gb"))).select("ta", "tb")
-    links = alike.unionByName(alike.select(F.col("tb").alias("ta"), F.col("ta").alias("tb"))).unionByName(titles.select(F.col("t").alias("ta"), F.col("t").alias("tb")))
-    projects = base.select(F.col("t").alias("tb"), "project_id").distinct()
-    reach = links.join(projects, "tb").groupBy("ta").agg(F.count_distinct("project_id").alias("projects")).where(F.col("projects") >= min_projects)
-    return base.join(reach.withColumnRenamed("ta", "t"), "t").select("id", "projects").distinct()
+    Of records with the same title each is like the others, even where it has no trigrams."""
+    base = rows.where("project_id is not null and title is not null").select("id", "project_id", F.lower("title").alias("t"))
+    held = title_sets(base.select("t").distinct())
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = alike_pairs(held, None, threshold).select(F.explode(both).alias("x")).select("x.a", "x.b")
+    projects = cut(base.select("t", "project_id").distinct().join(held.select("n", "t"), "t", "left"))
+    near = pairs.join(projects.select(F.col("n").alias("b"), "project_id"), "b").select(F.col("a").alias("n"), "project_id")
+    near = near.distinct().join(held.select("n", "t"), "n").select("t", "project_id")
+    reach = near.unionByName(projects.select("t", "project_id")).groupBy("t").agg(F.count_distinct("project_id").alias("projects")).where(F.col("projects") >= min_projects)
+    return base.join(reach, "t").select("id", "projects").distinct()

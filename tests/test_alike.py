@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from siltstone.operators import alike
+from siltstone.operators.entities import promotable
 from siltstone.operators.learning import alike_titles
 
 
@@ -44,3 +45,11 @@ def test_pairs_of_one_table_come_once(spark, monkeypatch, bits):
     block = alike._Side(held.select("n", "codes").toArrow())
     got = [(int(x), int(y)) for a, b, _ in alike._alike(block, block, 0.4, True) for x, y in zip(a, b)]
     assert sorted(tuple(sorted((named[x], named[y]))) for x, y in got) == want
+
+
+def test_titles_of_two_projects_do_not_meet_on_trigrams(spark):
+    rows = [("a", "p", "Rebuild the cache"), ("b", "q", "rebuild the caches"), ("c", "p", "--"), ("d", "q", "--"), ("e", "p", "??"), ("f", None, "Rebuild the cache"), ("g", "p", "Rebuild the cache"), ("h", "r", None)]
+    got = promotable(spark.createDataFrame(rows, "id string, project_id string, title string"))
+    assert "gram" not in got._jdf.queryExecution().executedPlan().toString()
+    # What SQL gives: the same title is like itself, even without trigrams.
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 2), ("b", 2), ("c", 2), ("d", 2), ("g", 2)]
