@@ -33,7 +33,8 @@ def unseen(new: DataFrame, known: DataFrame, titles: float = 0.4, cosine: float
     low = new.withColumn("t", F.lower("title"))
     alike = alike_titles(low.select("t"), known.select(F.lower("title").alias("t")), titles).select(F.col("a").alias("t")).distinct()
     fresh = cut(low.join(alike, "t", "left_anti").drop("t"))
-    numbered = known.select(F.concat(F.lit("known-"), F.monotonically_increasing_id().cast("string")).alias("id"), "embedding")
+    # Every block of new vectors reads all known ones, which a model may have to make: they are made once.
+    numbered = cut(known.select(F.concat(F.lit("known-"), F.monotonically_increasing_id().cast("string")).alias("id"), "embedding"))
     far = cut(clustering.dedup_against(fresh, numbered, cosine))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

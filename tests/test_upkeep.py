@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.vectors import cosine
-from siltstone.operators import analytics, context, hybrid, records, upkeep
+from siltstone.operators import analytics, context, hybrid, records, retrieval, upkeep
 
 AS_OF = "2025-06-30 00:00:00"
 
@@ -139,3 +139,17 @@ def test_json_is_written(spark):
     df = spark.createDataFrame([('{"a": "1", "k": "old"}',), (None,), ("broken",)], "j string")
     got = [r[0] for r in df.select(X.json_with(F.col("j"), "k", F.lit("new"))).collect()]
     assert got == ['{"a":"1","k":"new"}', '{"k":"new"}', '{"k":"new"}']
+
+
+def test_known_vectors_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(i):
+        made.add(1)
+        return [float(i == k) for k in range(4)]
+
+    new = spark.createDataFrame([(str(i), "s", i, c * 9, [float(i == k) for k in range(9)][:4] if i < 3 else [0.5] * 4) for i, c in enumerate("abcdefgh")], "id string, session_id string, pos int, title string, embedding array<double>")
+    known = spark.createDataFrame([(i, c * 9) for i, c in enumerate("xyz")], "i int, title string").select("title", embed("i").alias("embedding"))
+    assert rows(upkeep.unseen(new, known), "id") == [("3",)] and made.value == 3
