@@ -5,6 +5,7 @@ import pytest
 from siltstone.operators import alike
 from siltstone.operators.entities import promotable
 from siltstone.operators.learning import alike_titles
+from siltstone.operators.upkeep import promote
 
 
 def grams(t):
@@ -53,3 +54,11 @@ def test_titles_of_two_projects_do_not_meet_on_trigrams(spark):
     assert "gram" not in got._jdf.queryExecution().executedPlan().toString()
     # What SQL gives: the same title is like itself, even without trigrams.
     assert sorted(tuple(r) for r in got.collect()) == [("a", 2), ("b", 2), ("c", 2), ("d", 2), ("g", 2)]
+
+
+def test_copies_are_of_titles_that_two_projects_have(spark):
+    rows = [(f"{x}{i}", t, "", x) for x, seed in (("p", 4), ("q", 5)) for i, t in enumerate(titles(seed, 60))]
+    copies, edges = promote(spark.createDataFrame(rows, "id string, title string, content string, project_id string"))
+    assert "gram" not in edges._jdf.queryExecution().executedPlan().toString()
+    want = {i for i, t, _, x in rows if any(y != x and jaccard(t, u) > 0.4 or y != x and t == u for _, u, _, y in rows)}
+    assert {r.target for r in edges.collect()} == want and copies.count() == len({t for i, t, _, _ in rows if i in want})
