@@ -196,10 +196,14 @@ def error_keywords(text: Column) -> Column:
     return F.when(any_of(F.lower(text), ERROR_SIGNS) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 4), " OR "))
 
 
+def letter_words(text: Column) -> Column:
+    """The runs of letters and digits in text, in lower case."""
+    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+
 def trigrams(text: Column) -> Column:
     """The set of three-letter runs of the words of text, each padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(letter_words(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     runs = F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
     return F.array_distinct(F.flatten(runs))
 

@@ -18,6 +18,8 @@ from siltstone.plans.lineage import cut
 WIDE, BITS = 256, 4096
 LEAST_SIDE, MOST_SIDE = 1024, 16_384
 ROWS, COLUMNS, CANDIDATES = 1024, 2048, 65_536
+#: Neighbours in an order of titles that are compared at first, where one like is enough.
+NEAR = 1024
 #: A trigram is three characters of 21 bits.
 SHIFTS = np.array([42, 21, 0])
 
@@ -42,6 +44,23 @@ def title_sets(titles: DataFrame) -> DataFrame:
     return cut(coded.withColumn("n", F.monotonically_increasing_id()))
 
 
+def _side(words: pa.ChunkedArray | pa.Array) -> _Side:
+    """Titles given as their words with a blank between any two."""
+    padded = ["  " + w.replace(" ", "   ") + " " for w in words.to_pylist()]
+    letters = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(padded)), [len(w) for w in padded])[:-2]
+    first, second, third = letters[:-2], letters[1:-1], letters[2:]
+    inside = (second != 32) | (third != 32)  # where both are blank, a word ends and the next begins
+    row, code = row[inside], ((first << SHIFTS[0]) + (second << SHIFTS[1]) + third)[inside]
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[fresh], minlength=len(padded))))) * 8
+    held = pa.Array.from_buffers(pa.binary(), len(padded), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(code[fresh].astype("<i8"))])
+    return _Side(pa.table({"n": np.arange(len(padded)), "codes": held}))
+
+
 class _Side:
     """Titles of one block: numbers, sizes, and the places of their trigrams in a vocabulary."""
 
@@ -85,8 +104,9 @@ def _shared(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return got
 
 
-def _alike(a: _Side, b: _Side, threshold: float, same: bool):
-    """Numbers and similarity of the pairs above the threshold, a part of them at a time."""
+def _bound(a: _Side, b: _Side, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places the trigrams of both sides. Gives the right side of the product, and what a title of either side asks of it: two
+    titles can only be alike where the product is more than the sum of theirs."""
     codes, at = np.unique(np.concatenate([a.codes, b.codes]), return_inverse=True)
     in_a, in_b = (np.bincount(x, minlength=len(codes)) for x in (at[: len(a.codes)], at[len(a.codes) :]))
     order = np.argsort(-in_a * in_b, kind="stable")
@@ -101,23 +121,55 @@ def _alike(a: _Side, b: _Side, threshold: float, same: bool):
     part = np.float32(threshold / (1 + threshold))
     least = lambda x: part * x.size.astype(np.float32)
     slack = 0.01 + 1e-4 * max(a.size.max(initial=0), b.size.max(initial=0))
-    wide_b, least_a, least_b = np.ascontiguousarray(b.wide.T), least(a), least(b)
+    return np.ascontiguousarray(b.wide.T), least(a) - np.float32(slack), least(b)
+
+
+def _alike(a: _Side, b: _Side, threshold: float, same: bool):
+    """Numbers and similarity of the pairs above the threshold, a part of them at a time."""
+    wide_b, least_a, least_b = _bound(a, b, threshold)
     for lo in range(0, len(a.n), ROWS):
         for left in range(lo // COLUMNS * COLUMNS if same else 0, len(b.n), COLUMNS):
             most = a.wide[lo : lo + ROWS] @ wide_b[:, left : left + COLUMNS]
-            most -= least_a[lo : lo + ROWS, None] - np.float32(slack)
+            most -= least_a[lo : lo + ROWS, None]
             i, j = np.divmod(np.flatnonzero(most > least_b[None, left : left + COLUMNS]), most.shape[1])
             i, j = i + lo, j + left
             if same:
                 i, j = i[i < j], j[i < j]
             for k in range(0, len(i), CANDIDATES):
                 x, y = i[k : k + CANDIDATES], j[k : k + CANDIDATES]
-                both = _shared(a, b, x, y)
-                similarity = both / (a.size[x] + b.size[y] - both)
+                similarity = _similarity(a, b, x, y)
                 good = similarity > threshold
                 yield a.n[x[good]], b.n[y[good]], similarity[good]
 
 
+def _similarity(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    both = _shared(a, b, i, j)
+    return both / (a.size[i] + b.size[j] - both)
+
+
+def _met(a: _Side, b: _Side, own_a: np.ndarray, own_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each title of a that has one owner: whether a title of b is like it that another owner has. Owners are numbers, -1
+    where a title has several. A title that has found its like is compared no more."""
+    wide_b, least_a, least_b = _bound(a, b, threshold)
+    met, asking = np.zeros(len(a.n), bool), np.flatnonzero(own_a >= 0)
+    for lo in range(0, len(asking), ROWS):
+        rest = asking[lo : lo + ROWS]
+        for left in range(0, len(b.n), COLUMNS):
+            most = a.wide[rest] @ wide_b[:, left : left + COLUMNS]
+            most -= least_a[rest, None]
+            i, j = np.divmod(np.flatnonzero(most > least_b[None, left : left + COLUMNS]), most.shape[1])
+            i, j = rest[i], j + left
+            other = own_a[i] != own_b[j]
+            i, j = i[other], j[other]
+            for k in range(0, len(i), CANDIDATES):
+                x, y = i[k : k + CANDIDATES], j[k : k + CANDIDATES]
+                met[x[_similarity(a, b, x, y) > threshold]] = True
+            rest = rest[~met[rest]]
+            if not len(rest):
+                break
+    return met
+
+
 def _blocks(left: int, right: int, parallel: int) -> tuple[int, int]:
     """Blocks of each side: cells enough to keep all cores busy, none too large for a task."""
     side = min(max(math.sqrt(left * right / (4 * parallel)), LEAST_SIDE), MOST_SIDE)
@@ -151,3 +203,54 @@ def alike_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> D
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
     return placed.repartition(rows * columns, "cell").groupBy("cell").applyInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def alike_elsewhere(titles: DataFrame, threshold: float) -> DataFrame:
+    """t of the distinct titles (t, owner; without an owner where there are several) that have one owner and whose trigrams have
+    a Jaccard similarity above the threshold with those of a title that another owner has. One like is enough, so that pairs
+    aren't listed: most titles find it among their neighbours in the order of their words, or of their letters from the end.
+    What is left then meets all titles, block against block; where hardly any title has its like that is the product again."""
+    parallel = titles.sparkSession.sparkContext.defaultParallelism
+    held = titles.select("t", F.col("owner").cast("string").alias("owner"), F.array_join(X.letter_words(F.col("t")), " ").alias("words"), F.lit(False).alias("met")).where("words <> ''")
+    held = cut(held)
+    number = held.count()
+
+    def numbers(*owners: pa.ChunkedArray) -> list[np.ndarray]:
+        every = pa.chunked_array([c for o in owners for c in o.chunks]).combine_chunks()
+        every = pa.concat_arrays(every.chunks) if isinstance(every, pa.ChunkedArray) else every
+        found = every.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.split(found, np.cumsum([len(o) for o in owners])[:-1])
+
+    def near(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), NEAR):
+                part = pa.table(batch.slice(lo, NEAR))
+                (own,) = numbers(part.column("owner"))
+                side, known = _side(part.column("words")), part.column("met").to_numpy()
+                met = known | _met(side, side, np.where(known, -1, own), own, threshold)
+                yield from part.set_column(3, "met", pa.array(met)).to_batches()
+
+    for key in (F.col("words"), F.reverse("words")):
+        placed = held.repartitionByRange(max(parallel, math.ceil(number / MOST_SIDE)), key, "t").sortWithinPartitions(key, "t")
+        held = cut(placed.mapInArrow(near, held.schema))
+    open_ = held.where("owner is not null and not met")
+    left = open_.count()
+    found = held.where("met").select("t")
+    if not left:
+        return found
+    # Few are left, as a rule: cells enough to keep all cores busy, and no more than their size asks for, as each is a task.
+    rows = math.ceil(left / MOST_SIDE)
+    columns = max(math.ceil(number / MOST_SIDE), min(math.ceil(number / LEAST_SIDE), math.ceil(4 * parallel / rows)))
+    block = lambda many: F.pmod(F.xxhash64("t"), F.lit(many)).cast("int")
+    across = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda k: block(rows) * columns + k)
+    down = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda k: k * columns + block(columns))
+    cells = open_.select(F.explode(across).alias("cell"), F.lit(True).alias("first"), "t", "owner", "words").unionByName(held.select(F.explode(down).alias("cell"), F.lit(False).alias("first"), F.lit(None).cast("string").alias("t"), "owner", "words"))
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = table.filter(table.column("first")), table.filter(pc.invert(table.column("first")))
+        if not len(a) or not len(b):
+            return pa.table({"t": pa.array([], pa.string())})
+        met = _met(_side(a.column("words")), _side(b.column("words")), *numbers(a.column("owner"), b.column("owner")), threshold)
+        return a.filter(pa.array(met)).select(["t"])
+
+    return found.unionByName(cells.repartition(rows * columns, "cell").groupBy("cell").applyInArrow(run, "t string").distinct())

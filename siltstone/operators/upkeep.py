@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import clustering, entities, graph
+from siltstone.operators.alike import alike_elsewhere
 from siltstone.operators.learning import alike_titles
 from siltstone.plans.lineage import cut
 
@@ -79,10 +80,15 @@ def consolidate(items: DataFrame, edges: DataFrame, merge: Callable[[DataFrame],
 def promote(items: DataFrame, title_like: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """(copies, edges): of the items (id, title, content, project_id) whose title has its like in two projects at least, a copy
     that belongs to all (id, title, content, kind), one for each title, and a derived_from edge to each item it stands for."""
-    ready = entities.promotable(items, title_like).select("id").distinct()
-    rows = items.where("project_id is not null").join(ready, "id", "left_semi").withColumn("t", F.lower("title"))
+    rows = items.where("project_id is not null and title is not null").withColumn("t", F.lower("title"))
+    projects = rows.groupBy("t").agg(F.min("project_id").alias("p"), F.max("project_id").alias("q"))
+    titles = cut(projects.select("t", F.when(F.col("p") == F.col("q"), F.col("p")).alias("owner")))
+    ready = titles.where("owner is null").select("t").unionByName(alike_elsewhere(titles, title_like))
+    rows = rows.join(cut(ready), "t", "left_semi")
     new_id = F.left(F.sha2(F.concat(F.lit("global|"), F.col("t")), 256), F.lit(26))
-    copies = rows.groupBy("t").agg(F.min(F.struct("id", "title", "content")).alias("m")).select(new_id.alias("id"), "m.title", "m.content", F.lit("pattern").alias("kind"))
+    # Contents are apart from titles, so that they aren't read where nobody asks for them.
+    first = F.min(F.struct("id", "title"))["title"].alias("title"), F.min_by("content", F.struct("id", "title", "content")).alias("content")
+    copies = rows.groupBy("t").agg(*first).select(new_id.alias("id"), "title", "content", F.lit("pattern").alias("kind"))
     edges = rows.select(new_id.alias("source"), F.col("id").alias("target"), F.lit("derived_from").alias("relation"), F.lit(1.0).alias("weight")).distinct()
     return copies, edges
 

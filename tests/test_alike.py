@@ -1,8 +1,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.operators import alike
+from siltstone.functions import text as X
+from siltstone.operators import alike, entities
 from siltstone.operators.entities import promotable
 from siltstone.operators.learning import alike_titles
 from siltstone.operators.upkeep import promote
@@ -62,3 +64,31 @@ def test_copies_are_of_titles_that_two_projects_have(spark):
     assert "gram" not in edges._jdf.queryExecution().executedPlan().toString()
     want = {i for i, t, _, x in rows if any(y != x and jaccard(t, u) > 0.4 or y != x and t == u for _, u, _, y in rows)}
     assert {r.target for r in edges.collect()} == want and copies.count() == len({t for i, t, _, _ in rows if i in want})
+
+
+@pytest.mark.parametrize("near", [1, 3, 1024])
+def test_copies_need_one_like_and_no_list_of_pairs(spark, monkeypatch, near):
+    monkeypatch.setattr(entities, "alike_pairs", None)  # before, pairs grew with the square of the titles
+    monkeypatch.setattr(alike, "NEAR", near)
+    monkeypatch.setattr(alike, "LEAST_SIDE", 20)
+    monkeypatch.setattr(alike, "MOST_SIDE", 30)
+    rows = [(f"{x}{i}", t, f"c{i}", x) for x, seed in (("p", 4), ("q", 5), ("r", 6)) for i, t in enumerate(titles(seed, 30))]
+    rows += [("a", "--", "", "p"), ("b", "--", "", "q"), ("c", "??", "", "p"), ("d", None, "", "p"), ("e", "Quite alone", "", "p"), ("f", "quite alone", "", None), ("g", "zzz zzz", "", "p"), ("h", "zzz: zzz", "", "p")]
+    copies, edges = promote(spark.createDataFrame(rows, "id string, title string, content string, project_id string"))
+    held = [r for r in rows if r[1] and r[3]]
+    like = lambda t, u: t.lower() == u.lower() or bool(grams(t) | grams(u)) and jaccard(t, u) > 0.4
+    letters = lambda t: "" if t in ("--", "??") else t.replace(":", "")
+    want = {i for i, t, _, x in held if any(y != x and (t == u or like(letters(t), letters(u)) and letters(t)) for _, u, _, y in held)}
+    assert {r.target for r in edges.collect()} == want and {"a", "b"} < want and not want & set("cdefgh")
+    first = {}
+    for i, t, c, _ in sorted(r for r in held if r[0] in want):
+        first.setdefault(t.lower(), (t, c))
+    assert sorted((r.title, r.content) for r in copies.collect()) == sorted(first.values())
+
+
+def test_trigrams_of_words_are_those_of_columns(spark):
+    some = [*titles(7, 40), "a", "ab ab", "x-y_z  9", "Straße ÇA", "𝒜 𝒜𝒷"]
+    held = alike.title_sets(spark.createDataFrame([(t,) for t in some], "t string").withColumn("words", F.array_join(X.letter_words(F.col("t")), " "))).toArrow()
+    a, b = alike._Side(held), alike._side(held.column("words"))
+    assert (a.size == b.size).all()
+    assert all(set(a.codes[a.row == i]) == set(b.codes[b.row == i]) for i in range(len(some)))
